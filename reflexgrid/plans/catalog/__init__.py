@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import sessions  # noqa: F401
+from . import live, sessions, triage  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
