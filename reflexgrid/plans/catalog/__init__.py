@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import live, sessions, triage  # noqa: F401
+from . import faces, images, live, sessions, triage  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
