@@ -21,7 +21,11 @@ def compare_frames(a: DataFrame, b: DataFrame) -> DataFrame:
 
     `a` has {left,right}_px, center_x, center_y; `b` has the same names with the suffix _b.
     """
-    rows = a.join(b.drop("sample_id"), ["session_id", "ts_ms"])
+    return compare_matched(a.join(b.drop("sample_id"), ["session_id", "ts_ms"]))
+
+
+def compare_matched(rows: DataFrame) -> DataFrame:
+    """Compare rows that already carry both measurements (also on a stream)."""
     cols = {}
     for s in SIDES:
         pa, pb = F.col(f"{s}_px"), F.col(f"{s}_px_b")
