@@ -52,16 +52,16 @@ def blur(pixels: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
 def resize_nearest(pixels: DataFrame, value: str, source: tuple[int, int], target: tuple[int, int], keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Nearest resize: each source pixel emits the target pixels it fills, so no join and no shuffle."""
 
-    def hits(c: str, n: int, m: int) -> Column:
+    def spread(df: DataFrame, c: str, n: int, m: int) -> DataFrame:
         scale = n / m
         low = F.greatest(F.lit(0), F.ceil(F.col(c) / F.lit(scale) - F.lit(0.5)) - 1).cast("int")
         high = F.least(F.lit(m - 1), F.ceil((F.col(c) + 1) / F.lit(scale) - F.lit(0.5))).cast("int")
-        span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.filter(span, lambda t: F.floor((t + F.lit(0.5)) * F.lit(scale)) == F.col(c))
+        rows = df.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias(f"_t{c}"))
+        return rows.where(F.floor((F.col(f"_t{c}") + F.lit(0.5)) * F.lit(scale)) == F.col(c))
 
-    ty, tx = hits("y", source[1], target[1]), hits("x", source[0], target[0])
-    rows = pixels.select(*keys, F.explode(ty).alias("_ty"), tx.alias("_tx"), value)
-    return rows.select(*keys, F.col("_ty").alias("y"), F.explode("_tx").alias("x"), value)
+    rows = spread(pixels.select(*keys, "y", "x", value), "y", source[1], target[1])
+    rows = spread(rows, "x", source[0], target[0])
+    return rows.select(*keys, F.col("_ty").alias("y"), F.col("_tx").alias("x"), value)
 
 
 def resize_bilinear(
@@ -74,24 +74,21 @@ def resize_bilinear(
     """
     x0, y0, cw, ch = crop or (0, 0, source[0], source[1])
 
-    def shares(c: str, n: int, m: int, off: int, size: int) -> Column:
+    def spread(df: DataFrame, c: str, n: int, m: int, off: int, size: int) -> DataFrame:
         scale = size / m
         low = F.greatest(F.lit(0), F.floor((F.col(c) - F.lit(off + 0.5)) / F.lit(scale) - F.lit(0.5)) - 1).cast("int")
         high = F.least(F.lit(m - 1), F.ceil((F.col(c) - F.lit(off - 1.5)) / F.lit(scale) - F.lit(0.5)) + 1).cast("int")
-        span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-        def weight(t: Column) -> Column:
-            at = F.lit(float(off)) + (t + F.lit(0.5)) * F.lit(scale) - F.lit(0.5)
-            base = F.floor(at)
-            part = at - base
-            hit = lambda k: F.greatest(F.lit(0), F.least(k, F.lit(n - 1))) == F.col(c)
-            return F.when(hit(base), F.lit(1.0) - part).otherwise(F.lit(0.0)) + F.when(hit(base + 1), part).otherwise(F.lit(0.0))
-
-        return F.filter(F.transform(span, lambda t: F.struct(t.alias("t"), weight(t).alias("w"))), lambda s: s["w"] > 0)
-
-    rows = pixels.select(*keys, "lum", F.explode(shares("y", source[1], target[1], y0, ch)).alias("_y"), shares("x", source[0], target[0], x0, cw).alias("_xs"))
-    rows = rows.select(*keys, "lum", "_y", F.explode("_xs").alias("_x"))
-    return rows.groupBy(*keys, F.col("_y.t").alias("y"), F.col("_x.t").alias("x")).agg(F.sum(F.col("lum") * F.col("_y.w") * F.col("_x.w")).alias("lum"))
+        rows = df.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias(f"_t{c}"))
+        at = F.lit(float(off)) + (F.col(f"_t{c}") + F.lit(0.5)) * F.lit(scale) - F.lit(0.5)
+        rows = rows.withColumn("_at", at).withColumn("_base", F.floor("_at"))
+        part = F.col("_at") - F.col("_base")
+        hit = lambda k: F.greatest(F.lit(0), F.least(k, F.lit(n - 1))) == F.col(c)
+        weight = F.when(hit(F.col("_base")), F.lit(1.0) - part).otherwise(F.lit(0.0)) + F.when(hit(F.col("_base") + 1), part).otherwise(F.lit(0.0))
+        return rows.withColumn(f"_w{c}", weight).where(F.col(f"_w{c}") > 0).drop("_at", "_base")
+
+    rows = spread(pixels.select(*keys, "y", "x", "lum"), "y", source[1], target[1], y0, ch)
+    rows = spread(rows, "x", source[0], target[0], x0, cw)
+    return rows.groupBy(*keys, F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(F.sum(F.col("lum") * F.col("_wy") * F.col("_wx")).alias("lum"))
 
 
 def normalise(pixels: DataFrame, mode: str = "minmax", keys: tuple[str, ...] = IMAGE) -> DataFrame:
