@@ -53,7 +53,7 @@ def recording(spark: SparkSession, sf: str, settings: HeatSettings = HeatSetting
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     heat = Heat.measure(events, "user_id", "session_id", settings)
     rows = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("sample_id"), "ts", "event_type")
-    hour = F.floor(F.unix_micros("ts") / F.lit(3_600_000_000))
+    hour = F.date_format("ts", "yyyyMMddHH")
     numbered = heat.apply(rows, ("session_id",), ("ts", "sample_id"), lambda df, lay: lay.number(df, "rn"), hour)
     return Recording(sample_columns(numbered), heat)
 
