@@ -15,11 +15,11 @@ from .storage import _finals
 from .sql import case, cte, query, r, rquery, s
 
 
-def frames(spark, sf):
+def frames(spark, sf, pattern="events*.parquet", files_per_batch=8):
     """Event files as a frame stream."""
     e = F.col("event_id")
     px = F.when(F.col("event_type") != "error", half_up(F.col("value") + F.lit(10.0), 2))
-    return jobs.event_stream(spark, sf).select(
+    return jobs.event_stream(spark, sf, pattern, files_per_batch).select(
         F.col("user_id").alias("session_id"), e.alias("sample_id"), "ts", F.floor(F.unix_micros("ts") / 1000).cast("double").alias("frame_ts_ms"), px.alias("px"),
         (px / F.lit(20.0)).alias("mm"), (F.lit(0.3) + (e % 7).cast("double") * F.lit(0.05)).alias("x"), (F.lit(0.4) + (e % 3).cast("double") * F.lit(0.01)).alias("y"),
     )
