@@ -10,21 +10,26 @@ from ..functions.numeric import clamp, half_up, or_else, pick, settle
 from .ordered import Layout
 
 
-def session_summary(samples: DataFrame, clean: DataFrame) -> DataFrame:
-    """Duration, frame rate, usable share and recording quality of each session."""
-    frames = samples.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("frames"),
-        (F.max("frame_ts_ms") - F.min("frame_ts_ms")).alias("duration_ms"),
-        F.avg("confidence").alias("_conf"),
+def frame_totals(samples: DataFrame) -> DataFrame:
+    """Frame count, duration and mean confidence of each session."""
+    return samples.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("frames"), (F.max("frame_ts_ms") - F.min("frame_ts_ms")).alias("duration_ms"), F.avg("confidence").alias("_conf")
     )
-    kept = clean.groupBy("session_id").agg(F.count(F.lit(1)).alias("_kept"))
-    ratio = F.coalesce(F.col("_kept"), F.lit(0)) / (F.col("frames") * F.lit(2))
+
+
+def with_summary(totals: DataFrame, kept: Column) -> DataFrame:
+    """Add frame rate, usable share and recording quality; `kept` counts the usable points of both eyes."""
+    ratio = F.coalesce(kept, F.lit(0)) / (F.col("frames") * F.lit(2))
     fps = F.when(F.col("duration_ms") > 0, half_up(F.col("frames") * F.lit(1000.0) / F.col("duration_ms"))).otherwise(F.lit(0.0))
-    return frames.join(kept, "session_id", "left").select(
-        "session_id", "frames", "duration_ms", fps.alias("average_fps"), settle(ratio, 4).alias("valid_ratio"),
-        settle(F.col("_conf"), 2).alias("mean_confidence"),
+    return totals.select(
+        "*", fps.alias("average_fps"), settle(ratio, 4).alias("valid_ratio"), settle(F.col("_conf"), 2).alias("mean_confidence"),
         settle(clamp(ratio * F.lit(50.0) + F.col("_conf") * F.lit(0.5), 0.0, 100.0), 0).alias("recording_quality"),
-    )
+    ).drop("_conf")
+
+
+def session_summary(samples: DataFrame, kept: DataFrame) -> DataFrame:
+    """Duration, frame rate, usable share and recording quality; `kept` is (session_id, kept)."""
+    return with_summary(frame_totals(samples).join(kept, "session_id", "left"), F.col("kept")).drop("kept")
 
 
 def baseline_px(samples: DataFrame) -> DataFrame:
@@ -140,12 +145,13 @@ def eye_metrics(keys: DataFrame, features: DataFrame, px: DataFrame, cfg: Kineti
         F.when(enough, half_up(F.col("recovery_ms"))).alias("recovery75_ms"),
         usable(F.col("quality")).alias("quality_score"),
         usable(pattern, F.lit("INCONCLUSIVE")).alias("response_pattern"),
+        F.coalesce(F.col("points"), F.lit(0)).alias("kept_points"),
     )
 
 
 EYE_COLUMNS = (
     "baseline_mm", "baseline_px", "min_mm", "min_px", "amplitude_mm", "constriction_pct", "latency_ms", "mcv_mm_s",
-    "time_to_min_ms", "mean_velocity_mm_s", "recovery75_ms", "quality_score", "response_pattern",
+    "time_to_min_ms", "mean_velocity_mm_s", "recovery75_ms", "quality_score", "response_pattern", "kept_points",
 )
 
 
@@ -180,9 +186,8 @@ def asymmetry(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("asymmetry_severity", severity).withColumn("is_asymmetric", F.col("asymmetry_severity") != "SYMMETRIC")
 
 
-def report(asym: DataFrame, summary: DataFrame, cfg: KineticSettings = KineticSettings()) -> DataFrame:
-    """Overall quality, reliability and notes (array of text) per session."""
-    rows = asym.join(summary, "session_id")
+def report(rows: DataFrame, cfg: KineticSettings = KineticSettings()) -> DataFrame:
+    """Overall quality, reliability and notes (array of text) per session, from asymmetry and summary columns."""
     overall = half_up((F.col("left_quality_score") + F.col("right_quality_score") + F.col("recording_quality")) / F.lit(3.0))
     rows = rows.withColumn("overall_quality", overall)
     left, right = F.col("left_response_pattern"), F.col("right_response_pattern")

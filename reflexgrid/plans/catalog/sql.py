@@ -235,7 +235,7 @@ cte(
        CASE WHEN enough THEN {r('to_min')} ELSE 0e0 END AS time_to_min_ms,
        CASE WHEN enough THEN {s('amplitude / greatest(5e-2, (to_min - latency_ms) / 1000e0)', 2)} ELSE 0e0 END AS mean_velocity_mm_s,
        CASE WHEN enough THEN {r('recovery_ms')} END AS recovery75_ms,
-       CASE WHEN enough THEN quality ELSE 0e0 END AS quality_score,
+       CASE WHEN enough THEN quality ELSE 0e0 END AS quality_score, coalesce(points, 0) AS kept_points,
        CASE WHEN NOT enough OR quality < 40 THEN 'INCONCLUSIVE' WHEN amplitude < 2e-1 OR pct < 5 THEN 'NON_REACTIVE_FIXED'
             WHEN pct < 14 OR mcv < 14e-1 OR latency_ms > 380 THEN 'SLUGGISH_REDUCED' ELSE 'NORMAL_REACTIVE' END AS response_pattern
        FROM scored""",

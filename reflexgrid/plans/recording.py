@@ -44,8 +44,10 @@ class Recording:
         return kinetics.asymmetry(kinetics.pair_eyes(self.metrics()))
 
     def summary(self) -> DataFrame:
-        kept = self.per_eye(signal.repair_gaps)
+        kept = self.per_eye(signal.repair_gaps).groupBy("session_id").agg(F.count(F.lit(1)).alias("kept"))
         return kinetics.session_summary(self.samples, kept)
 
     def report(self) -> DataFrame:
-        return kinetics.report(self.asymmetry(), self.summary())
+        """The series are computed once: the summary takes its point counts from the metrics."""
+        rows = self.asymmetry().join(kinetics.frame_totals(self.samples), "session_id")
+        return kinetics.report(kinetics.with_summary(rows, F.col("left_kept_points") + F.col("right_kept_points")))
