@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -12,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..config import LiveSettings
 from ..functions.numeric import half_up
-from .ordered import Layout
+from .components import written
+from .ordered import HALO, Layout
 
 
 def stability(df: DataFrame, layout: Layout, cfg: LiveSettings = LiveSettings()) -> DataFrame:
@@ -104,12 +106,14 @@ def increasing(df: DataFrame, layout: Layout, value: str, out: str) -> DataFrame
 
 
 # ---- folds ------------------------------------------------------------------------------------------
-# A fold runs over rows sorted by (segment, order) in a partition and keeps only the last state, so it
-# needs no group in memory. Segments are cut wherever the fold restarts anyway, which also spreads the
-# rows of a long session over many partitions.
+# A fold runs over sorted rows and keeps only the last state, so it needs no group in memory.
+# For calm keys the rows are partitioned by segment; segments are cut wherever the fold restarts anyway.
+# For hot keys every chunk is folded on its own: it starts from a guess, made by folding some rows before
+# the chunk, and the guess is then checked against the end of the chunk before. Chunks with a wrong guess
+# are folded again from the right state until none is left, so the result is that of one long fold.
 
 
-def _fold(df: DataFrame, segment: list[str], order: list[str], step, init, added: T.StructType) -> DataFrame:
+def _fold(df: DataFrame, segment: list[str], order: list[str], step, added: T.StructType) -> DataFrame:
     names = df.columns
     schema = T.StructType([*df.schema.fields, *added.fields])
     new = [f.name for f in added.fields]
@@ -118,18 +122,73 @@ def _fold(df: DataFrame, segment: list[str], order: list[str], step, init, added
         key, state = None, None
         for pdf in batches:
             made = []
-            keys = list(zip(*[pdf[c].tolist() for c in segment]))
-            for k, row in zip(keys, zip(*[pdf[c].tolist() for c in names])):
+            for row in zip(*[pdf[c].tolist() for c in names]):
+                row = dict(zip(names, row))
+                k = tuple(row[c] for c in segment)
                 if k != key:
-                    key, state = k, init
-                state, values = step(state, dict(zip(names, row)))
+                    key, state = k, None
+                state, values = step(state, row)
                 made.append(values)
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(made, columns=new)], axis=1)
 
     return df.repartition(*segment).sortWithinPartitions(*segment, *order).mapInPandas(run, schema)
 
 
-def throttle(df: DataFrame, layout: Layout, time: str, interval_ms: float) -> DataFrame:
+def _fold_chunks(df: DataFrame, layout: Layout, restart: str, step, added: T.StructType, warm_up: int) -> DataFrame:
+    """The fold of each key over its chunks; a change of the `restart` column clears the state."""
+    parts = layout.parts
+    rows = written(layout.extend(df, warm_up, 0), "fold")
+    names = [*rows.columns, "_given"]
+    states = [T.StructField("_start", T.StringType()), T.StructField("_end", T.StringType())]
+    schema = T.StructType([*rows.schema.fields, T.StructField("_given", T.StringType()), *added.fields, *states])
+    blank = tuple(None for _ in added.fields)
+    new = [f.name for f in [*added.fields, *states]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, begun = None, (None, None), False
+        for pdf in batches:
+            made = []
+            for row in zip(*[pdf[c].tolist() for c in names]):
+                row = dict(zip(names, row))
+                k = tuple(row[c] for c in parts)
+                if k != key:
+                    key, state, begun = k, (None, None), False
+                start = None
+                if not row[HALO] and not begun:
+                    begun = True
+                    if isinstance(row["_given"], str):
+                        state = json.loads(row["_given"])
+                    start = json.dumps(state)
+                if row[HALO] and begun:
+                    made.append((*blank, None, None))
+                    continue
+                segment, inner = state
+                inner, values = step(inner if row[restart] == segment else None, row)
+                state = (row[restart], inner)
+                made.append((*(blank if row[HALO] else values), start, None if row[HALO] else json.dumps(state)))
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(made, columns=new).astype({"_start": object, "_end": object})], axis=1)
+
+    given = None
+    while True:
+        now = rows.withColumn("_given", F.lit(None).cast("string")) if given is None else rows.join(given, parts, "left")
+        folded = now.repartition(*parts).sortWithinPartitions(*parts, *layout.order).mapInPandas(run, schema)
+        done = written(folded.where(~F.col(HALO)).drop(HALO), "folded")
+        ends = done.groupBy(*parts).agg(F.max("_start").alias("_start"), F.max_by("_end", F.struct(*layout.order)).alias("_end"))
+        before = F.lag("_end").over(Window.partitionBy(*layout.keys).orderBy(layout.chunk))
+        wrong = ends.select(*parts, before.alias("_given"), "_start").where("_given <> _start").drop("_start")
+        if wrong.isEmpty():
+            return done.drop("_given", "_start", "_end")
+        wrong = written(wrong, "starts")
+        given = wrong if given is None else given.join(wrong, parts, "left_anti").unionByName(wrong)
+
+
+def _fold_series(df: DataFrame, layout: Layout, restart: str, step, added: T.StructType, warm_up: int = 64) -> DataFrame:
+    if layout.chunk:
+        return _fold_chunks(df, layout, restart, step, added, warm_up)
+    return _fold(df, [*layout.keys, restart], list(layout.order), step, added)
+
+
+def throttle(df: DataFrame, layout: Layout, time: str, interval_ms: float, warm_up: int = 64) -> DataFrame:
     """Keep a row when at least `interval_ms` have passed since the last kept row."""
     rows = layout.extend(df, 1, 0)
     gap = F.col(time) - F.lag(time).over(layout.window())
@@ -142,8 +201,7 @@ def throttle(df: DataFrame, layout: Layout, time: str, interval_ms: float) -> Da
         return (t if keep else last), (keep,)
 
     added = T.StructType([T.StructField("_keep", T.BooleanType())])
-    done = _fold(rows, [*layout.keys, "_seg"], list(layout.order), step, None, added)
-    return done.where("_keep").drop("_keep", "_seg")
+    return _fold_series(rows, layout, "_seg", step, added, warm_up).where("_keep").drop("_keep", "_seg")
 
 
 STABILISED = T.StructType(
@@ -170,7 +228,7 @@ def ema_step(state, px: float, x: float, y: float, mm: float | None, cfg: LiveSe
     return (radius, x, y, mm), (radius * 2, x, y, mm, jump)
 
 
-def stabilise(df: DataFrame, layout: Layout, cfg: LiveSettings = LiveSettings()) -> DataFrame:
+def stabilise(df: DataFrame, layout: Layout, cfg: LiveSettings = LiveSettings(), warm_up: int = 64) -> DataFrame:
     """Exponential smoothing of (px, x, y, mm); a loss yields nulls and restarts the smoothing."""
     rows = lost_runs(df.withColumn("valid", F.coalesce(F.col("px") > 0, F.lit(False))), layout, cfg)
     rows = layout.prefix(rows, {"_run": ("sum", (~F.col("valid")).cast("long"))})
@@ -178,6 +236,6 @@ def stabilise(df: DataFrame, layout: Layout, cfg: LiveSettings = LiveSettings())
     def step(state, row):
         return ema_step(state, row["px"], row["x"], row["y"], row["mm"], cfg)
 
-    seen = _fold(rows.where("valid"), [*layout.keys, "_run"], list(layout.order), step, None, STABILISED)
+    seen = _fold_series(rows.where("valid"), layout, "_run", step, STABILISED, warm_up)
     gone = rows.where("not valid").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in STABILISED.fields])
     return seen.unionByName(gone).drop("_run", "valid", "lost_run")

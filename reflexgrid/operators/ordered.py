@@ -48,6 +48,8 @@ class Layout:
         """Give every chunk copies of its neighbours' rows: `before` earlier and `after` later ones."""
         if not self.chunk:
             return df
+        if not before and not after:
+            return df.withColumn(HALO, F.lit(False))
         w = self.window()
         names = df.columns
         one = F.struct(*names)

@@ -96,3 +96,17 @@ def test_zero_time_step_repeats_last_slope_across_chunks(spark, rows_of):
     got = [r["velocity"] for r in sorted(plain.collect(), key=lambda r: r["sample_id"])]
     assert got == pytest.approx([20.0, 40.0, 40.0, 40.0, 40.0, 20.0, 20.0])
     same(rows_of, plain, cut)
+
+
+@pytest.mark.parametrize("warm_up", [0, 3, 64])
+def test_folds_over_dense_chunks(spark, rows_of, warm_up):
+    """No gap and no loss anywhere, so nothing restarts the folds; wrong guesses must be repaired."""
+    import random
+
+    rnd = random.Random(1)
+    rows = [(s, i, i * 33.0 + rnd.random(), 40 + 5 * rnd.random(), rnd.random(), rnd.random(), 2 + rnd.random()) for s in (1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "session_id long, sample_id long, frame_ts_ms double, px double, x double, y double, mm double")
+    plain, cut = Layout(KEYS, ORDER), Layout(KEYS, ORDER, "_c")
+    chunked = df.withColumn("_c", F.floor(F.col("sample_id") / 25))
+    same(rows_of, live.throttle(df, plain, "frame_ts_ms", 100.0), live.throttle(chunked, cut, "frame_ts_ms", 100.0, warm_up).drop("_c"))
+    same(rows_of, live.stabilise(df, plain), live.stabilise(chunked, cut, warm_up=warm_up).drop("_c"))
