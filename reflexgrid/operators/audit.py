@@ -87,6 +87,17 @@ def distinct_values(masks: DataFrame) -> DataFrame:
     return masks.groupBy("split").agg(F.sort_array(F.collect_set("class")).alias("classes"), F.count_distinct("sample").alias("samples"))
 
 
+def distinct_formats(images: DataFrame) -> DataFrame:
+    """Sizes and channel counts in use per split and kind, with exact and approximate file counts."""
+    return images.groupBy("split", "kind", "width", "height", "nChannels").agg(F.count(F.lit(1)).alias("files"), F.approx_count_distinct("name").alias("approx_names"))
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows for a report, with the number of rows left out (a top-k, not a full sort)."""
+    rest = df.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0))).scalar()
+    return df.orderBy(*order).limit(n).withColumn("more", rest)
+
+
 def illegal_values(masks: DataFrame, allowed: tuple[int, ...] = AuditSettings.classes, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Images whose masks hold other values than the allowed ones."""
     found = masks.groupBy(*keys).agg(F.sort_array(F.collect_set("class")).alias("classes"))

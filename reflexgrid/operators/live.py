@@ -92,6 +92,14 @@ def drop_repeats(df: DataFrame, layout: Layout, value: str) -> DataFrame:
     return rows.where(F.col("_last").isNull() | (F.col("_last") != F.col(value))).drop("_last")
 
 
+def raw_jumps(df: DataFrame, layout: Layout, cfg: LiveSettings = LiveSettings()) -> DataFrame:
+    """Flag steps of the normalised centre (x, y) above `max_jump`; the stabiliser tests against its own smoothed centre instead."""
+    w = layout.window()
+    rows = layout.extend(df, 1, 0)
+    dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
+    return layout.trim(rows.withColumn("is_jump", F.coalesce(F.sqrt(dx * dx + dy * dy) > cfg.max_jump, F.lit(False))))
+
+
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """Newest n rows per key; Spark limits each task's rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -125,20 +125,37 @@ def random_factor(seed: int, low: float, high: float, keys: tuple[str, ...] = IM
     return F.lit(low) + _unit(seed, *keys) * F.lit(high - low)
 
 
-def remap(pixels: DataFrame, value: str, size: tuple[int, int], flip: Column, angle_deg: Column, dx: Column, dy: Column, keys: tuple[str, ...] = IMAGE) -> DataFrame:
+def remap(
+    pixels: DataFrame, value: str, size: tuple[int, int], flip: Column, angle_deg: Column, dx: Column, dy: Column, method: str = "nearest", keys: tuple[str, ...] = IMAGE
+) -> DataFrame:
     """Flip, rotate about the centre and shift; outside pixels become 0. Image and mask use the same map.
 
-    Every target pixel looks up one source pixel (nearest), as an equi join on (image, y, x).
+    Every target pixel looks up its source pixel ("nearest", for masks) or the four around its source
+    point ("bilinear", for images), as an equi join on (image, y, x).
     """
     w, h = size
     x = F.when(flip, F.lit(w - 1) - (F.col("x") - dx)).otherwise(F.col("x") - dx)
     a = -F.radians(angle_deg)
     cx, cy = x + F.lit(0.5 - w / 2), F.col("y") - dy + F.lit(0.5 - h / 2)
-    sx = F.floor(half_up(F.cos(a) * cx + F.sin(a) * cy + F.lit(w / 2), 9)).cast("int")
-    sy = F.floor(half_up(-F.sin(a) * cx + F.cos(a) * cy + F.lit(h / 2), 9)).cast("int")
-    wanted = pixels.select(*keys, "y", "x", sy.alias("_sy"), sx.alias("_sx"))
+    at_x, at_y = half_up(F.cos(a) * cx + F.sin(a) * cy + F.lit(w / 2), 9), half_up(-F.sin(a) * cx + F.cos(a) * cy + F.lit(h / 2), 9)
     source = pixels.select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"), value)
-    return wanted.join(source, [*keys, "_sy", "_sx"], "left").select(*keys, "y", "x", F.coalesce(F.col(value), F.lit(0)).alias(value))
+    if method == "nearest":
+        wanted = pixels.select(*keys, "y", "x", F.floor(at_y).cast("int").alias("_sy"), F.floor(at_x).cast("int").alias("_sx"))
+        return wanted.join(source, [*keys, "_sy", "_sx"], "left").select(*keys, "y", "x", F.coalesce(F.col(value), F.lit(0)).alias(value))
+    spots = pixels.select(*keys, "y", "x", at_y.alias("_ay"), at_x.alias("_ax"))
+    spots = spots.select("*", F.floor(F.col("_ay") - 0.5).alias("_by"), F.floor(F.col("_ax") - 0.5).alias("_bx"))
+    fy, fx = F.col("_ay") - 0.5 - F.col("_by"), F.col("_ax") - 0.5 - F.col("_bx")
+    inside = (F.col("_ax") >= 0) & (F.col("_ax") < w) & (F.col("_ay") >= 0) & (F.col("_ay") < h)
+
+    def tap(i: int, j: int) -> Column:
+        fit = lambda c, n: F.greatest(F.lit(0), F.least(c, F.lit(n - 1))).cast("int")
+        weight = (fy if i else F.lit(1.0) - fy) * (fx if j else F.lit(1.0) - fx)
+        return F.struct(fit(F.col("_by") + i, h).alias("sy"), fit(F.col("_bx") + j, w).alias("sx"), weight.alias("w"))
+
+    taps = F.when(inside, F.array(*[tap(i, j) for i in (0, 1) for j in (0, 1)]))
+    wanted = spots.select(*keys, "y", "x", F.explode_outer(taps).alias("t")).select(*keys, "y", "x", F.col("t.sy").alias("_sy"), F.col("t.sx").alias("_sx"), F.col("t.w").alias("_w"))
+    share = F.coalesce(F.sum(F.col(value) * F.col("_w")), F.lit(0.0))
+    return wanted.join(source, [*keys, "_sy", "_sx"], "left").groupBy(*keys, "y", "x").agg(share.alias(value))
 
 
 def difference_hash(pixels: DataFrame, width: int, height: int, keys: tuple[str, ...] = IMAGE) -> DataFrame:

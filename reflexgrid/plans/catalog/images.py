@@ -504,6 +504,35 @@ add(
     lambda spark, sf: audit.review_list(_image_flags(spark, sf), _mask_flags(spark, sf)),
     query(("iflags", "mflags"), "SELECT split, sample, 'IMAGE_QUALITY' AS type, flags FROM iflags WHERE flags <> '' UNION ALL SELECT split, sample, 'MASK_ANOMALY', flags FROM mflags WHERE flags <> ''"),
 )
+add(
+    "review_top",
+    lambda spark, sf: audit.first_rows(audit.review_list(_image_flags(spark, sf), _mask_flags(spark, sf)), ["split", "sample", "type"], 25),
+    query(
+        ("iflags", "mflags"),
+        """SELECT split, sample, type, flags, (SELECT greatest(count(*) - 25, 0) FROM listed) AS more FROM listed ORDER BY split, sample, type LIMIT 25""",
+    ).replace("\nSELECT split", """, listed AS (SELECT split, sample, 'IMAGE_QUALITY' AS type, flags FROM iflags WHERE flags <> '' UNION ALL SELECT split, sample, 'MASK_ANOMALY', flags FROM mflags WHERE flags <> '')\nSELECT split""", 1),
+)
+add(
+    "first_names",
+    lambda spark, sf: audit.first_rows(audit.missing_masks(*_files(spark, sf)).select("split", "name"), ["name"], 10),
+    query(
+        ("image_files", "mask_files"),
+        """SELECT split, name, (SELECT count(*) FROM image_files WHERE name NOT IN (SELECT name FROM mask_files)) - 10 AS more FROM image_files WHERE name NOT IN (SELECT name FROM mask_files) ORDER BY name LIMIT 10""",
+    ),
+)
+add(
+    "augment_geometric_bilinear",
+    lambda spark, sf: pixels.remap(fx.thumbs(spark, sf), "lum", (8, 8), F.lit(False), F.lit(5.0), F.lit(1), F.lit(0), "bilinear").select(*K, "y", "x", settle(F.col("lum"), 4).alias("lum")),
+    query(
+        ("thumbs",),
+        f"""SELECT g.split, g.sample, g.y, g.x, {s("coalesce(sum(t.lum * g.w), 0e0)", 4)} AS lum FROM (
+              SELECT *, greatest(0, least(7, by_ + i)) AS sy, greatest(0, least(7, bx_ + j)) AS sx, CASE WHEN i = 1 THEN ay - 5e-1 - by_ ELSE 1 - (ay - 5e-1 - by_) END * CASE WHEN j = 1 THEN ax - 5e-1 - bx_ ELSE 1 - (ax - 5e-1 - bx_) END AS w
+              FROM (SELECT *, floor(ay - 5e-1)::INT AS by_, floor(ax - 5e-1)::INT AS bx_ FROM (
+                SELECT split, sample, y, x, {r("cos(-radians(5e0)) * (x - 1 - 35e-1) + sin(-radians(5e0)) * (y - 35e-1) + 4e0", 9)} AS ax, {r("-sin(-radians(5e0)) * (x - 1 - 35e-1) + cos(-radians(5e0)) * (y - 35e-1) + 4e0", 9)} AS ay FROM thumbs)),
+                range(2) a(i), range(2) b(j)) g
+            LEFT JOIN thumbs t ON t.split = g.split AND t.sample = g.sample AND t.y = g.sy AND t.x = g.sx AND g.ax >= 0 AND g.ax < 8 AND g.ay >= 0 AND g.ay < 8 GROUP BY ALL""",
+    ),
+)
 add(
     "audit_summary",
     lambda spark, sf: audit.run_summary(_checked(spark, sf), audit.review_list(_image_flags(spark, sf), _mask_flags(spark, sf))),

@@ -310,3 +310,17 @@ add(
             {r('radius * 2e0', 6)} AS smooth_px, {r('x', 6)} AS smooth_x, {r('y', 6)} AS smooth_y, {r('mm', 6)} AS smooth_mm FROM walk""",
     ),
 )
+add(
+    "raw_jumps",
+    lambda spark, sf: _apply(
+        spark, sf, live.raw_jumps,
+        lambda rec: rec.samples.where("left_px is not null").select(
+            "session_id", "sample_id", "frame_ts_ms", (F.col("sample_id") % 7 * F.lit(0.05)).alias("x"), (F.col("sample_id") % 3 * F.lit(0.01)).alias("y")
+        ),
+    ).select("session_id", "sample_id", "is_jump"),
+    query(
+        ("samples",),
+        """SELECT session_id, sample_id, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) > 12e-2, false) AS is_jump
+           FROM (SELECT session_id, sample_id, frame_ts_ms, sample_id % 7 * 5e-2 AS x, sample_id % 3 * 1e-2 AS y FROM samples WHERE left_px IS NOT NULL) WINDOW w AS (PARTITION BY session_id ORDER BY frame_ts_ms, sample_id)""",
+    ),
+)

@@ -47,6 +47,11 @@ def test_scan(spark, folder):
     assert {r["name"] for r in images.artifacts(spark, folder).collect()} == {"desktop.ini"}
 
 
+def test_formats(spark, folder):
+    got = {(r["split"], r["kind"], r["width"], r["height"], r["nChannels"]): r["files"] for r in audit.distinct_formats(images.readable(images.scan_images(spark, folder))).collect()}
+    assert got == {("train", "image", 4, 3, 1): 1, ("train", "segmentation", 4, 3, 1): 1, ("val", "image", 2, 2, 3): 1}
+
+
 def test_pixels(spark, folder):
     found = images.readable(images.scan_images(spark, folder)).where("kind = 'image'")
     got = {(r["name"], r["y"], r["x"]): r["lum"] for r in images.gray_pixels(found, ["split", "name"]).collect()}
@@ -142,5 +147,8 @@ def test_light_and_geometry_are_repeatable(spark):
     assert sorted(map(tuple, same.select(*px.columns).collect())) == sorted(map(tuple, px.collect()))
     shifted = {(r["sample"], r["y"], r["x"]): r["lum"] for r in pixels.remap(px, "lum", (8, 8), F.lit(False), F.lit(0.0), F.lit(2), F.lit(-1)).collect()}
     assert shifted[0, 0, 2] == 20.0 and shifted[0, 7, 3] == 0.0 and shifted[0, 0, 1] == 0.0
+    for moved in ("nearest", "bilinear"):
+        out = pixels.remap(px, "lum", (8, 8), F.lit(False), F.lit(0.0), F.lit(1), F.lit(1), moved).select(*px.columns)
+        assert sorted(map(tuple, out.collect())) == sorted(("t", s, y, x, float(20 * (y - 1) + x - 1) if y and x else 0.0) for s in range(3) for y in range(8) for x in range(8))
     turned = {(r["y"], r["x"]): r["lum"] for r in pixels.remap(px.where("sample = 0"), "lum", (8, 8), F.lit(False), F.lit(90.0), F.lit(0), F.lit(0)).collect()}
     assert turned[0, 0] == 7.0 and turned[7, 0] == 0.0 and turned[0, 7] == 147.0
