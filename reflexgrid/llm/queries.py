@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -40,3 +41,35 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from .toxicity import score
+
+    return _scored(table(spark, sf, "documents"), lambda docs: score(docs, toxicity_model(spark, sf)), 5, 0)
+
+
+def toxicity_model(spark: SparkSession, sf: str):
+    """Trained on at most 1,200 labelled documents of each class; those with crc32 of the id divisible by 5 are held out."""
+    from .labelled import fold, sample
+    from .toxicity import train
+
+    return train(sample(table(spark, sf, "documents"), table(spark, sf, "labels"), "toxic", fold("doc_id", 5) != 0, 1200))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from .labelled import fold, sample
+    from .quality import score, train
+
+    docs = table(spark, sf, "documents")
+    model = train(sample(docs, table(spark, sf, "labels"), "quality", fold("doc_id", 3) != 1, 1500))
+    return _scored(docs, lambda d: score(d, model), 3, 1)
+
+
+def _scored(docs: DataFrame, score: Callable, parts: int, held: int) -> DataFrame:
+    from .labelled import fold
+
+    held_out = F.coalesce(fold("doc_id", parts) == held, F.lit(False))
+    return score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
