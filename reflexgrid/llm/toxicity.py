@@ -218,7 +218,7 @@ def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most:
             return 0.0
         return k * np.log(k / ((k + o) * share)) + (o * np.log(o / ((k + o) * (1 - share))) if o else 0)
 
-    value = {s: v for s in count if (v := ratio(s)) > 1.5 * np.log(looked)}
+    value = {s: v for s in count if (v := ratio(s)) > 2 * np.log(looked)}
     chosen: list[str] = []
     while value and len(chosen) < most - plain:
         best = max(value, key=lambda s: (value[s] * len(s) ** 0.5, s))
@@ -234,7 +234,7 @@ def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most:
                         touched.add(s)
         for s in touched & value.keys():
             value[s] = ratio(s) if count[s] else 0.0
-            if value[s] <= 1.5 * np.log(looked):
+            if value[s] <= 2 * np.log(looked):
                 del value[s]
     return chosen + [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= ORDER + 1][:plain]
 
@@ -314,6 +314,7 @@ def fit(docs: list[tuple[int, list[list[str]]]], landmarks: int = 48, rounds: in
     model = Model(marks, root @ w, b)
     every = sorted({w for _, words in flat for w in words})
     known = dict(zip(every, model.unit_scores(every).tolist(), strict=True))
+    flat = [(label, words) for label, words in flat if not label or any(known[w] > -0.5 for w in words)]  # others show nothing of what is toxic
     strongest = np.array([max(map(known.__getitem__, words)) if words else b for _, words in flat] + model.unit_scores(more[: len(toxic) // 12]).tolist())
     label = np.array([label for label, _ in flat] + [1] * len(more[: len(toxic) // 12]))  # variants count as toxic texts
     model.slope, model.middle = calibrate(strongest, label)
