@@ -212,8 +212,16 @@ def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most:
                     other[s] += n
     share = len(toxic) / (len(toxic) + n_clean)
 
+    docs_of = defaultdict(set)
+    for d, words in enumerate(toxic):
+        for w in words:
+            if w in df:
+                docs_of[w].add(d)
+
     def ratio(s: str) -> float:
-        k, o = count[s], other[s]
+        if count[s] < 3 or count[s] * -np.log(share) <= 2 * np.log(looked):
+            return 0.0  # no number of documents could do
+        k, o = len(set().union(*(docs_of[w] for w in holds[s]))), other[s]
         if k / len(toxic) < 10 * o / max(1, n_clean):
             return 0.0
         return k * np.log(k / ((k + o) * share)) + (o * np.log(o / ((k + o) * (1 - share))) if o else 0)
@@ -233,7 +241,7 @@ def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most:
                         count[s] -= df[w]
                         touched.add(s)
         for s in touched & value.keys():
-            value[s] = ratio(s) if count[s] else 0.0
+            value[s] = ratio(s)
             if value[s] <= 2 * np.log(looked):
                 del value[s]
     return chosen + [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= ORDER + 1][:plain]
