@@ -219,14 +219,14 @@ def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most:
                 docs_of[w].add(d)
 
     def ratio(s: str) -> float:
-        if count[s] < 3 or count[s] * -np.log(share) <= 2 * np.log(looked):
+        if count[s] < 3 or count[s] * -np.log(share) <= 1.2 * np.log(looked):
             return 0.0  # no number of documents could do
         k, o = len(set().union(*(docs_of[w] for w in holds[s]))), other[s]
         if k / len(toxic) < 10 * o / max(1, n_clean):
             return 0.0
         return k * np.log(k / ((k + o) * share)) + (o * np.log(o / ((k + o) * (1 - share))) if o else 0)
 
-    value = {s: v for s in count if (v := ratio(s)) > 2 * np.log(looked)}
+    value = {s: v for s in count if (v := ratio(s)) > 1.2 * np.log(looked)}
     chosen: list[str] = []
     while value and len(chosen) < most - plain:
         best = max(value, key=lambda s: (value[s] * len(s) ** 0.5, s))
@@ -242,7 +242,7 @@ def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most:
                         touched.add(s)
         for s in touched & value.keys():
             value[s] = ratio(s)
-            if value[s] <= 2 * np.log(looked):
+            if value[s] <= 1.2 * np.log(looked):
                 del value[s]
     return chosen + [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= ORDER + 1][:plain]
 
