@@ -73,3 +73,24 @@ def _scored(docs: DataFrame, score: Callable, parts: int, held: int) -> DataFram
 
     held_out = F.coalesce(fold("doc_id", parts) == held, F.lit(False))
     return score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf, "documents"))
+
+
+@query("op3_repeated_passages")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from .repeats import removals
+
+    return removals(table(spark, sf, "documents"))
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from .decontaminate import matches
+
+    return matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
