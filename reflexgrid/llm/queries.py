@@ -94,3 +94,17 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     from .decontaminate import matches
 
     return matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op6_ngram_jaccard")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from .jaccard import classes
+
+    return classes(table(spark, sf, "documents"), size=3, percent=90)
+
+
+@query("op10_near_vectors")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from .near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf, "embeddings"))
