@@ -279,3 +279,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     joined = components(found.select("a", "b").union(reps.select(F.col("key").alias("a"), F.col("rep").alias("b"))))
     out = rows.join(checked(joined.select(F.col("node").alias("key"), "component")), "key", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most: int = 2000) -> DataFrame:
+    """The rows of `df`, all columns, but one document alone of each group: the one with the smallest key. Rows with equal keys are one
+    document, of which one row stays. Null keys are linked with nothing and stay."""
+    found = written(classes(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", size, percent, most), "groups")
+    gone = found.where("key <> component_id").select("key").distinct()
+    left = df.join(checked(gone.withColumnRenamed("key", "__gone")), F.col(key) == F.col("__gone"), "left_anti")
+    again = written(found.groupBy("key").count().where("key is not null and count > 1").select(F.col("key").alias("__again")), "again")
+    if not again.take(1):
+        return left
+    plain = left.join(checked(again), F.col(key) == F.col("__again"), "left_anti")
+    several = left.join(checked(again), F.col(key) == F.col("__again"), "left_semi")
+    first = several.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*df.columns)))).where("__n = 1")
+    return plain.unionByName(first.drop("__n"))

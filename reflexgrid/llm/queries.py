@@ -50,12 +50,13 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(table(spark, sf, "documents"), lambda docs: score(docs, toxicity_model(spark, sf)), 5, 0)
 
 
-def toxicity_model(spark: SparkSession, sf: str):
+def toxicity_model(spark: SparkSession, sf: str, docs: DataFrame | None = None):
     """Trained on at most 1,200 labelled documents of each class; those with crc32 of the id divisible by 5 are held out."""
     from .labelled import fold, sample
     from .toxicity import train
 
-    return train(sample(table(spark, sf, "documents"), table(spark, sf, "labels"), "toxic", fold("doc_id", 5) != 0, 1200))
+    docs = table(spark, sf, "documents") if docs is None else docs
+    return train(sample(docs, table(spark, sf, "labels"), "toxic", fold("doc_id", 5) != 0, 1200))
 
 
 @query("op7_quality")
@@ -108,3 +109,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from .near_vectors import near_vectors
 
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op4_main_text")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from .pages import main_text, train
+
+    pages = table(spark, sf, "pages")
+    return main_text(pages, train(pages))

@@ -20,9 +20,12 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import map_rows, texts
@@ -445,3 +448,18 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     rows = texts(df, key, text)
     kind = rows.schema["key"].dataType.simpleString()
     return map_rows(rows, f"key {kind}, score double", each).withColumnRenamed("key", key)
+
+
+def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `df`, all columns, whose text scores under the threshold; rows with null texts stay."""
+    shared, at = Shared(df.sparkSession, model), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = scorer(shared)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                said = s.model.probability(np.array(s.distances([t or "" for t in part.column(at).to_pylist()]), float))
+                yield part.filter(pc.or_(pa.array(said < threshold), pc.is_null(part.column(at))))
+
+    return df.mapInArrow(run, df.schema)
