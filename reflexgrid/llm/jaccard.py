@@ -120,43 +120,67 @@ def sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def ties(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(a, b): documents that agree in a part, tied to the smallest key of those that do."""
-    kind = df.schema[key].dataType.simpleString()
+    """(a, b): documents that agree in a part, tied to the smallest key of those that do.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, met = Levels(percent), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found, rows = [], []
-                for i, t in enumerate(some.column(1).to_pylist()):
-                    s = shingles(t, size)
-                    mark = hash(s.tobytes())
-                    if mark in met:  # an equal set of this task has sent its digests
-                        continue
-                    if len(met) < 1_000_000:
-                        met.add(mark)
-                    found.append(digests(s, levels))
-                    rows.append(i)
-                lengths = np.fromiter(map(len, found), np.int64, len(found))
-                at_rows = np.repeat(np.array(rows, np.int64), lengths)
-                yield pa.record_batch([pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64)), some.column(0).take(pa.array(at_rows))], names=["digest", "key"])
+    A part of the documents is read first for digests that very many share (at most 20,000 are taken). Of these a task sends on only
+    one row each and ties its other documents to that row's, so no digest gathers many rows; which digests go this way has no effect
+    on the components."""
+    kind = df.schema[key].dataType.simpleString()
 
+    def sender(common):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            levels, met, anchors = Levels(percent), set(), {}
+            hot = common.value if common else np.zeros(0, np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    some = batch.slice(at, 256)
+                    keys = some.column(0).to_pylist()
+                    found, rows, to = [], [], []
+                    for i, t in enumerate(some.column(1).to_pylist()):
+                        s = shingles(t, size)
+                        mark = hash(s.tobytes())
+                        if mark in met:  # an equal set of this task has sent its digests
+                            continue
+                        if len(met) < 1_000_000:
+                            met.add(mark)
+                        own = digests(s, levels).view(np.int64)
+                        anchor = None
+                        if len(hot):
+                            place = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+                            shared = hot[place] == own
+                            if shared.any():
+                                held = [anchors.setdefault(d, keys[i]) for d in own[shared].tolist()]
+                                send = ~shared
+                                send[shared] = [h == keys[i] for h in held]
+                                own = own[send]
+                                for h in {h for h in held if h != keys[i]}:
+                                    found.append(np.zeros(1, np.int64))
+                                    rows.append(i)
+                                    to.append(h)
+                        found.append(own)
+                        rows.append(i)
+                        to.append(anchor)
+                    lengths = np.fromiter(map(len, found), np.int64, len(found))
+                    spread = pa.array(np.repeat(np.arange(len(rows)), lengths))
+                    yield pa.record_batch(
+                        [pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), some.column(0).take(pa.array(rows, pa.int64()).take(spread)), pa.array(to, some.column(0).type).take(spread)],
+                        names=["digest", "key", "anchor"],
+                    )
+
+        return run
+
+    schema = f"digest bigint, key {kind}, anchor {kind}"
     rows = texts(df.where(F.col(key).isNotNull()), key, text)
-    sent = rows.mapInArrow(run, f"digest bigint, key {kind}")
-    # digests that very many documents share are found on a part of the documents; these get their smallest key by partial aggregation
-    # and a broadcast, the others by a window; which way a digest goes has no effect on the result
     sampled = rows.where(F.pmod(F.xxhash64("key"), F.lit(64)) == 0)
-    seen = sampled.mapInArrow(run, f"digest bigint, key {kind}").groupBy("digest").count()
-    common = written(seen.where("count >= 8").orderBy(F.desc("count"), "digest").limit(20_000).select("digest"), "common")
-    if common.take(1):
-        hot = sent.join(F.broadcast(common), "digest")
-        least = written(hot.groupBy("digest").agg(F.min("key").alias("b")), "least")
-        tied_hot = hot.join(F.broadcast(least), "digest").select(F.col("key").alias("a"), "b")
-        sent = sent.join(F.broadcast(common), "digest", "left_anti")
-    w = Window.partitionBy("digest")
-    tied = sent.select(F.col("key").alias("a"), F.min("key").over(w).alias("b"))
-    return (tied.union(tied_hot) if common.take(1) else tied).where("a <> b").distinct()
+    seen = sampled.mapInArrow(sender(None), schema).groupBy("digest").count()
+    common = sorted(r["digest"] for r in seen.where("count >= 8").orderBy(F.desc("count"), "digest").limit(20_000).collect())
+    shared = df.sparkSession.sparkContext.broadcast(np.array(common, np.int64))
+    sent = rows.mapInArrow(sender(shared), schema)
+    # rows that are tied already go by their own key, so they meet in no group
+    group = F.when(F.col("anchor").isNull(), F.col("digest")).otherwise(F.xxhash64("key", "anchor"))
+    least = F.min(F.when(F.col("anchor").isNull(), F.col("key"))).over(Window.partitionBy("group"))
+    tied = sent.withColumn("group", group).select(F.col("key").alias("a"), F.coalesce("anchor", least).alias("b"))
+    return tied.where("a <> b").distinct()
 
 
 class Index:

@@ -48,7 +48,7 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article content post entry story main text body hentry articlebody".split())
 PRIOR = {
-    "bias": -0.5, "bad tag": -5.0, "bad word": -5.0, "in bad": -5.0, "main tag": 3.0, "in main": 2.0, "good word": 1.5, "heading": 0.5, "paragraph": 1.0,
+    "bias": 0.5, "bad tag": -7.0, "bad word": -7.0, "in bad": -7.0, "main tag": 3.0, "in main": 2.0, "good word": 1.5, "heading": 1.0, "paragraph": 1.0,
     "links most": -3.0, "links some": -0.5, "long": 1.5, "sentences": 1.0, "rights": -4.0, "root": -1.0,
 }
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows, texts, written
 
@@ -83,8 +84,9 @@ def cleaned(df: DataFrame, removed: DataFrame, key: str = "doc_id", text: str =
     that remain, in order. The removed spans of one key meet in one row; they are bounded by its own text."""
     spans = removed.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cut"))
     both = df.join(spans, df[key].eqNullSafe(spans["__key"]), "left").drop("__key")
-    n, k = both.columns.index(text), both.columns.index("__cut")
-    schema = df.schema.add("kept", "array<struct<start:bigint,end:bigint>>")
+    n, k, names = both.columns.index(text), both.columns.index("__cut"), [*df.columns, "kept"]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("kept", T.ArrayType(span))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -106,6 +108,6 @@ def cleaned(df: DataFrame, removed: DataFrame, key: str = "doc_id", text: str =
                 kept.append([{"start": a, "end": b} for a, b in left])
             columns = [c for i, c in enumerate(batch.columns) if i != k]
             columns[n] = pa.array(new, batch.schema.field(n).type)
-            yield pa.record_batch([*columns, pa.array(kept, spans)], names=[*df.columns, "kept"])
+            yield pa.record_batch([*columns, pa.array(kept, spans)], names=names)
 
     return both.mapInArrow(cut, schema)

@@ -193,7 +193,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (np.asarray(distance) - self.middle), -30, 30)))
 
 
-def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most: int, plain: int = PLAIN) -> list[str]:
+def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most: int, plain: int = PLAIN) -> tuple[list[str], list[str]]:
     """Strings of 4 to 10 characters that mark toxic documents, and some frequent clean strings.
 
     Of all strings the one with the largest likelihood ratio (longer ones weigh more) is taken in turn, and the units that hold it are
@@ -247,7 +247,7 @@ def choose_landmarks(toxic: list[list[str]], clean: Counter, n_clean: int, most:
             value[s] = ratio(s)
             if value[s] <= 1.2 * np.log(looked):
                 del value[s]
-    return chosen + [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= ORDER + 1][:plain]
+    return chosen, [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= ORDER + 1][:plain]
 
 
 def variants(word: str, seed: int) -> list[str]:
@@ -283,9 +283,10 @@ def fit(docs: list[tuple[int, list[list[str]]]], landmarks: int = 48, rounds: in
     clean: Counter = Counter(u for label, words in flat if not label for u in words)
     if not toxic:
         return Model([], np.zeros(0), NOTHING)
-    marks = choose_landmarks(toxic, clean, len(flat) - sum(label for label, _ in flat), landmarks)
-    if not marks:
+    telling, ordinary = choose_landmarks(toxic, clean, len(flat) - sum(label for label, _ in flat), landmarks)
+    if not telling:
         return Model([], np.zeros(0), NOTHING)
+    marks = telling + ordinary
     features = Features(marks)
     # Nystrom: map kernel values k(u, .) by the inverse root of the landmarks' own kernel matrix
     grid = features.matrix(marks)
@@ -303,8 +304,7 @@ def fit(docs: list[tuple[int, list[list[str]]]], landmarks: int = 48, rounds: in
     spotted = sorted({w for words in toxic for w in words if not clean[w]})
     at = {w: i for i, w in enumerate(spotted)}
     xs = features.matrix(spotted)
-    n_toxic = sum(m not in clean or i < len(marks) - PLAIN for i, m in enumerate(marks))
-    close = xs[:, :n_toxic].max(axis=1)
+    close = xs[:, : len(telling)].max(axis=1)
     guide = close - 0.75
     w, b, more = np.zeros(len(marks)), NOTHING, []
     for _ in range(rounds):
