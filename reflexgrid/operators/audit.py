@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import AuditSettings
@@ -43,16 +43,15 @@ def name_sets(images: DataFrame, masks: DataFrame) -> DataFrame:
 def class_counts(masks: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Pixels and percent of each class per key."""
     counts = masks.groupBy(*keys, "class").agg(F.count(F.lit(1)).alias("pixels"))
-    total = counts.groupBy(*keys).agg(F.sum("pixels").alias("_all"))
-    return counts.join(total, list(keys)).select(*keys, "class", "pixels", half_up(F.col("pixels") / F.col("_all") * F.lit(100.0), 4).alias("percent"))
+    every = F.sum("pixels").over(Window.partitionBy(*keys))  # over the few counts of a key
+    return counts.select(*keys, "class", "pixels", half_up(F.col("pixels") / every * F.lit(100.0), 4).alias("percent"))
 
 
 def class_rollup(masks: DataFrame) -> DataFrame:
     """Class pixels per split and combined (split is null)."""
-    counts = masks.groupBy("split", "class").agg(F.count(F.lit(1)).alias("pixels"))
-    rolled = counts.groupBy("split", "class").agg(F.sum("pixels").alias("pixels"))
-    both = rolled.groupBy("class").agg(F.sum("pixels").alias("pixels")).select(F.lit(None).cast("string").alias("split"), "class", "pixels")
-    return rolled.unionByName(both)
+    counts = masks.groupBy("split", "class").agg(F.count(F.lit(1)).alias("n"))
+    sets = [[F.col("split"), F.col("class")], [F.col("class")]]
+    return counts.groupingSets(sets, "split", "class").agg(F.sum("n").alias("pixels")).select("split", "class", "pixels")
 
 
 def split_rollup(masks: DataFrame) -> DataFrame:
@@ -129,6 +128,11 @@ def validity(images: DataFrame, masks: DataFrame, cfg: AuditSettings = AuditSett
     return rows.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
 
 
+def shortest(value: Column) -> Column:
+    """A number of at most four decimals without needless zeros, but with one decimal at least."""
+    return F.regexp_replace(F.format_string("%.4f", value), r"(\.\d+?)0+$", "$1")
+
+
 def mask_flags(geometry: DataFrame, iris: DataFrame, pixels: DataFrame, cfg: AuditSettings = AuditSettings(), keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Several flags per mask: missing, touching the border, tiny, huge, larger than the iris."""
     rows = geometry.join(iris.select(*keys, F.col("area").alias("iris_px")), list(keys)).join(pixels.select(*keys, "pixels"), list(keys))
@@ -137,8 +141,8 @@ def mask_flags(geometry: DataFrame, iris: DataFrame, pixels: DataFrame, cfg: Aud
     touches = (a > 0) & ((F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == cfg.width - 1) | (F.col("y1") == cfg.height - 1))
     flags = F.array(
         F.when(a == 0, F.lit("NO_PUPIL_PIXELS")), F.when(touches, F.lit("PUPIL_TOUCHES_IMAGE_BOUNDARY")),
-        F.when((a > 0) & (a < cfg.tiny_pupil_px), F.format_string("TINY_PUPIL (%d px, %.4f%%)", a, pct))
-        .when(a > cfg.huge_pupil_px, F.format_string("HUGE_PUPIL (%d px, %.4f%%)", a, pct)),
+        F.when((a > 0) & (a < cfg.tiny_pupil_px), F.format_string("TINY_PUPIL (%d px, %s%%)", a, shortest(pct)))
+        .when(a > cfg.huge_pupil_px, F.format_string("HUGE_PUPIL (%d px, %s%%)", a, shortest(pct))),
         F.when(i == 0, F.lit("NO_IRIS_PIXELS")).when(a > i, F.format_string("PUPIL_LARGER_THAN_IRIS (pupil=%d, iris=%d)", a, i)),
     )
     return rows.withColumn("flags", F.array_compact(flags))
@@ -311,6 +315,6 @@ def evenly_spaced(df: DataFrame, id_col: str, picks: int, width: int = 100_000)
     ranked = layout.number(df.withColumn("_chunk", F.floor(F.col(id_col) / width)), "pos")
     n = df.agg(F.count(F.lit(1)).alias("n"))
     wanted = n.select(F.explode(F.sequence(F.lit(0), F.lit(picks - 1))).alias("k"), "n").select(
-        "k", (F.floor(F.col("k") * (F.col("n") - 1) / F.lit(float(picks - 1))) + 1).alias("pos")
+        "k", (F.floor(F.col("k") * (F.col("n") - 1) / F.lit(float(max(1, picks - 1)))) + 1).alias("pos")
     )
     return ranked.join(F.broadcast(wanted), "pos").drop("_chunk")  # `wanted` has `picks` rows

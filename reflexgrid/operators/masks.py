@@ -90,18 +90,26 @@ def argmax_mask(logits: DataFrame, keys: tuple[str, ...] = ("sample",)) -> DataF
     return logits.groupBy(*keys, "y", "x").agg(F.max_by("class", F.struct(F.col("logit"), -F.col("class"))).alias("class"))
 
 
-def pair_pixels(pairs: DataFrame, pixels: DataFrame, values: list[str]) -> DataFrame:
-    """Pixels of both images of each pair side by side (a_*, b_*); pairs are (pair_a, pair_b) sample ids."""
-    side = lambda s: pixels.select(F.col("sample").alias(f"pair_{s}"), "y", "x", *[F.col(v).alias(f"{s}_{v}") for v in values])
-    return pairs.join(side("a"), "pair_a").join(side("b"), ["pair_b", "y", "x"])
+def pair_pixels(pairs: DataFrame, pixels: DataFrame, values: list[str], splits: tuple[str, str] = ("val", "train")) -> DataFrame:
+    """Pixels of both images of each pair side by side (a_*, b_*); pairs are (pair_a, pair_b), sample ids of the two splits.
+
+    A name may exist in both splits, so each side takes the pixels of its own split only.
+    """
+    side = lambda s, split: pixels.where(F.col("split") == split).select(F.col("sample").alias(f"pair_{s}"), "y", "x", *[F.col(v).alias(f"{s}_{v}") for v in values])
+    return pairs.join(side("a", splits[0]), "pair_a").join(side("b", splits[1]), ["pair_b", "y", "x"])
 
 
 def pair_metrics(joined: DataFrame) -> DataFrame:
-    """Pixel differences and pupil overlap of image pairs, from a_lum, b_lum, a_class, b_class."""
-    d = F.abs(F.col("a_lum") - F.col("b_lum"))
+    """Pixel differences and pupil overlap of image pairs, from a_lum, b_lum, a_class, b_class.
+
+    The correlation is null where an image is constant.
+    """
+    a, b = F.col("a_lum"), F.col("b_lum")
+    d = F.abs(a - b)
     pa, pb = F.col("a_class") == 2, F.col("b_class") == 2
+    spread = F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.stddev_pop(a) * F.stddev_pop(b))
     g = joined.groupBy("pair_a", "pair_b").agg(
-        F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(d).alias("max_diff"), F.corr("a_lum", "b_lum").alias("pearson"),
+        F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(d).alias("max_diff"), F.try_divide(F.covar_pop(a, b), spread).alias("pearson"),
         F.count(F.when(pa & pb, 1)).alias("_i"), F.count(F.when(pa | pb, 1)).alias("_u"), (F.count(F.when(pa, 1)) + F.count(F.when(pb, 1))).alias("_s"),
     )
     one = F.lit(1)

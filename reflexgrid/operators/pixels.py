@@ -128,16 +128,18 @@ def random_factor(seed: int, low: float, high: float, keys: tuple[str, ...] = IM
 def remap(
     pixels: DataFrame, value: str, size: tuple[int, int], flip: Column, angle_deg: Column, dx: Column, dy: Column, method: str = "nearest", keys: tuple[str, ...] = IMAGE
 ) -> DataFrame:
-    """Flip, rotate about the centre and shift; outside pixels become 0. Image and mask use the same map.
+    """Flip, rotate about the centre and shift, in this order; outside pixels become 0. Image and mask use the same map.
+
+    The lookup undoes the steps backwards: shift, rotation, flip.
 
     Every target pixel looks up its source pixel ("nearest", for masks) or the four around its source
     point ("bilinear", for images), as an equi join on (image, y, x).
     """
     w, h = size
-    x = F.when(flip, F.lit(w - 1) - (F.col("x") - dx)).otherwise(F.col("x") - dx)
     a = -F.radians(angle_deg)
-    cx, cy = x + F.lit(0.5 - w / 2), F.col("y") - dy + F.lit(0.5 - h / 2)
-    at_x, at_y = half_up(F.cos(a) * cx + F.sin(a) * cy + F.lit(w / 2), 9), half_up(-F.sin(a) * cx + F.cos(a) * cy + F.lit(h / 2), 9)
+    cx, cy = F.col("x") - dx + F.lit(0.5 - w / 2), F.col("y") - dy + F.lit(0.5 - h / 2)
+    turned_x, turned_y = F.cos(a) * cx + F.sin(a) * cy + F.lit(w / 2), -F.sin(a) * cx + F.cos(a) * cy + F.lit(h / 2)
+    at_x, at_y = half_up(F.when(flip, F.lit(w) - turned_x).otherwise(turned_x), 9), half_up(turned_y, 9)
     source = pixels.select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"), value)
     if method == "nearest":
         wanted = pixels.select(*keys, "y", "x", F.floor(at_y).cast("int").alias("_sy"), F.floor(at_x).cast("int").alias("_sx"))

@@ -180,26 +180,28 @@ add(
 
 
 def augment_geometric(spark, sf):
+    """Flip, turn and shift of image and mask; some samples have all three."""
     odd = F.col("sample") % 2 == 1
-    dx, dy = (F.col("sample") % 3 - 1).cast("int"), (F.col("sample") % 5 - 2).cast("int")
-    turn = F.when(F.col("sample") % 4 == 0, F.lit(5.0)).otherwise(F.lit(0.0))
+    dx, dy = (F.col("sample") % 4 - 1).cast("int"), (F.col("sample") % 5 - 2).cast("int")
+    turn = F.when(F.col("sample") % 3 == 0, F.lit(5.0)).when(F.col("sample") % 3 == 1, F.lit(-8.0)).otherwise(F.lit(0.0))
     how = dict(size=(8, 8), flip=odd, angle_deg=turn, dx=dx, dy=dy)
     t = fx.thumbs(spark, sf)
     image, mask = pixels.remap(t, "lum", **how), pixels.remap(fx.masks(t), "class", **how)
     return image.join(mask, [*K, "y", "x"])
 
 
+_IN = "sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7"
 add(
     "augment_geometric",
     augment_geometric,
     query(
         ("thumbs", "masks"),
-        f"""SELECT p.split, p.sample, p.y, p.x, coalesce(t.lum, 0e0) AS lum, coalesce(m.class, 0) AS class FROM (
-              SELECT split, sample, y, x, floor({r('cos(a) * cx + sin(a) * cy + 4e0', 9)})::INT AS sx, floor({r('-sin(a) * cx + cos(a) * cy + 4e0', 9)})::INT AS sy FROM (
-                SELECT split, sample, y, x, CASE WHEN sample % 4 = 0 THEN -radians(5e0) ELSE 0e0 END AS a,
-                  CASE WHEN sample % 2 = 1 THEN 7 - (x - (sample % 3 - 1)) ELSE x - (sample % 3 - 1) END - 35e-1 AS cx, y - (sample % 5 - 2) - 35e-1 AS cy FROM thumbs)) p
-            LEFT JOIN thumbs t ON t.split = p.split AND t.sample = p.sample AND t.y = p.sy AND t.x = p.sx
-            LEFT JOIN masks m ON m.split = p.split AND m.sample = p.sample AND m.y = p.sy AND m.x = p.sx""",
+        f"""SELECT split, sample, y, x, CASE WHEN {_IN} THEN ls[sy * 8 + sx + 1] ELSE 0e0 END AS lum, CASE WHEN {_IN} THEN cs[sy * 8 + sx + 1] ELSE 0 END AS class FROM (
+              SELECT split, sample, ls, cs, y, x, floor({r('CASE WHEN sample % 2 = 1 THEN 8 - tx ELSE tx END', 9)})::INT AS sx, floor({r('ty', 9)})::INT AS sy FROM (
+                SELECT *, cos(a) * cx + sin(a) * cy + 4e0 AS tx, -sin(a) * cx + cos(a) * cy + 4e0 AS ty FROM (
+                  SELECT *, CASE sample % 3 WHEN 0 THEN -radians(5e0) WHEN 1 THEN radians(8e0) ELSE 0e0 END AS a, x - (sample % 4 - 1) - 35e-1 AS cx, y - (sample % 5 - 2) - 35e-1 AS cy
+                  FROM (SELECT split, sample, list(lum ORDER BY y, x) AS ls FROM thumbs GROUP BY ALL) JOIN (SELECT split, sample, list(class ORDER BY y, x) AS cs FROM masks GROUP BY ALL) USING (split, sample),
+                  (SELECT CAST(range // 8 AS INT) AS y, CAST(range % 8 AS INT) AS x FROM range(64)))))""",
     ),
 )
 
@@ -490,7 +492,7 @@ cte(
     "mflags",
     ("masks",),
     f"""SELECT split, sample, a AS area, i AS iris_px, concat_ws('; ', CASE WHEN a = 0 THEN 'NO_PUPIL_PIXELS' END, CASE WHEN edge > 0 THEN 'PUPIL_TOUCHES_IMAGE_BOUNDARY' END,
-          CASE WHEN a > 0 AND a < 8 THEN printf('TINY_PUPIL (%d px, %.4f%%)', a, {r('a / 64 * 100e0', 4)}) WHEN a > 28 THEN printf('HUGE_PUPIL (%d px, %.4f%%)', a, {r('a / 64 * 100e0', 4)}) END,
+          CASE WHEN a > 0 AND a < 8 THEN printf('TINY_PUPIL (%d px, %s%%)', a, CAST({r('a / 64 * 100e0', 4)} AS DOUBLE)::VARCHAR) WHEN a > 28 THEN printf('HUGE_PUPIL (%d px, %s%%)', a, CAST({r('a / 64 * 100e0', 4)} AS DOUBLE)::VARCHAR) END,
           CASE WHEN i = 0 THEN 'NO_IRIS_PIXELS' WHEN a > i THEN printf('PUPIL_LARGER_THAN_IRIS (pupil=%d, iris=%d)', a, i) END) AS flags
         FROM (SELECT split, sample, count(*) FILTER (class = 2) AS a, count(*) FILTER (class = 3) AS i, count(*) FILTER (class = 2 AND (x IN (0, 7) OR y IN (0, 7))) AS edge FROM masks GROUP BY ALL)""",
 )
@@ -619,10 +621,10 @@ add("leak_subjects", lambda spark, sf: audit.subject_overlap(_hashed(spark, sf))
 def leak_review(spark, sf):
     h, near = _near_pairs(spark, sf)
     t = fx.thumbs(spark, sf)
-    px = t.select("sample", "y", "x", "lum", fx.class_of(F.col("lum")).alias("class"))
+    px = t.select("split", "sample", "y", "x", "lum", fx.class_of(F.col("lum")).alias("class"))
     joined = masks.pair_pixels(near.select(F.col("val_sample").alias("pair_a"), F.col("train_sample").alias("pair_b")), px, ["lum", "class"])
-    who = lambda s: h.select(F.col("sample").alias(f"pair_{s}"), F.col("subject").alias(f"subject_{s}"))
-    m = masks.pair_metrics(joined).join(who("a"), "pair_a").join(who("b"), "pair_b")
+    who = lambda s, split: h.where(F.col("split") == split).select(F.col("sample").alias(f"pair_{s}"), F.col("subject").alias(f"subject_{s}"))
+    m = masks.pair_metrics(joined).join(who("a", "val"), "pair_a").join(who("b", "train"), "pair_b")
     kind, advice = masks.leak_class(F.col("subject_a") == F.col("subject_b"), F.col("mae"), F.col("dice"))
     return m.select("pair_a", "pair_b", *[settle(F.col(c), 4).alias(c) for c in ("mae", "rmse", "max_diff", "pearson", "iou", "dice")], kind.alias("classification"), advice.alias("recommendation"))
 
@@ -638,8 +640,8 @@ add(
             FROM (SELECT val_sample AS pair_a, train_sample AS pair_b, same_subject, avg(abs(a.lum - b.lum)) AS mae, sqrt(avg((a.lum - b.lum) * (a.lum - b.lum))) AS rmse, max(abs(a.lum - b.lum)) AS max_diff,
                     corr(a.lum, b.lum) AS pearson, count(*) FILTER (ma.class = 2 AND mb.class = 2) / greatest(1, count(*) FILTER (ma.class = 2 OR mb.class = 2)) AS iou,
                     2e0 * count(*) FILTER (ma.class = 2 AND mb.class = 2) / greatest(1, count(*) FILTER (ma.class = 2) + count(*) FILTER (mb.class = 2)) AS dice
-                  FROM near_pairs p JOIN thumbs a ON a.sample = val_sample JOIN thumbs b ON b.sample = train_sample AND a.y = b.y AND a.x = b.x
-                  JOIN masks ma ON ma.sample = a.sample AND ma.y = a.y AND ma.x = a.x JOIN masks mb ON mb.sample = b.sample AND mb.y = a.y AND mb.x = a.x GROUP BY ALL)""",
+                  FROM near_pairs p JOIN thumbs a ON a.split = 'val' AND a.sample = val_sample JOIN thumbs b ON b.split = 'train' AND b.sample = train_sample AND a.y = b.y AND a.x = b.x
+                  JOIN masks ma ON ma.split = 'val' AND ma.sample = a.sample AND ma.y = a.y AND ma.x = a.x JOIN masks mb ON mb.split = 'train' AND mb.sample = b.sample AND mb.y = a.y AND mb.x = a.x GROUP BY ALL)""",
     ),
 )
 

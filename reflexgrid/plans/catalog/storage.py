@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.numeric import settle
 from ...operators import audit, features, live
 from ...session import scratch
+from ...streaming import jobs
 from ...sources import exports, stores
 from .. import fixtures as fx
 from .images import SMALL, _areas, _masks, _raw_masks
@@ -72,6 +73,47 @@ def delete_by_key(spark, sf):
     return stores.read_finals(spark, path).select("session_id", "baseline_left_pupil_px")
 
 
+def delete_then_reinsert(spark, sf):
+    """Sessions deleted and inserted again, twice, are there once."""
+    path = scratch(spark, "final")
+    rows = _finals(spark, sf)
+    stores.insert_finals(rows, path)
+    for _ in range(2):
+        stores.delete_ids(stores.read_finals(spark, path).where("session_id % 4 = 0"), path)
+        stores.insert_finals(rows, path)
+    return stores.read_finals(spark, path).select(*FINAL)
+
+
+add("delete_then_reinsert", delete_then_reinsert, query(("finals",), f"SELECT {', '.join(FINAL)} FROM finals"))
+
+
+def clear_store(spark, sf):
+    """A cleared store starts anew; another keeps its rows."""
+    one, two = scratch(spark, "final"), scratch(spark, "final")
+    rows = _finals(spark, sf)
+    stores.insert_finals(rows, one)
+    stores.insert_finals(rows, two)
+    stores.clear(spark, one, stores.FINAL_RECORD)
+    stores.insert_finals(rows.where("session_id % 2 = 1"), one)
+    tag = lambda path, name: stores.read_finals(spark, path).select(F.lit(name).alias("store"), "session_id")
+    return tag(one, "cleared").unionByName(tag(two, "kept"))
+
+
+add("clear_store", clear_store, query(("finals",), "SELECT 'cleared' AS store, session_id FROM finals WHERE session_id % 2 = 1 UNION ALL SELECT 'kept', session_id FROM finals"))
+
+
+def publish_rows(spark, sf):
+    """What a subscriber sees of inserts between which rows are deleted: every insert once."""
+    path = scratch(spark, "final")
+    rows = _finals(spark, sf)
+    stores.insert_finals(rows.where("session_id % 2 = 0"), path)
+    stores.delete_ids(stores.read_finals(spark, path).where("session_id % 4 = 0"), path)
+    stores.insert_finals(rows, path)
+    seen, _ = jobs.drain(stores.new_rows(spark, path, stores.FINAL_RECORD), "seen")
+    return seen.groupBy("session_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+add("publish_rows", publish_rows, query(("finals",), "SELECT session_id, CASE WHEN session_id % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS times FROM finals"))
 add("delete_by_key", delete_by_key, query(("finals",), "SELECT session_id, baseline_left_pupil_px FROM finals WHERE session_id % 4 <> 0"))
 add(
     "raw_final_join",

@@ -1,17 +1,22 @@
-"""Raw and final measurement tables as Parquet folders.
+"""Raw and final measurement tables as Parquet folders, one writer at a time.
 
-A store is a folder with `records` and `deleted` (ids). Reading removes the deleted ids with an anti
-join, so deleting writes a handful of rows; `compact` folds them in.
+Records lie in `records`, by bucket of the session, version of the bucket and origin (insert or rewrite). `versions` names the
+current version of each bucket that was ever rewritten; readers see these only. Deleting writes the rows that stay of the buckets it
+touches as a new version and then switches to it, so a crash leaves the old state, and a row inserted again after it was
+deleted is a row like any other. Subscribers read the inserted rows, each once, however often a bucket is rewritten.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up
 from ..schemas import FINAL_RECORD, RAW_MEASUREMENT
-from ..session import scratch
+
+BUCKETS = 64
 
 
 def surrogate_id(*cols: str):
@@ -47,23 +52,52 @@ def px_at_onset(samples: DataFrame) -> DataFrame:
     return samples.where("time_ms <= 0").groupBy("session_id").agg(last("left_px").alias("onset_left_px"), last("right_px").alias("onset_right_px"))
 
 
-def append(df: DataFrame, store: str) -> None:
-    df.write.mode("append").parquet(f"{store}/records")
+_PLACE = "bucket int, version bigint, origin string"
 
 
-_IDS = "id long"
+def _bucket() -> Column:
+    return F.pmod(F.hash("session_id"), F.lit(BUCKETS))
 
 
-def read(spark: SparkSession, store: str, schema: str) -> DataFrame:
-    """Records without the deleted ones; filters on the columns reach the Parquet scan."""
-    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{store}/records")
+def _versions(spark: SparkSession, store: str) -> dict[int, int]:
+    """Current version of each rewritten bucket (at most BUCKETS rows); the others are at version 0."""
     try:
-        gone = spark.read.schema(_IDS).parquet(f"{store}/deleted")
-    except Exception as e:  # no deletion yet
+        rows = spark.read.schema("bucket int, version bigint").parquet(f"{store}/versions")
+    except Exception as e:  # never rewritten
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return rows
-    return rows.join(gone, "id", "left_anti")
+        return {}
+    return {r["bucket"]: r["version"] for r in rows.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+
+def _version(versions: dict[int, int]) -> Column:
+    at = F.lit(0).cast("long")
+    for bucket, version in versions.items():
+        at = F.when(F.col("bucket") == bucket, F.lit(version)).otherwise(at)
+    return at
+
+
+def _write(rows: DataFrame, store: str, origin: str) -> None:
+    rows.withColumn("origin", F.lit(origin)).write.mode("append").partitionBy("bucket", "version", "origin").parquet(f"{store}/records")
+
+
+def _switch(spark: SparkSession, store: str, buckets: list[int], version: int) -> None:
+    spark.createDataFrame([(b, version) for b in buckets], "bucket int, version long").coalesce(1).write.mode("append").parquet(f"{store}/versions")
+
+
+def append(df: DataFrame, store: str) -> None:
+    versions = _versions(df.sparkSession, store)
+    _write(df.withColumn("bucket", _bucket()).withColumn("version", _version(versions)), store, "insert")
+
+
+def _current(spark: SparkSession, store: str, schema: str) -> DataFrame:
+    rows = spark.read.schema(f"{schema}, {_PLACE}").parquet(f"{store}/records")
+    return rows.where(F.col("version") == _version(_versions(spark, store)))
+
+
+def read(spark: SparkSession, store: str, schema: str) -> DataFrame:
+    """The records as they stand; filters on the columns reach the Parquet scan, old versions are pruned as partitions."""
+    return _current(spark, store, schema).drop("bucket", "version", "origin")
 
 
 def read_raw(spark: SparkSession, store: str) -> DataFrame:
@@ -93,27 +127,48 @@ def insert_finals(new: DataFrame, store: str) -> None:
     append(fresh, store)
 
 
-def delete_ids(ids: DataFrame, store: str) -> None:
-    ids.select("id").write.mode("append").parquet(f"{store}/deleted")
+def delete_ids(ids: DataFrame, store: str, schema: str = FINAL_RECORD) -> None:
+    """Remove records by id: rewrite the buckets that hold one, then switch to the new versions."""
+    spark = ids.sparkSession
+    rows = _current(spark, store, schema)
+    gone = ids.select("id")
+    touched = [r["bucket"] for r in rows.join(gone, "id", "left_semi").select("bucket").distinct().collect()]  # at most BUCKETS
+    if not touched:
+        return
+    version = _next(_versions(spark, store))
+    stay = rows.where(F.col("bucket").isin(touched)).join(gone, "id", "left_anti")
+    _write(stay.drop("origin").withColumn("version", F.lit(version)), store, "rewrite")
+    _switch(spark, store, touched, version)
+
+
+def _next(versions: dict[int, int]) -> int:
+    """A version later than all before, also than one whose switch never came."""
+    return max([time.time_ns() // 1000, *(v + 1 for v in versions.values())])
 
 
 def clear(spark: SparkSession, store: str, schema: str) -> None:
-    """Empty one store; others are untouched."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/records")
-    spark.createDataFrame([], _IDS).write.mode("overwrite").parquet(f"{store}/deleted")
+    """Empty one store, by a switch to versions without rows; others are untouched."""
+    _switch(spark, store, list(range(BUCKETS)), _next(_versions(spark, store)))
 
 
 def compact(spark: SparkSession, store: str, schema: str) -> None:
-    """Rewrite the records without the deleted ones, by way of a staged copy in the shared folder."""
-    staged = scratch(spark, "compact")
-    read(spark, store, schema).write.parquet(staged)
-    spark.read.schema(schema).parquet(staged).write.mode("overwrite").parquet(f"{store}/records")
-    spark.createDataFrame([], _IDS).write.mode("overwrite").parquet(f"{store}/deleted")
+    """Remove the folders of versions that are not current. Nothing is rewritten and no row is published again; subscribers should
+    have read what they want of the old versions."""
+    versions = _versions(spark, store)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{store}/records")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{store}/records/bucket=*/version=*")):
+        path = status.getPath()
+        bucket, version = int(path.getParent().getName().split("=")[1]), int(path.getName().split("=")[1])
+        if version != versions.get(bucket, 0):
+            fs.delete(path, True)
 
 
 def new_rows(spark: SparkSession, store: str, schema: str) -> DataFrame:
-    """Stream of rows added to a store, for subscribers."""
-    return spark.readStream.schema(schema).parquet(f"{store}/records")
+    """Stream of rows inserted into a store, for subscribers."""
+    rows = spark.readStream.schema(f"{schema}, {_PLACE}").parquet(f"{store}/records")
+    return rows.where("origin = 'insert'").drop("bucket", "version", "origin")
 
 
 def write_valid(samples: DataFrame, checked: DataFrame, path: str) -> None:

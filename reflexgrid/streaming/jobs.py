@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..schemas import EVENT
 from ..session import scratch
@@ -40,6 +42,43 @@ def live(stream: DataFrame, name: str, path: str, mode: str = "append", every: s
     )
 
 
+class LateRows(StreamingQueryListener):
+    """Counts rows that arrived behind the watermark, batch by batch as they end; unlike the recent progress it forgets none."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.rows[run] = self.rows.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.batches[run] = self.batches.get(run, 0) + 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query, wait_s: float = 10.0) -> int:
+        """Rows dropped by a query so far; for an ended one after its last event has come in."""
+        end = time.monotonic() + wait_s
+        while not query.isActive and str(query.runId) not in self.ended and time.monotonic() < end:
+            time.sleep(0.05)
+        return self.rows.get(str(query.runId), 0)
+
+
+def count_late_rows(spark: SparkSession) -> LateRows:
+    """Start counting for all queries of the session that start from now on. `spark.streams.removeListener` ends it."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    return listener
+
+
 def late_rows(query) -> int:
-    """Rows that arrived behind the watermark and were dropped, over all batches of a query."""
+    """Rows dropped behind the watermark in the batches that Spark still keeps (the newest 100 by default); see `count_late_rows`."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])

@@ -76,6 +76,12 @@ def test_store_round(spark):
     assert ids() == [1, 4, 5]
     stores.compact(spark, path, FINAL_RECORD)
     assert ids() == [1, 4, 5]
+    for _ in range(2):  # the same record again after its deletion, also under its old id
+        stores.delete_ids(stores.read_finals(spark, path).where("id = 5"), path)
+        assert ids() == [1, 4]
+        stores.insert_finals(spark.createDataFrame([row(5, 11, "d")], FINAL_RECORD), path)
+        stores.insert_finals(spark.createDataFrame([row(5, 11, "d")], FINAL_RECORD), path)
+        assert ids() == [1, 4, 5]
     other = scratch(spark, "store")
     stores.append(new, other)
     stores.clear(spark, path, FINAL_RECORD)
@@ -88,6 +94,11 @@ def test_subscribers_see_new_rows(spark):
     stores.append(spark.createDataFrame([row], FINAL_RECORD), path)
     seen, _ = jobs.drain(stores.new_rows(spark, path, FINAL_RECORD), "seen")
     assert [r["session_id"] for r in seen.collect()] == [10]
+    more = spark.createDataFrame([(2, *row[1:]), (3, *row[1:])], FINAL_RECORD)
+    stores.append(more, path)
+    stores.delete_ids(more.where("id = 2"), path)
+    seen, _ = jobs.drain(stores.new_rows(spark, path, FINAL_RECORD), "seen")
+    assert sorted(r["id"] for r in seen.collect()) == [1, 2, 3]  # each once, rewritten or not
 
 
 def test_raw_filter_reaches_the_scan(spark):

@@ -65,8 +65,11 @@ def test_late_rows_are_dropped_and_counted(spark, sf):
     e.where("event_id >= 990").coalesce(1).write.mode("append").parquet(ordered)
     time.sleep(1.1)
     e.where("event_id < 100").coalesce(1).write.mode("append").parquet(ordered)
+    listener = jobs.count_late_rows(spark)
     rows, query = jobs.drain(operators.frames_per_second(_frames(spark, ordered), "1 day"), "late")
     assert jobs.late_rows(query) > 0
+    assert listener.of(query) == jobs.late_rows(query)
+    spark.streams.removeListener(listener)
     first = e.where("event_id >= 500").agg(F.min("ts")).first()[0]
     assert rows.where(F.col("end") <= F.lit(first)).count() == 0
 
