@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import faces, images, live, sessions, storage, streams, triage  # noqa: F401
+from . import faces, images, live, scans, sessions, storage, streams, triage  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
