@@ -52,6 +52,20 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return plain[type(kind)]
 
 
+_HELD: dict = {}
+
+
+def held(name: str, make: Callable | None = None):
+    """What a worker keeps between tasks (a model with its caches), one thing at a time: workers are reused by later stages, which
+    would otherwise run beside the caches of all stages before. Without `make` everything goes."""
+    if name not in _HELD:
+        _HELD.clear()
+        if make is None:
+            return None
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class Recent(dict):
     """A cache of at most about 2 * size entries: when the young half is full, the old half goes. Read with `[]` only."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import held, texts
 
 GAP = re.compile(r"[\W_]+")
 
@@ -183,11 +183,6 @@ def groups(items: DataFrame, key: str, text: str, group_chars: int) -> Iterator[
         yield [(r["key"], r["text"]) for r in rows.where(part == i).orderBy("key", "text").collect()]
 
 
-@functools.cache
-def _finders() -> dict:
-    return {}
-
-
 class Shared:
     """Broadcast items; each worker builds its automaton once and keeps the latest only."""
 
@@ -195,11 +190,7 @@ class Shared:
         self.id, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast((items, share))
 
     def finder(self) -> Finder:
-        kept = _finders()
-        if self.id not in kept:
-            kept.clear()
-            kept[self.id] = Finder(*self.held.value)
-        return kept[self.id]
+        return held(f"items {self.id}", lambda: Finder(*self.held.value))
 
 
 def matches(df: DataFrame, items: DataFrame, share: float = 0.08, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", group_chars: int = 2_000_000) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts, written
+from .common import held, map_rows, texts, written
 from .graph import checked, components
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -129,6 +129,7 @@ def ties(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFra
 
     def sender(common):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held("nothing")
             levels, met, anchors = Levels(percent), set(), {}
             hot = common.value if common else np.zeros(0, np.int64)
             for batch in batches:
@@ -149,11 +150,11 @@ def ties(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFra
                             place = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
                             shared = hot[place] == own
                             if shared.any():
-                                held = [anchors.setdefault(d, keys[i]) for d in own[shared].tolist()]
+                                first = [anchors.setdefault(d, keys[i]) for d in own[shared].tolist()]
                                 send = ~shared
-                                send[shared] = [h == keys[i] for h in held]
+                                send[shared] = [h == keys[i] for h in first]
                                 own = own[send]
-                                for h in {h for h in held if h != keys[i]}:
+                                for h in {h for h in first if h != keys[i]}:
                                     found.append(np.zeros(1, np.int64))
                                     rows.append(i)
                                     to.append(h)
@@ -258,18 +259,21 @@ def links(blocks: DataFrame, df: DataFrame, key: str, text: str, size: int, perc
 
     wanted = texts(df, key, text).join(checked(dealt.select("key")), "key", "left_semi")
     elements = map_rows(wanted, f"key {kind}, elements binary", build, 128)
-    held = written(elements.join(checked(dealt), "key"), "sets")
+    stored = written(elements.join(checked(dealt), "key"), "sets")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    cells = held.select("key", "elements", "component", "mine", other)
+    cells = stored.select("key", "elements", "component", "mine", other)
     cells = cells.select("key", "elements", "component", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
     cell = ["component", "x", "y"]
     # a cell has at most two chunks; cells are streamed one after the other
     placed = cells.repartition(*cell).sortWithinPartitions(*cell, "mine")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("nothing")
+
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+                for at in range(0, b.num_rows, 256):
+                    yield from zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True)
 
         for (_, x, y), group in groupby(rows(), key=lambda r: (r[2], r[4], r[5])):
             members = list(group)

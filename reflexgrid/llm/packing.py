@@ -16,7 +16,6 @@ no rows. A key may be null.
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import sys
 import zlib
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts, written
+from .common import held, map_rows, texts, written
 
 SPECIAL = "<|endoftext|>"
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -39,7 +38,7 @@ class Encoder:
     A word boundary of the tokenizer always lies before a space that a non-space follows, so a text is cut there and the ids of the
     parts are put together."""
 
-    def __init__(self, path: str, size: int = 300_000):
+    def __init__(self, path: str, size: int = 150_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -90,9 +89,8 @@ class Encoder:
         return b"".join([get(w) or self._word(w) for w in words if w])
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

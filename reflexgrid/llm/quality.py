@@ -9,7 +9,6 @@ model is the constant share of label 1 (0.5 without any); repeated rows are scor
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from dataclasses import dataclass
@@ -17,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Recent, map_rows, texts
+from .common import Recent, held, map_rows, texts
 
 WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 BITS = 20
@@ -31,9 +30,8 @@ def _hash(word: str) -> int:
     return zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
 
 
-@functools.cache
 def _hashes() -> Recent:
-    return Recent(_hash)
+    return held("hashes", lambda: Recent(_hash))
 
 
 def grams(text: str) -> np.ndarray:

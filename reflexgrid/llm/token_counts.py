@@ -10,13 +10,12 @@ Defined results: null and empty texts have 0 tokens and 0 bytes; a null key stay
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows, texts
+from .common import held, map_rows, texts
 
 SPACE = "▁"
 NONE = np.int64(2**62)
@@ -108,14 +107,9 @@ class Merger:
         return np.setdiff1d(at[within % 2 == 0], chosen)
 
 
-@functools.cache
-def merger(path: str) -> Merger:
-    return Merger(path)
-
-
-@functools.cache
-def _known(path: str) -> tuple[dict, dict]:
-    return {}, {}
+def _worker(path: str) -> tuple[Merger, dict, dict]:
+    """The merge tables, and the unit counts known so far: young and old."""
+    return held(f"counts {path}", lambda: (Merger(path), {}, {}))
 
 
 CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
@@ -123,8 +117,7 @@ CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 def count_batch(path: str, batch: list[str], size: int = 150_000) -> list[int]:
     """Tokens of each text. Unit counts are kept in two bounded dictionaries per worker, the older of which goes when the younger is full."""
-    model = merger(path)
-    young, old = _known(path)
+    model, young, old = _worker(path)
     cut = []
     for text in batch:
         if not text:

@@ -17,7 +17,6 @@ all scores are 0. Repeated rows are scored each.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_rows, texts
+from .common import held, map_rows, texts
 
 ORDER, DECAY = 4, 0.6
 WINDOW = 40
@@ -391,7 +390,7 @@ def train(sample: DataFrame, landmarks: int = 48) -> Model:
 class Scorer:
     """Scores texts with a model; the scores of known units are kept in two bounded dictionaries, of which the older goes."""
 
-    def __init__(self, model: Model, size: int = 250_000):
+    def __init__(self, model: Model, size: int = 100_000):
         self.model, self.size, self.young, self.old = model, size, {}, {}
 
     def distances(self, batch: list[str]) -> list[float]:
@@ -410,18 +409,9 @@ class Scorer:
         return out
 
 
-@functools.cache
-def _scorers() -> dict:
-    return {}
-
-
 def scorer(shared) -> Scorer:
-    """The worker's scorer for a broadcast model; one is kept at a time."""
-    kept = _scorers()
-    if shared.id not in kept:
-        kept.clear()
-        kept[shared.id] = Scorer(shared.value)
-    return kept[shared.id]
+    """The worker's scorer for a broadcast model."""
+    return held(f"toxicity {shared.id}", lambda: Scorer(shared.value))
 
 
 class Shared:
