@@ -308,8 +308,13 @@ def fit(pages: list[str], strength: float = 2.0) -> Model:
 
 def train(df: DataFrame, page: str = "html", sample: int = 300) -> Model:
     """Fit on at most `sample` labelled pages, chosen by a hash of the page."""
-    usable = df.select(F.col(page).alias("html")).where(F.lower("html").rlike("<(article|main)[ >]"))
-    return fit([r["html"] for r in usable.orderBy(F.xxhash64("html"), "html").limit(sample).collect()])
+    usable = df.select(F.col(page).alias("html")).where(F.lower("html").rlike("<(article|main)[ >]")).withColumn("mark", F.xxhash64("html"))
+    # the smallest hashes first, as numbers alone: tasks never send pages that are not taken
+    marks = [r["mark"] for r in usable.select("mark").distinct().orderBy("mark").limit(sample).collect()]
+    if not marks:
+        return fit([])
+    chosen = usable.where(F.col("mark") <= marks[-1]).groupBy("mark").agg(F.min("html").alias("html"))
+    return fit([r["html"] for r in chosen.orderBy("mark").collect()])
 
 
 def main_text(df: DataFrame, model: Model, key: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
