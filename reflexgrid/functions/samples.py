@@ -29,6 +29,27 @@ def is_blink(left_detected: Column, right_detected: Column, left_eye: Column, ri
     return ~left_detected & ~right_detected & (~left_eye | ~right_eye)
 
 
+def frame_to_sample(frame: Column, onset_ms: Column, frame_width: float = 1280.0) -> list[Column]:
+    """Sample columns of a nested frame: time from onset, size, iris radius and millimetres of both eyes, status, confidence, blink.
+
+    `frame` has timestamp, pupilData.{left,right}Pupil (detected, diameterPx, diameterMm, status), ocularData.{left,right}Eye (boolean),
+    ocularData.{left,right}IrisRadiusNorm and tracking.status. The status is that of the left pupil.
+    """
+    pupil = {side: frame["pupilData"][f"{side}Pupil"] for side in ("left", "right")}
+    eye = {side: F.coalesce(frame["ocularData"][f"{side}Eye"], F.lit(False)) for side in pupil}
+    iris = {side: iris_radius_px(frame["ocularData"][f"{side}IrisRadiusNorm"], frame_width) for side in pupil}
+    out = [half_up(relative_time(frame["timestamp"], onset_ms)).alias("rel_ms")]
+    for side, p in pupil.items():
+        out += [
+            F.when(p["detected"], p["diameterPx"]).alias(f"{side}_px"), iris[side].alias(f"{side}_iris_px"),
+            px_to_mm(p["diameterMm"], p["diameterPx"], iris[side], p["detected"]).alias(f"{side}_mm"),
+        ]
+    return [
+        *out, pupil["left"]["status"].alias("tracking_status"), status_confidence(frame["tracking"]["status"]).alias("tracking_confidence"),
+        is_blink(pupil["left"]["detected"], pupil["right"]["detected"], eye["left"], eye["right"]).alias("is_blink"),
+    ]
+
+
 def is_usable(mm: Column, confidence: Column, cfg: RepairSettings = RepairSettings()) -> Column:
     """Physiologically possible diameter with enough confidence."""
     ok = is_finite(mm) & (mm >= cfg.min_mm) & (mm <= cfg.max_mm) & (confidence >= cfg.min_confidence)

@@ -58,9 +58,13 @@ def lost_runs(df: DataFrame, layout: Layout, cfg: LiveSettings = LiveSettings())
 
 
 def rolling_stats(df: DataFrame, layout: Layout, value: str, cfg: LiveSettings = LiveSettings()) -> DataFrame:
-    """Statistics of the last `stats_window` valid values; null below `stats_min` values."""
+    """Statistics of the last `stats_window` valid values; null below `stats_min` values.
+
+    A frame without a valid value keeps a row, with the statistics as they stood before it.
+    """
     size = cfg.stats_window
-    rows = layout.extend(df.where(F.col(value) > 0), size - 1, 0)
+    held = F.coalesce(F.col(value) > 0, F.lit(False))
+    rows = layout.extend(df.where(held), size - 1, 0)
     w = layout.window().rowsBetween(-(size - 1), 0)
     rows = rows.select(
         "*", F.count(value).over(w).alias("_n"), F.min(value).over(w).alias("_min"), F.max(value).over(w).alias("_max"),
@@ -70,13 +74,16 @@ def rolling_stats(df: DataFrame, layout: Layout, value: str, cfg: LiveSettings =
     n = F.col("_n")
     at = lambda k: F.element_at("_all", k.cast("int"))
     median = F.when(n % 2 == 0, (at(F.floor(n / 2)) + at(F.floor(n / 2) + 1)) / 2).otherwise(at(F.floor(n / 2) + 1))
-    enough = n >= cfg.stats_min
     cv = F.when(F.col("_avg") > 0, F.col("_std") / F.col("_avg") * 100).otherwise(F.lit(0.0))
-    give = lambda c, name: F.when(enough, c).alias(name)
-    return rows.select(
-        *df.columns, give(n, "sample_count"), give(F.col("_min"), "min_px"), give(F.col("_max"), "max_px"), give(F.col("_avg"), "mean_px"),
-        give(median, "median_px"), give(F.col("_max") - F.col("_min"), "range_px"), give(F.col("_std"), "std_px"), give(cv, "cv_percent"),
-    )
+    figures = {
+        "sample_count": n, "min_px": F.col("_min"), "max_px": F.col("_max"), "mean_px": F.col("_avg"), "median_px": median, "range_px": F.col("_max") - F.col("_min"),
+        "std_px": F.col("_std"), "cv_percent": cv,
+    }
+    stats = F.when(n >= cfg.stats_min, F.struct(*[c.alias(name) for name, c in figures.items()]))
+    seen = rows.select(*df.columns, stats.alias("_stats"))
+    lost = df.where(~held).withColumn("_stats", F.lit(None).cast(seen.schema["_stats"].dataType))
+    every = layout.nearest(seen.unionByName(lost), {"_last": (F.col("_stats"), True)}, inclusive=True)
+    return every.select(*df.columns, *[F.col(f"_last.{name}").alias(name) for name in figures])
 
 
 def rolling_mean(df: DataFrame, layout: Layout, value: str, size: int, out: str) -> DataFrame:

@@ -201,6 +201,18 @@ add(
 STATS = ("min_px", "max_px", "mean_px", "median_px", "range_px", "std_px", "cv_percent")
 
 
+def _stats_sql(source: str, value: str, by: str) -> str:
+    """Statistics of the last 60 valid values, as they stand at each row of the source."""
+    figures = zip(STATS, ("mn", "mx", "av", "md", "mx - mn", "sd", "CASE WHEN av > 0 THEN sd / av * 100e0 ELSE 0e0 END"))
+    cols = ", ".join(f"CASE WHEN n >= 5 THEN {s(e, 4)} END AS {c}" for c, e in figures)
+    last = ", ".join(f"last_value({c} IGNORE NULLS) OVER p AS {c}" for c in ("sample_count", *STATS))
+    return f"""SELECT session_id, sample_id, {last} FROM (SELECT session_id, sample_id, {by} FROM {source}) LEFT JOIN (
+              SELECT session_id, sample_id, CASE WHEN n >= 5 THEN n END AS sample_count, {cols}
+              FROM (SELECT session_id, sample_id, count(*) OVER w AS n, min(v) OVER w AS mn, max(v) OVER w AS mx, avg(v) OVER w AS av, median(v) OVER w AS md, stddev_pop(v) OVER w AS sd
+                    FROM (SELECT session_id, sample_id, {by}, {value} AS v FROM {source} WHERE {value} > 0) WINDOW w AS (PARTITION BY session_id ORDER BY {by} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)))
+            USING (session_id, sample_id) WINDOW p AS (PARTITION BY session_id ORDER BY {by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
 def rolling_stats60(spark, sf):
     rows = _apply(spark, sf, lambda df, lay: live.rolling_stats(df, lay, "left_px"))
     return rows.select("session_id", "sample_id", "sample_count", *[settle(F.col(c), 4).alias(c) for c in STATS])
@@ -211,9 +223,7 @@ add(
     rolling_stats60,
     query(
         ("samples",),
-        f"""SELECT session_id, sample_id, CASE WHEN n >= 5 THEN n END AS sample_count, {', '.join(f'CASE WHEN n >= 5 THEN {s(e, 4)} END AS {c}' for c, e in zip(STATS, ('mn', 'mx', 'av', 'md', 'mx - mn', 'sd', 'CASE WHEN av > 0 THEN sd / av * 100e0 ELSE 0e0 END')))}
-            FROM (SELECT session_id, sample_id, count(*) OVER w AS n, min(left_px) OVER w AS mn, max(left_px) OVER w AS mx, avg(left_px) OVER w AS av, median(left_px) OVER w AS md, stddev_pop(left_px) OVER w AS sd
-                  FROM samples WHERE left_px > 0 WINDOW w AS (PARTITION BY session_id ORDER BY frame_ts_ms ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""",
+        _stats_sql("samples", "left_px", "frame_ts_ms"),
     ),
 )
 add(
@@ -279,13 +289,16 @@ add(
 )
 
 
-def ema_stabilised(spark, sf):
+def _moving_eye(rec):
     e = F.col("sample_id")
-    prepare = lambda rec: rec.samples.select(
+    return rec.samples.select(
         "session_id", "sample_id", "frame_ts_ms", F.col("left_px").alias("px"), F.col("left_mm").alias("mm"),
         (F.lit(0.3) + (e % 7).cast("double") * F.lit(0.05)).alias("x"), (F.lit(0.4) + (e % 3).cast("double") * F.lit(0.01)).alias("y"),
     )
-    rows = _apply(spark, sf, live.stabilise, prepare)
+
+
+def ema_stabilised(spark, sf):
+    rows = _apply(spark, sf, live.stabilise, _moving_eye)
     cols = ("smooth_px", "smooth_x", "smooth_y", "smooth_mm")
     return rows.select("session_id", "sample_id", "track_status", "is_jump", *[half_up(F.col(c), 6).alias(c) for c in cols])
 
@@ -294,22 +307,32 @@ cte("moving_eye", ("ordered",), "SELECT *, left_px / 2e0 AS radius, 3e-1 + CAST(
 _jump = "sqrt((o.x - w.x) * (o.x - w.x) + (o.y - w.y) * (o.y - w.y)) > 12e-2"
 _a, _b = f"CASE WHEN {_jump} THEN 85e-2 ELSE 65e-2 END", f"CASE WHEN {_jump} THEN (1e0 - 85e-2) ELSE (1e0 - 65e-2) END"
 _mix = lambda c: f"CASE WHEN o.left_px IS NULL THEN NULL WHEN w.radius IS NULL THEN o.{c} ELSE ({_a}) * o.{c} + ({_b}) * w.{c} END"
+_WALK = f"""SELECT session_id, sample_id, rn, left_px, radius, CASE WHEN left_px IS NOT NULL THEN x END AS x, CASE WHEN left_px IS NOT NULL THEN y END AS y, mm,
+              CASE WHEN left_px IS NOT NULL THEN false END AS is_jump, CASE WHEN left_px IS NULL THEN 1 ELSE 0 END AS lost FROM moving_eye WHERE rn = 1
+            UNION ALL SELECT o.session_id, o.sample_id, o.rn, o.left_px, {_mix('radius')}, {_mix('x')}, {_mix('y')},
+              CASE WHEN o.left_px IS NULL THEN NULL WHEN w.radius IS NULL THEN o.mm ELSE {r(f'({_a}) * o.mm + ({_b}) * w.mm', 2)} END,
+              CASE WHEN o.left_px IS NULL THEN NULL WHEN w.radius IS NULL THEN false ELSE {_jump} END, CASE WHEN o.left_px IS NULL THEN w.lost + 1 ELSE 0 END
+              FROM walk w JOIN moving_eye o ON o.session_id = w.session_id AND o.rn = w.rn + 1"""
 add(
     "ema_stabilised",
     ema_stabilised,
     rquery(
         ("moving_eye",),
         "walk",
-        f"""SELECT session_id, sample_id, rn, left_px, radius, CASE WHEN left_px IS NOT NULL THEN x END AS x, CASE WHEN left_px IS NOT NULL THEN y END AS y, mm,
-              CASE WHEN left_px IS NOT NULL THEN false END AS is_jump, CASE WHEN left_px IS NULL THEN 1 ELSE 0 END AS lost FROM moving_eye WHERE rn = 1
-            UNION ALL SELECT o.session_id, o.sample_id, o.rn, o.left_px, {_mix('radius')}, {_mix('x')}, {_mix('y')},
-              CASE WHEN o.left_px IS NULL THEN NULL WHEN w.radius IS NULL THEN o.mm ELSE {r(f'({_a}) * o.mm + ({_b}) * w.mm', 2)} END,
-              CASE WHEN o.left_px IS NULL THEN NULL WHEN w.radius IS NULL THEN false ELSE {_jump} END, CASE WHEN o.left_px IS NULL THEN w.lost + 1 ELSE 0 END
-              FROM walk w JOIN moving_eye o ON o.session_id = w.session_id AND o.rn = w.rn + 1""",
+        _WALK,
         f"""SELECT session_id, sample_id, CASE WHEN lost = 0 THEN 'DETECTED' WHEN lost <= 4 THEN 'UNCERTAIN' ELSE 'LOST' END AS track_status, is_jump,
             {r('radius * 2e0', 6)} AS smooth_px, {r('x', 6)} AS smooth_x, {r('y', 6)} AS smooth_y, {r('mm', 6)} AS smooth_mm FROM walk""",
     ),
 )
+
+
+def rolling_stats_smoothed(spark, sf):
+    """Statistics of the stabilised sizes; lost frames keep the last ones."""
+    rows = _apply(spark, sf, lambda df, lay: live.rolling_stats(live.stabilise(df, lay), lay, "smooth_px"), _moving_eye)
+    return rows.select("session_id", "sample_id", "sample_count", *[settle(F.col(c), 4).alias(c) for c in STATS])
+
+
+add("rolling_stats_smoothed", rolling_stats_smoothed, rquery(("moving_eye",), "walk", _WALK, _stats_sql("(SELECT session_id, sample_id, rn, radius * 2e0 AS px FROM walk)", "px", "rn")))
 add(
     "raw_jumps",
     lambda spark, sf: _apply(

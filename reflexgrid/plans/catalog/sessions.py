@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import samples as fs
-from ...functions.numeric import half_up
+from ...functions.numeric import half_up, settle
 from ...operators import signal
 from .. import fixtures as fx
 from .registry import add
-from .sql import EDGE, FIVE, SHORT, case, query, r, slope_sql
+from .sql import EDGE, FIVE, SHORT, case, query, r, s, slope_sql
 
 
 def _samples(spark, sf) -> DataFrame:
@@ -103,6 +103,44 @@ add(
             CASE status WHEN 'GOOD' THEN 95e0 WHEN 'DEGRADED' THEN 65e0 ELSE 20e0 END AS tracking_confidence FROM samples""",
     ),
 )
+def frame_samples(spark, sf):
+    """Nested frames to samples, both eyes; irises, eyes and measured millimetres are absent in turn."""
+    rows = _samples(spark, sf)
+    e = F.col("sample_id")
+    pupil = lambda side, k: F.struct(
+        F.col(f"{side}_px").isNotNull().alias("detected"), F.col(f"{side}_px").alias("diameterPx"), F.when(e % k == 0, F.col(f"{side}_mm")).alias("diameterMm"),
+        F.when(F.col(f"{side}_px").isNotNull(), "DETECTED").otherwise("LOST").alias("status"),
+    )
+    radius = lambda k: F.when(e % k == 0, F.lit(0.003)).when(e % k > 1, (e % 9).cast("double") * F.lit(0.01))
+    eyes = F.struct((e % 3 != 0).alias("leftEye"), F.when(e % 2 == 0, F.lit(True)).alias("rightEye"), radius(4).alias("leftIrisRadiusNorm"), radius(6).alias("rightIrisRadiusNorm"))
+    frame = F.struct(
+        F.col("frame_ts_ms").alias("timestamp"), F.struct(pupil("left", 5).alias("leftPupil"), pupil("right", 3).alias("rightPupil")).alias("pupilData"),
+        eyes.alias("ocularData"), F.struct(F.col("status").alias("status")).alias("tracking"),
+    )
+    rows = rows.select("session_id", "sample_id", frame.alias("frame")).select("session_id", "sample_id", *fs.frame_to_sample(F.col("frame"), F.lit(fx.ONSET_MS)))
+    return rows.select(*[settle(F.col(c), 6).alias(c) if c.endswith("iris_px") else F.col(c) for c in rows.columns])
+
+
+def _side(side, k):
+    scaled = f"CASE WHEN {side}_px IS NOT NULL AND {side}_px <> 0 THEN CASE WHEN {side}_i > 5 THEN {side}_px / (2e0 * {side}_i) * 117e-1 ELSE {side}_px * 1e-1 END END"
+    mm = r(f"coalesce(CASE WHEN sample_id % {k} = 0 THEN {side}_mm END, {scaled})", 3)
+    return f"{side}_px, {s(f'{side}_i', 6)} AS {side}_iris_px, nullif({mm}, 0) AS {side}_mm"
+
+
+def _iris(k):
+    return f"CASE WHEN sample_id % {k} = 0 THEN 3e-3 WHEN sample_id % {k} > 1 THEN CAST(sample_id % 9 AS DOUBLE) * 1e-2 END * 1280e0"
+
+
+add(
+    "frame_samples",
+    frame_samples,
+    query(
+        ("samples",),
+        f"""SELECT session_id, sample_id, {r('frame_ts_ms - 1500e0')} AS rel_ms, {_side('left', 5)}, {_side('right', 3)}, CASE WHEN left_px IS NULL THEN 'LOST' ELSE 'DETECTED' END AS tracking_status,
+            CASE status WHEN 'GOOD' THEN 95e0 WHEN 'DEGRADED' THEN 65e0 ELSE 20e0 END AS tracking_confidence, left_px IS NULL AND right_px IS NULL AND (sample_id % 3 = 0 OR sample_id % 2 <> 0) AS is_blink
+            FROM (SELECT *, {_iris(4)} AS left_i, {_iris(6)} AS right_i FROM samples)""",
+    ),
+)
 add(
     "blink_flag",
     lambda spark, sf: _samples(spark, sf).select(
