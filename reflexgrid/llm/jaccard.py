@@ -249,7 +249,7 @@ def links(blocks: DataFrame, df: DataFrame, key: str, text: str, size: int, perc
     """(a, b): links that connect the documents of each block (node, component)."""
     kind = df.schema[key].dataType.simpleString()
     total = blocks.count()
-    chunk = max(64, min(most, total // 400))
+    chunk = max(64, min(most, total // 60))
     sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     dealt = blocks.join(sizes, "component").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
     dealt = written(dealt.select(F.col("node").alias("key"), "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("mine")), "dealt")
@@ -288,7 +288,7 @@ def links(blocks: DataFrame, df: DataFrame, key: str, text: str, size: int, perc
     return placed.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most: int = 2000) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most: int = 1000) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key reachable over links of at least percent / 100 similarity)."""
     rows = written(sets(df, key, text, size), "sets")
     usable = rows.where("key is not null and n > 0")
@@ -309,7 +309,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most: int = 2000) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most: int = 1000) -> DataFrame:
     """The rows of `df`, all columns, but one document alone of each group: the one with the smallest key. Rows with equal keys are one
     document, of which one row stays. Null keys are linked with nothing and stay."""
     found = written(classes(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", size, percent, most), "groups")
