@@ -280,6 +280,40 @@ def test_linked_sets_share_a_part():
                 assert set(digests(a, levels).tolist()) & set(digests(b, levels).tolist())
 
 
+def test_linked_sets_of_all_small_sizes_share_a_digest():
+    """All sizes up to 30 at the threshold, also with hashes from a corner of the range, so that most parts are empty."""
+    from reflexgrid.llm.jaccard import Levels, digests
+
+    rng = np.random.default_rng(9)
+    for percent in (70, 80, 90):
+        levels = Levels(percent)
+        for n in range(1, 31):
+            for other in range(n, n * 100 // percent + 1):
+                both = -(-percent * (n + other) // (100 + percent))
+                if both > n or both == other:
+                    continue
+                for top in [2**64 - 1] * 60 + [2**62, 2**60, 2**56]:
+                    x = rng.integers(0, top, n + other - both, dtype=np.uint64)
+                    a, b = np.sort(x[:n]), np.sort(x[n - both :])
+                    assert set(digests(a, levels).tolist()) & set(digests(b, levels).tolist()), (percent, n, other)
+        for n in (80, 300, 2000):
+            x = rng.integers(0, 2**60, n + 1, dtype=np.uint64)
+            assert set(digests(np.sort(x[1:]), levels).tolist()) & set(digests(np.sort(x[:-1]), levels).tolist())
+
+
+def test_short_near_copies_are_linked(spark):
+    """Documents of 13 words whose last word differs: 8 of 10 shingles in common."""
+    from reflexgrid.llm.jaccard import classes
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        base = words(rng, 12, 100_000)
+        rows += [(2 * i, base + " a"), (2 * i + 1, base + " b")]
+    got = classes(spark.createDataFrame(rows, "doc_id bigint, text string"), size=5, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k % 2 for k, _ in rows}
+
+
 def test_join_on_awkward_rows(spark):
     from reflexgrid.llm.jaccard import classes, one_of_each
 
