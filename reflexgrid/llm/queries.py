@@ -117,3 +117,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 
     pages = table(spark, sf, "pages")
     return main_text(pages, train(pages))
+
+
+@query("op11_turn_repair")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from .turns import audit, damaged
+
+    turns = table(spark, sf, "conversations")
+    return audit(damaged(turns), turns)
