@@ -125,3 +125,10 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 
     turns = table(spark, sf, "conversations")
     return audit(damaged(turns), turns)
+
+
+@query("op12_vector_codes")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from .codes import compress
+
+    return compress(table(spark, sf, "embeddings"))
