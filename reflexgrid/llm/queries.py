@@ -132,3 +132,10 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     from .codes import compress
 
     return compress(table(spark, sf, "embeddings"))
+
+
+@query("op13_warc")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf, "pages"))
