@@ -6,12 +6,12 @@ length of the payload it stands for. Each task writes one file, through Spark's
 terminator as separator.
 
 Reading. The magic may also stand inside a payload, so a place where it stands is only a candidate for a record.
-1. Files are read in splits, separated at the magic (`WARC/1.`); a split is a run of chunks whose lengths add up to their offsets: a sum within the
-   split, plus the sums of the splits before it. No file has to fit in a task; a payload does.
-2. Each chunk whose head parses gives a link from its offset to that of its successor, taken from its Content-Length.
+1. Files are read in splits, separated where a line starts with the magic; a split is a run of pieces whose lengths add up to their
+   offsets: a sum within the split, plus the sums of the splits before it. No file has to fit in a task; a payload does.
+2. Each piece whose head parses gives a link from its offset to that of its successor, taken from its Content-Length.
 3. Pointer jumping: from the start of every file (offset 0) the reached set doubles each round, jumps are squared; only what is reached is a
    record. `stop` tells how the chain of a file ended.
-4. A record that holds the magic in its payload spans several chunks; these are found by offset and joined. All other records are whole in one chunk, and
+4. A record that holds the magic in its payload spans several pieces; these are found by offset and joined. All other records are whole in one piece, and
    their payload digests were taken where they were read.
 
 Everything is built from DataFrame functions; tables between rounds are written to the shared folder. All data is handled as bytes.
@@ -34,6 +34,7 @@ from .graph import checked
 MAGIC = "WARC/1."
 CRLF = "\r\n"
 END = CRLF + CRLF
+BREAK = CRLF + MAGIC  # has no part that repeats, so a reader finds it across buffers too
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SPAN = 1 << 20
@@ -92,22 +93,23 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", ht
 # ---- reading
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, at, bytes, value, ...): the pieces that start with the magic, with their place in the split and what their heads say. The first
-    piece of a file is what stands before any magic; it is empty in a proper archive."""
-    lines = spark.read.option("lineSep", MAGIC).text(path)
+def pieces_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, seq, bytes, value, ...): what stands between two magics at the start of a line, in the order of the split, and what it says if it is
+    the head of a record. The first piece of a file still holds its magic."""
+    lines = spark.read.option("lineSep", BREAK).text(path)
     raw = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
-    head = F.substring_index("value", END, 1)
-    body = F.expr(f"substring(cast(value as binary), octet_length(head) + {len(END)} + 1)")  # of the block, in bytes
+    # the line end before the next magic may belong to the head or to the block
+    raw = raw.withColumn("text", F.concat("value", F.lit(CRLF)))
+    raw = raw.withColumn("head", F.when(F.instr("text", END) > 0, F.substring_index("text", END, 1)))
     field = lambda name: F.regexp_extract("head", rf"(?i)\r\n{name}: *([^\r\n]*)", 1)
     some = lambda c: F.when(c != "", c)
-    parsed = raw.withColumn("head", F.when(F.instr("value", END) > 0, head))
     length = F.when(field("Content-Length").rlike("^[0-9]{1,18}$"), field("Content-Length").cast("bigint"))
-    out = parsed.select(
+    out = raw.select(
         "file",
         "block",
         "seq",
         F.octet_length("value").cast("bigint").alias("bytes"),
+        F.startswith("value", F.lit(MAGIC)).alias("opens"),
         (F.octet_length("head") + len(END)).cast("bigint").alias("head_bytes"),
         length.alias("length"),
         F.lower(field("WARC-Type")).alias("type"),
@@ -115,12 +117,12 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
         some(F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")).alias("stated"),
         some(field("WARC-Refers-To")).alias("to"),
         "value",
-        body.alias("body"),
+        "text",
     )
-    whole = F.col("bytes") == F.col("head_bytes") + F.col("length") + len(END)
-    # `body` ends with the terminator; a whole chunk is digested here, so its text is not needed again
-    block = F.expr("substring(body, 1, cast(length as int))")
-    return out.withColumn("whole", F.coalesce(whole, F.lit(False))).withColumns(_payload(F.when(F.col("whole"), block))).drop("body")
+    # a block that is whole in its piece is digested here, so its text is not needed again
+    whole = F.coalesce(F.col("bytes") + len(CRLF) >= F.col("head_bytes") + F.col("length"), F.lit(False))
+    block = F.when(F.col("whole"), F.expr("substring(cast(text as binary), cast(head_bytes as int) + 1, cast(length as int))"))
+    return out.withColumn("whole", whole).withColumns(_payload(block)).drop("text")
 
 
 def _payload(block: Column) -> dict[str, Column]:
@@ -133,22 +135,24 @@ def _payload(block: Column) -> dict[str, Column]:
     return {"said": F.when(has & (said != ""), said.cast("bigint")), "payload_bytes": F.when(has, F.octet_length(rest())).cast("bigint"), "sha1": F.when(has, F.sha1(rest()))}
 
 
-LIGHT = ["file", "block", "seq", "bytes", "head_bytes", "length", "type", "name", "stated", "to", "whole", "said", "payload_bytes", "sha1"]
+LIGHT = ["file", "block", "seq", "bytes", "opens", "head_bytes", "length", "type", "name", "stated", "to", "whole", "said", "payload_bytes", "sha1"]
 
 
-LIGHT = ["file", "block", "seq", "bytes", "head_bytes", "length", "type", "name", "stated", "to", "whole", "said", "payload_bytes", "sha1"]
+LIGHT = ["file", "block", "seq", "bytes", "opens", "head_bytes", "length", "type", "name", "stated", "to", "whole", "said", "payload_bytes", "sha1"]
 
 
 def offsets(pieces: DataFrame) -> DataFrame:
-    """The pieces with `off`, where their magic stands in the file."""
-    took = F.col("bytes") + len(MAGIC)
+    """The pieces with `off`, where their magic stands in the file, and, for those that may be records, `next`, where the one after it would stand."""
+    took = F.col("bytes") + len(BREAK)
     before = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = pieces.groupBy("file", "block").agg(F.sum(took).alias("total"))
     base = totals.select("file", "block", F.coalesce(F.sum("total").over(splits), F.lit(0)).alias("base"))
-    # a piece starts behind the separator before it, so its magic stands that many bytes earlier
-    at = F.col("base") + F.coalesce(F.sum(took).over(before), F.lit(0)) - len(MAGIC)
-    return pieces.join(checked(base), ["file", "block"]).withColumn("off", at).drop("base")
+    start = F.col("base") + F.coalesce(F.sum(took).over(before), F.lit(0))
+    placed = pieces.join(checked(base), ["file", "block"]).withColumn("start", start)
+    first = F.col("start") == 0
+    ends = F.col("start") + F.col("head_bytes") + F.col("length") + len(END)
+    return placed.withColumns({"off": F.when(first, 0).otherwise(F.col("start") - len(MAGIC)), "next": F.when(~first | F.col("opens"), ends)}).drop("base", "start")
 
 
 def reached(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,18 +178,17 @@ def reached(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives below `path`: file, off, type, name, to, stated, payload_bytes, sha1 (hex, of the bytes read), said (the payload length in the
-    HTTP head), and `parts` (chunks that the record spans). Compressed archives are one split a file, and offsets those of the plain bytes."""
+    HTTP head), and `parts` (pieces that the record spans). Compressed archives are one split a file, and offsets those of the plain bytes."""
     fixed = "spark.sql.files.minPartitionNum"  # two scans of one archive must split it alike, also when executors come or go between them
     given = spark.conf.get(fixed, None)
     spark.conf.set(fixed, given or str(spark.sparkContext.defaultParallelism))
     try:
-        pieces = written(chunks(spark, path).select(*LIGHT), "pieces")
+        pieces = written(pieces_of(spark, path).select(*LIGHT), "pieces")
         placed = written(offsets(pieces), "placed")
-        after = F.col("off") + len(MAGIC) + F.col("head_bytes") + F.col("length") + len(END)
-        candidates = placed.where("off >= 0 and length is not null").withColumn("next", after)
+        candidates = placed.where("next is not null")
         kept = written(candidates.join(reached(candidates)[0], ["file", "off"]), "kept")
         broken = kept.where("not whole")
-        spanning = written(_spanning(chunks(spark, path), placed, broken), "spanning") if broken.take(1) else None
+        spanning = written(_spanning(pieces_of(spark, path), placed, broken), "spanning") if broken.take(1) else None
     finally:
         spark.conf.unset(fixed) if given is None else spark.conf.set(fixed, given)
     whole = kept.where("whole").select("file", "off", "type", "name", "to", "stated", "payload_bytes", "sha1", "said", F.lit(1).alias("parts"))
@@ -193,7 +196,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _spanning(pieces: DataFrame, placed: DataFrame, broken: DataFrame) -> DataFrame:
-    """Records of several chunks: a chunk belongs to the record whose range holds it. Both meet by blocks of SPAN bytes, a record in every
+    """Records of several pieces: a piece belongs to the record whose range holds it. Both meet by blocks of SPAN bytes, a record in every
     block that it covers."""
     starts = broken.select("file", F.col("off").alias("start"), "next", "head_bytes", "length", "type", "name", "to", "stated")
     cells = F.sequence(F.floor(F.col("start") / SPAN), F.floor((F.col("next") - 1) / SPAN))
@@ -202,7 +205,7 @@ def _spanning(pieces: DataFrame, placed: DataFrame, broken: DataFrame) -> DataFr
     met = written(met.select("file", "block", "seq", "off", "start"), "met")
     texts = pieces.select("file", "block", "seq", "value").join(checked(met), ["file", "block", "seq"])
     joined = texts.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("off", F.col("value").cast("binary").alias("value")))).alias("all"))
-    data = F.array_join(F.transform("all", lambda x: F.hex(x["value"])), MAGIC.encode().hex().upper())
+    data = F.array_join(F.transform("all", lambda x: F.hex(x["value"])), BREAK.encode().hex().upper())
     full = starts.join(joined.select("file", "start", F.unhex(data).alias("data"), F.size("all").alias("parts")), ["file", "start"])
     full = full.withColumn("block", F.expr("substring(data, cast(head_bytes as int) + 1, cast(length as int))"))
     return full.select("file", F.col("start").alias("off"), "type", "name", "to", "stated", "parts", *[c.alias(k) for k, c in _payload(F.col("block")).items()])
