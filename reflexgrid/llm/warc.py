@@ -87,7 +87,7 @@ def _head(kind: Column, id: Column, url: Column, digest: Column, n: Column, to:
 
 
 def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html", compression: str = "gzip") -> None:
-    records(pages, id, url, html).write.option("lineSep", END).option("compression", compression).text(path)
+    records(pages, id, url, html).write.option("lineSep", END).options(**{"compression": compression, "zlib.compress.level": "BEST_SPEED"}).text(path)
 
 
 # ---- reading
