@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from ..config import LiveSettings
 from ..functions.numeric import half_up
 from .components import written
 from .ordered import HALO, Layout
+from .pointers import spaced
 
 
 def stability(df: DataFrame, layout: Layout, cfg: LiveSettings = LiveSettings()) -> DataFrame:
@@ -183,18 +185,24 @@ def _fold_chunks(df: DataFrame, layout: Layout, restart: str, step, added: T.Str
                 made.append((*(blank if row[HALO] else values), start, None if row[HALO] else json.dumps(state)))
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(made, columns=new).astype({"_start": object, "_end": object})], axis=1)
 
-    given = None
+    # a round folds only the chunks whose start turned out wrong; of each chunk the newest round counts
+    rounds, latest, given = [], None, None
     while True:
-        now = rows.withColumn("_given", F.lit(None).cast("string")) if given is None else rows.join(given, parts, "left")
+        now = rows.withColumn("_given", F.lit(None).cast("string")) if given is None else rows.join(given, parts)
         folded = now.repartition(*parts).sortWithinPartitions(*parts, *layout.order).mapInPandas(run, schema)
-        done = written(folded.where(~F.col(HALO)).drop(HALO), "folded")
-        ends = done.groupBy(*parts).agg(F.max("_start").alias("_start"), F.max_by("_end", F.struct(*layout.order)).alias("_end"))
+        done = written(folded.where(~F.col(HALO)).drop(HALO, "_given").withColumn("_round", F.lit(len(rounds))), "folded")
+        rounds.append(done)
+        ends = done.groupBy(*parts).agg(F.max("_start").alias("_start"), F.max_by("_end", F.struct(*layout.order)).alias("_end"), F.max("_round").alias("_round"))
+        latest = written(ends if latest is None else latest.join(given, parts, "left_anti").unionByName(ends), "ends")
         before = F.lag("_end").over(Window.partitionBy(*layout.keys).orderBy(layout.chunk))
-        wrong = ends.select(*parts, before.alias("_given"), "_start").where("_given <> _start").drop("_start")
+        wrong = written(latest.select(*parts, before.alias("_given"), "_start").where("_given <> _start").drop("_start"), "starts")
         if wrong.isEmpty():
-            return done.drop("_given", "_start", "_end")
-        wrong = written(wrong, "starts")
-        given = wrong if given is None else given.join(wrong, parts, "left_anti").unionByName(wrong)
+            break
+        given = wrong
+    if len(rounds) == 1:
+        return done.drop("_start", "_end", "_round")
+    every = reduce(DataFrame.unionByName, rounds).drop("_start", "_end")
+    return every.join(latest.select(*parts, "_round"), [*parts, "_round"], "left_semi").drop("_round")
 
 
 def _fold_series(df: DataFrame, layout: Layout, restart: str, step, added: T.StructType, warm_up: int = 64) -> DataFrame:
@@ -203,20 +211,9 @@ def _fold_series(df: DataFrame, layout: Layout, restart: str, step, added: T.Str
     return _fold(df, [*layout.keys, restart], list(layout.order), step, added)
 
 
-def throttle(df: DataFrame, layout: Layout, time: str, interval_ms: float, warm_up: int = 64) -> DataFrame:
+def throttle(df: DataFrame, layout: Layout, time: str, interval_ms: float) -> DataFrame:
     """Keep a row when at least `interval_ms` have passed since the last kept row."""
-    rows = layout.extend(df, 1, 0)
-    gap = F.col(time) - F.lag(time).over(layout.window())
-    rows = layout.trim(rows.withColumn("_cut", F.coalesce((gap >= interval_ms).cast("long"), F.lit(1))))
-    rows = layout.prefix(rows, {"_seg": ("sum", F.col("_cut"))}).drop("_cut")
-
-    def step(last, row):
-        t = row[time]
-        keep = last is None or t - last >= interval_ms
-        return (t if keep else last), (keep,)
-
-    added = T.StructType([T.StructField("_keep", T.BooleanType())])
-    return _fold_series(rows, layout, "_seg", step, added, warm_up).where("_keep").drop("_keep", "_seg")
+    return spaced(df, layout, time, interval_ms)
 
 
 STABILISED = T.StructType(

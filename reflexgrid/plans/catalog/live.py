@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.numeric import half_up, settle
 from ...operators import agreement, alignment, live
+from ...operators.ordered import Layout
 from .. import fixtures as fx
 from .registry import add
 from .sql import cte, query, r, rquery, s
@@ -290,6 +291,27 @@ add(
 )
 
 
+def throttle_hot(spark, sf):
+    """All frames as one session, cut into days: kept rows are at least six hours apart."""
+    t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("double")
+    rows = fx.table(spark, sf, "events").select(F.lit(1).alias("session_id"), F.col("event_id").alias("sample_id"), t.alias("frame_ts_ms"), F.to_date("ts").alias("day"))
+    return live.throttle(rows, Layout(SES, ORDER, "day"), "frame_ts_ms", 21_600_000.0).select("sample_id", "frame_ts_ms")
+
+
+cte("moments", (), "SELECT CAST(epoch_us(ts) // 1000 AS DOUBLE) AS t, min(event_id) AS sample_id FROM events GROUP BY 1")
+add(
+    "throttle_hot",
+    throttle_hot,
+    rquery(
+        ("moments",),
+        "walk",
+        """SELECT sample_id, t FROM moments WHERE t = (SELECT min(t) FROM moments)
+           UNION ALL SELECT m.sample_id, m.t FROM (SELECT (SELECT min(o.t) FROM moments o WHERE o.t >= w.t + 21600000) AS n FROM walk w) JOIN moments m ON m.t = n""",
+        "SELECT sample_id, t AS frame_ts_ms FROM walk",
+    ),
+)
+
+
 def _moving_eye(rec):
     e = F.col("sample_id")
     return rec.samples.select(

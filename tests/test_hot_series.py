@@ -108,5 +108,5 @@ def test_folds_over_dense_chunks(spark, rows_of, warm_up):
     df = spark.createDataFrame(rows, "session_id long, sample_id long, frame_ts_ms double, px double, x double, y double, mm double")
     plain, cut = Layout(KEYS, ORDER), Layout(KEYS, ORDER, "_c")
     chunked = df.withColumn("_c", F.floor(F.col("sample_id") / 25))
-    same(rows_of, live.throttle(df, plain, "frame_ts_ms", 100.0), live.throttle(chunked, cut, "frame_ts_ms", 100.0, warm_up).drop("_c"))
+    same(rows_of, live.throttle(df, plain, "frame_ts_ms", 100.0), live.throttle(chunked, cut, "frame_ts_ms", 100.0).drop("_c"))
     same(rows_of, live.stabilise(df, plain), live.stabilise(chunked, cut, warm_up=warm_up).drop("_c"))
