@@ -9,6 +9,7 @@ from ...operators import agreement
 from ...session import scratch
 from ...sources import stores
 from ...streaming import jobs, operators, pipelines
+from ...streaming.ordered import recording_phases
 from .. import fixtures as fx
 from .registry import add
 from .storage import _finals
@@ -34,8 +35,14 @@ cte(
 _ms = lambda c: F.unix_millis(c)
 
 
+def drained(spark, sf, name, operator):
+    """The result of `operator(frames)` over the whole stream, which is closed at its end."""
+    ending = jobs.Ending(frames(spark, sf))
+    return jobs.drain(operator(ending.stream), name, ending=ending)[0]
+
+
 def stream_fps(spark, sf):
-    rows, _ = jobs.drain(operators.frames_per_second(frames(spark, sf), "1 day"), "fps")
+    rows = drained(spark, sf, "fps", lambda f: operators.frames_per_second(f, "1 day"))
     return rows.select("session_id", _ms("start").alias("start_ms"), "frames")
 
 
@@ -44,14 +51,13 @@ add(
     stream_fps,
     query(
         ("sframes",),
-        """SELECT session_id, epoch_ms(d) AS start_ms, n AS frames FROM (SELECT session_id, date_trunc('day', ts) AS d, count(*) AS n FROM sframes GROUP BY ALL)
-           WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM sframes) - INTERVAL 10 SECOND""",
+        "SELECT session_id, epoch_ms(d) AS start_ms, n AS frames FROM (SELECT session_id, date_trunc('day', ts) AS d, count(*) AS n FROM sframes GROUP BY ALL)",
     ),
 )
 
 
 def stream_activity(spark, sf):
-    rows, _ = jobs.drain(operators.rolling_activity(frames(spark, sf), "2 days", "1 day"), "activity")
+    rows = drained(spark, sf, "activity", lambda f: operators.rolling_activity(f, "2 days", "1 day"))
     return rows.select(_ms("start").alias("start_ms"), _ms("end").alias("end_ms"), "frames", "valid")
 
 
@@ -61,13 +67,13 @@ add(
     query(
         ("sframes",),
         """SELECT epoch_ms(d) AS start_ms, epoch_ms(d + INTERVAL 2 DAY) AS end_ms, count(*) AS frames, count(px) AS valid
-           FROM (SELECT date_trunc('day', ts) - INTERVAL (k) DAY AS d, px FROM sframes, range(2) t(k)) GROUP BY d HAVING d + INTERVAL 2 DAY <= (SELECT max(ts) FROM sframes) - INTERVAL 10 SECOND""",
+           FROM (SELECT date_trunc('day', ts) - INTERVAL (k) DAY AS d, px FROM sframes, range(2) t(k)) GROUP BY d""",
     ),
 )
 
 
 def stream_sessions(spark, sf):
-    rows, _ = jobs.drain(operators.closed_sessions(frames(spark, sf), "12 hours"), "sessions")
+    rows = drained(spark, sf, "sessions", lambda f: operators.closed_sessions(f, "12 hours"))
     return rows.select("session_id", _ms("start").alias("start_ms"), _ms("end").alias("end_ms"), "frames")
 
 
@@ -79,7 +85,7 @@ add(
         """SELECT session_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts) + INTERVAL 12 HOUR) // 1000 AS end_ms, count(*) AS frames FROM (
              SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, sample_id) AS g
              FROM (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, sample_id) AS p FROM sframes))
-           GROUP BY session_id, g HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM sframes) - INTERVAL 10 SECOND""",
+           GROUP BY session_id, g""",
     ),
 )
 
@@ -95,7 +101,7 @@ add("stream_dedup", stream_dedup, query(("sframes",), "SELECT session_id, sample
 
 
 def stream_throttle(spark, sf):
-    rows, _ = jobs.drain(operators.throttled(frames(spark, sf), 3_600_000.0 * 6), "throttle")
+    rows = drained(spark, sf, "throttle", lambda f: operators.throttled(f, 3_600_000.0 * 6))
     return rows.select("session_id", "sample_id", "frame_ts_ms")
 
 
@@ -115,7 +121,7 @@ add(
 
 
 def stream_ema(spark, sf):
-    rows, _ = jobs.drain(operators.stabilised(frames(spark, sf)), "ema")
+    rows = drained(spark, sf, "ema", operators.stabilised)
     return rows.select("session_id", "sample_id", "track_status", *[half_up(F.col(c), 5).alias(c) for c in ("smooth_px", "smooth_x", "smooth_y", "smooth_mm")])
 
 
@@ -140,9 +146,7 @@ add(
 def stream_baseline(spark, sf):
     """Live baseline state; coarse sizes make some windows stable."""
     coarse = F.when(F.col("px").isNotNull(), F.floor(F.col("px") / 8) * F.lit(0.1) + F.lit(40.0))
-    f = frames(spark, sf).withColumn("left_px", coarse).withColumn("right_px", coarse)
-    rows, _ = jobs.drain(operators.baseline_states(f), "baseline")
-    return rows
+    return drained(spark, sf, "baseline", lambda f: operators.baseline_states(f.withColumn("left_px", coarse).withColumn("right_px", coarse)))
 
 
 cte(
@@ -166,8 +170,7 @@ add(
 
 
 def stream_finished(spark, sf):
-    rows, _ = jobs.drain(operators.finished_recordings(frames(spark, sf), 86_400_000.0), "finished")
-    return rows
+    return drained(spark, sf, "finished", lambda f: operators.finished_recordings(f, 86_400_000.0))
 
 
 add(
@@ -175,8 +178,31 @@ add(
     stream_finished,
     query(
         ("sframes",),
-        """SELECT session_id, min(epoch_us(ts)) / 1000 AS first_ms, max(epoch_us(ts)) / 1000 AS last_ms, count(*) AS frames FROM sframes GROUP BY session_id
-           HAVING min(epoch_us(ts)) / 1000 + 86400000 < (SELECT max(epoch_us(ts)) / 1000 FROM sframes) - 10000""",
+        """SELECT session_id, min(epoch_us(ts)) / 1000 AS first_ms, max(epoch_us(ts)) / 1000 AS last_ms, count(*) AS frames FROM sframes GROUP BY session_id""",
+    ),
+)
+
+
+# The protocol in days instead of seconds, as the given frames of a session lie days apart.
+_DAY = 86_400_000
+_PHASES = (3 * _DAY, _DAY, 7 * _DAY)
+
+
+def stream_phases(spark, sf):
+    """The recording of each session, phase by phase; it closes at its end also when no further frame comes."""
+    return drained(spark, sf, "phases", lambda f: recording_phases(f, *_PHASES, idle_ms=_DAY, delay=operators.DELAY))
+
+
+add(
+    "stream_phases",
+    stream_phases,
+    query(
+        ("sframes",),
+        f"""SELECT session_id, CASE WHEN phase = 'COMPLETE' AND count(px) FILTER (frame_ts_ms < start + after) = 0 THEN 'FAILED_INCONCLUSIVE' ELSE phase END AS phase,
+            CAST(start + after AS BIGINT) AS at_ms, count(*) FILTER (frame_ts_ms < start + after) AS frames, count(px) FILTER (frame_ts_ms < start + after) AS valid
+            FROM (SELECT *, min(frame_ts_ms) OVER (PARTITION BY session_id) AS start FROM sframes),
+              (VALUES ('BASELINE', 0), ('STIMULUS', {3 * _DAY}), ('CONSTRICTION_RECOVERY', {4 * _DAY}), ('PROCESSING', {11 * _DAY}), ('COMPLETE', {11 * _DAY})) t(phase, after)
+            GROUP BY session_id, phase, start, after""",
     ),
 )
 
@@ -246,8 +272,9 @@ add("stream_alerts", stream_alerts, query(("assessed",), "SELECT session_id, urg
 def stream_close(spark, sf):
     """Finished sessions trigger the batch kinetics; the reliable reports end up in the final store."""
     store = scratch(spark, "final")
-    done = operators.finished_recordings(frames(spark, sf), 86_400_000.0)
-    pipelines.close_and_report(done, lambda ids: _finals(spark, sf).join(ids, "session_id", "left_semi"), store)
+    ending = jobs.Ending(frames(spark, sf))
+    done = operators.finished_recordings(ending.stream, 86_400_000.0)
+    pipelines.close_and_report(done, lambda ids: _finals(spark, sf).join(ids, "session_id", "left_semi"), store, ending)
     return stores.read_finals(spark, store).select("session_id", "baseline_left_pupil_px", "baseline_right_pupil_px")
 
 
@@ -256,7 +283,6 @@ add(
     stream_close,
     query(
         ("finals",),
-        """SELECT session_id, baseline_left_pupil_px, baseline_right_pupil_px FROM finals WHERE session_id IN (SELECT user_id FROM events GROUP BY 1
-           HAVING min(epoch_us(ts)) / 1000 + 86400000 < (SELECT max(epoch_us(ts)) / 1000 FROM events) - 10000)""",
+        "SELECT session_id, baseline_left_pupil_px, baseline_right_pupil_px FROM finals",
     ),
 )

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..schemas import EVENT
 from ..session import scratch
+from .ordered import CLOSE, STORE
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_per_batch: int = 8) -> DataFrame:
@@ -17,21 +20,58 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parqu
     return spark.readStream.schema(EVENT).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", str(files_per_batch)).parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append"):
-    """Process everything available into a Parquet table in the shared folder. Returns (table, query)."""
+class Ending:
+    """A source that can be closed: its last row, sent when everything else was read, lies at the end of time and lets every window and timer run out."""
+
+    def __init__(self, source: DataFrame):
+        self.spark, self.schema = source.sparkSession, source.schema
+        self.folder = scratch(self.spark, "ending")
+        self._row().where("false").write.parquet(self.folder)
+        self.stream = source.unionByName(self.spark.readStream.schema(self.schema).parquet(self.folder))
+
+    def _row(self) -> DataFrame:
+        return self.spark.range(1).select(*[F.lit(CLOSE if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in self.schema])
+
+    def close(self) -> None:
+        self._row().coalesce(1).write.mode("append").parquet(self.folder)
+
+
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Timers and list states need the RocksDB store; a query takes the setting over when it starts."""
+    name, provider = STORE
+    given = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", ending: Ending | None = None):
+    """Process everything available into a Parquet table in the shared folder; with `ending`, close the stream after that, so that
+    nothing stays open. Returns (table, query)."""
     spark = stream.sparkSession
     out = scratch(spark, name)
-    log = f"{out}-log"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", log).option("path", out).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-log").option("path", out)
+    query = _run(writer, spark, ending)
     return spark.read.schema(stream.schema).parquet(out), query
 
 
-def each_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None]):
+def each_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None], ending: Ending | None = None):
     """Process everything available through `fn(batch, batch_id)`; `fn` must be safe to repeat."""
     log = scratch(stream.sparkSession, f"{name}-log")
-    query = stream.writeStream.foreachBatch(fn).option("checkpointLocation", log).trigger(availableNow=True).start()
-    query.awaitTermination()
+    return _run(stream.writeStream.foreachBatch(fn).option("checkpointLocation", log), stream.sparkSession, ending)
+
+
+def _run(writer, spark: SparkSession, ending: Ending | None):
+    with _state_store(spark):
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        if ending is not None:
+            ending.close()
+            query = writer.trigger(availableNow=True).start()
+            query.awaitTermination()
     return query
 
 

@@ -10,7 +10,7 @@ from ..operators import agreement, triage
 from ..session import scratch
 from ..sources import stores
 from . import operators
-from .jobs import each_batch
+from .jobs import Ending, each_batch
 
 
 def alerts(reports: DataFrame, contexts: DataFrame, cfg: TriageSettings = TriageSettings()) -> DataFrame:
@@ -19,7 +19,7 @@ def alerts(reports: DataFrame, contexts: DataFrame, cfg: TriageSettings = Triage
     return triage.assess(triage.triggers(rows, cfg))
 
 
-def close_and_report(finished: DataFrame, recordings, store: str):
+def close_and_report(finished: DataFrame, recordings, store: str, ending: Ending | None = None):
     """For every batch of finished sessions, run the batch kinetics on their frames and store the reliable reports.
 
     `recordings(ids)` gives the final records of these sessions; storing them twice changes nothing.
@@ -28,7 +28,7 @@ def close_and_report(finished: DataFrame, recordings, store: str):
     def batch(ids: DataFrame, _: int) -> None:
         stores.insert_finals(recordings(ids.select("session_id")), store)
 
-    return each_batch(finished, "close", batch)
+    return each_batch(finished, "close", batch, ending)
 
 
 def running_agreement(compared: DataFrame, history: int = LiveSettings.history):

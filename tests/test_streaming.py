@@ -1,6 +1,7 @@
 """Streams over many files give what one batch gives; late rows are counted."""
 
 import time
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from reflexgrid.plans.catalog import QUERIES
 from reflexgrid.plans.catalog.streams import frames
 from reflexgrid.session import scratch
 from reflexgrid.streaming import jobs, operators
+from reflexgrid.streaming.ordered import recording_phases
 
 
 @pytest.fixture(scope="module")
@@ -28,18 +30,72 @@ def _frames(spark, folder):
     return frames(spark, folder, "*.parquet", 1)
 
 
-@pytest.mark.parametrize("name", ["ema", "throttle", "baseline"])
+def closed(frames, make, name):
+    ending = jobs.Ending(frames)
+    return jobs.drain(make(ending.stream), name, ending=ending)
+
+
+def _rows(df):
+    return sorted(str(tuple(r[c] for c in sorted(df.columns))) for r in df.collect())
+
+
+FOLDS = {
+    "ema": lambda f, delay: operators.stabilised(f, delay=delay),
+    "throttle": lambda f, delay: operators.throttled(f, 3_600_000.0 * 6, delay=delay),
+    "baseline": lambda f, delay: operators.baseline_states(f.withColumn("left_px", F.floor("px") / 10).withColumn("right_px", F.col("mm")), delay=delay),
+    "phases": lambda f, delay: recording_phases(f, 3e8, 1e8, 6e8, 1e8, delay),
+}
+
+
+@pytest.mark.parametrize("name", FOLDS)
 def test_many_batches_equal_one(spark, sf, split_files, name):
-    made = {
-        "ema": lambda f: operators.stabilised(f),
-        "throttle": lambda f: operators.throttled(f, 3_600_000.0 * 6),
-        "baseline": lambda f: operators.baseline_states(f.withColumn("left_px", F.floor("px") / 10).withColumn("right_px", F.col("mm"))),
-    }[name]
-    many, query = jobs.drain(made(_frames(spark, split_files)), name)
-    one, _ = jobs.drain(made(frames(spark, sf)), name)
-    assert len([p for p in query.recentProgress if p["numInputRows"]]) >= 6
-    rows = lambda df: sorted(map(str, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
-    assert rows(many) == rows(one)
+    many, query = closed(_frames(spark, split_files), lambda f: FOLDS[name](f, "10 seconds"), name)
+    one, _ = closed(frames(spark, sf), lambda f: FOLDS[name](f, "10 seconds"), name)
+    assert _rows(many) == _rows(one)
+    # every session's state has ended with the stream
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+@pytest.mark.parametrize("name", FOLDS)
+def test_rows_out_of_order_across_batches(spark, sf, name):
+    """Files dealt by a hash of the row: each batch holds rows from anywhere in the delay."""
+    out = scratch(spark, "shuffled")
+    e = fx.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(5):
+        e.where(F.pmod(F.hash("event_id"), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(out)
+    mixed, query = closed(_frames(spark, out), lambda f: FOLDS[name](f, "400 days"), name)
+    one, _ = closed(frames(spark, sf), lambda f: FOLDS[name](f, "10 seconds"), name)
+    assert _rows(mixed) == _rows(one)
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def _clip(spark, rows, make, per_file):
+    """Frames (session, second, px, active) written `per_file` a file, in the order given."""
+    out = scratch(spark, "clip")
+    schema = "session_id long, sample_id long, ts timestamp, frame_ts_ms double, px double, left_px double, right_px double, active boolean"
+    made = [(s, i, datetime.fromtimestamp(1e9 + t, timezone.utc), t * 1000.0, p, p, p, a) for i, (s, t, p, a) in enumerate(rows)]
+    for k in range(0, len(made), per_file):
+        spark.createDataFrame(made[k : k + per_file], schema).coalesce(1).write.mode("append").parquet(out)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(out)
+    return closed(stream, make, "clip")[0].collect()
+
+
+def test_inactive_frames_and_idle_time_reset_the_baseline(spark):
+    steady = [(1, t, 40.0, True) for t in range(6)]
+    rows = steady + [(1, 6, 40.0, False), (1, 7, 40.0, True)] + [(1, t, 40.0, True) for t in range(100, 106)]
+    got = {r["sample_id"]: (r["window_count"], r["state"]) for r in _clip(spark, rows, lambda f: operators.baseline_states(f, idle_ms=30_000), 4)}
+    assert got[5] == (6, "BASELINE_STABLE") and got[6] == (0, "IDLE") and got[7] == (1, "COLLECTING_RAW_BASELINE")
+    assert got[8] == (1, "COLLECTING_RAW_BASELINE") and got[13] == (6, "BASELINE_STABLE")
+
+
+def test_recording_closes_without_further_frames(spark):
+    """Seconds as in the protocol; session 2 sees no pupil, session 3 ends early, session 1 gets frames after its end."""
+    rows = [(1, t / 10, 40.0, True) for t in range(80)] + [(2, t / 10, None, True) for t in range(60)] + [(3, 0.5, 40.0, True)]
+    order = sorted(rows, key=lambda r: (int(r[1]), -r[0], -r[1]))  # out of order within each second
+    got = {(r["session_id"], r["phase"]): (r["at_ms"] - 10**12, r["frames"], r["valid"]) for r in _clip(spark, order, lambda f: recording_phases(f, 1500.0, 200.0, 3500.0, 60_000.0, "10 seconds"), 30)}
+    assert {p: got[1, p] for s, p in got if s == 1} == {"BASELINE": (0, 0, 0), "STIMULUS": (1500, 15, 15), "CONSTRICTION_RECOVERY": (1700, 17, 17), "PROCESSING": (5200, 52, 52), "COMPLETE": (5200, 52, 52)}
+    assert got[2, "FAILED_INCONCLUSIVE"] == (5200, 52, 0) and (2, "COMPLETE") not in got
+    assert got[3, "COMPLETE"] == (5700, 1, 1)
 
 
 def test_stream_ema_equals_batch(spark, sf):
