@@ -16,12 +16,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared checkpoint folder: what follows is computed from files that outlive any executor."""
+    """`df` as a table in the shared checkpoint folder: what follows is computed from files that outlive any executor. The shuffle files of
+    the job are of no further use and go with its end."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    given = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if given is None else spark.conf.set(CLEANUP, given)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that `written` made, once nothing is computed from them any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(df: DataFrame, key: str, text: str) -> DataFrame:

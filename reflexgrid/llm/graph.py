@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 BROADCAST_ROWS = 2_000_000
 
@@ -27,13 +27,16 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")), "step")
         if labels is None:
-            labels = step.select("node", F.col("to").alias("component"))
+            now = step.select("node", F.col("to").alias("component"))
         else:
             moved = labels.join(step.withColumnRenamed("node", "component"), "component", "left")
-            labels = written(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
+            now = moved.select("node", F.coalesce("to", "component").alias("component"))
+        now = written(now, "labels")
         left = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
         right = left.join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        edges = written(right.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
+        further = written(right.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
+        drop(edges, step, *([] if labels is None else [labels]))
+        edges, labels = further, now
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # a label may still point at a node that moved on within the same round

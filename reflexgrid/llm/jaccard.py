@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, map_rows, texts, written
+from .common import drop, held, map_rows, texts, written
 from .graph import checked, components
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -312,7 +312,9 @@ def links(blocks: DataFrame, df: DataFrame, key: str, text: str, size: int, perc
                 yield pa.record_batch([pa.array([f[i] for f in found], type_) for i in (0, 1)], names=["a", "b"])
 
     type_ = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return placed.mapInArrow(run, f"a {kind}, b {kind}")
+    found = written(placed.mapInArrow(run, f"a {kind}, b {kind}"), "found")
+    drop(dealt, stored)
+    return found
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most: int = 1000) -> DataFrame:
@@ -329,6 +331,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         tied = tied.join(known.select(F.col("key").alias(side), F.col("rep").alias(f"{side}_rep")), side, "left")
         tied = tied.withColumn(side, F.coalesce(f"{side}_rep", side)).drop(f"{side}_rep")
     blocks = components(tied.select("a", "b"))
+    drop(raw, equal)
     found = links(blocks, df, key, text, size, percent, most)
     # keys of equal rows, and copies of a class, hang on its smallest key
     joined = components(found.select("a", "b").union(reps.select(F.col("key").alias("a"), F.col("rep").alias("b"))))
