@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reflexgrid.llm import stages
-from reflexgrid.llm.common import table, written
+from reflexgrid.llm.common import drop, table, written
 
 STAGES = stages.STAGES
 
@@ -16,6 +16,10 @@ ORACLE_SQL = None  # trained models, tokenizers and edit distances: tests compar
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over `documents`; each result is written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
