@@ -18,14 +18,17 @@ def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b); the component is its smallest node.
 
-    Each round takes every node to the smallest node of its neighbourhood and contracts the links; stars vanish in one round, paths
-    shrink by a constant factor. Rounds are written tables, so a lost executor costs the running round only.
+    Each round takes every node to that node of its neighbourhood, itself included, whose hash of node and round is least, and contracts the links.
+    Stars vanish in one round, and paths shrink by a constant factor in whatever order their nodes are numbered. Rounds are written
+    tables, so a lost executor costs the running round only.
     """
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = None
+    labels, turn = None, 0
     while edges.take(1):
+        rank = lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)).alias("hash"), F.col(c).alias("node"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")), "step")
+        best = F.least(F.min(rank("a")), F.min(rank("b")))
+        step = written(both.groupBy(F.col("a").alias("node")).agg(best["node"].alias("to")), "step")
         if labels is None:
             now = step.select("node", F.col("to").alias("component"))
         else:
@@ -36,8 +39,8 @@ def components(links: DataFrame) -> DataFrame:
         right = left.join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         further = written(right.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
         drop(edges, step, *([] if labels is None else [labels]))
-        edges, labels = further, now
+        edges, labels, turn = further, now, turn + 1
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    # a label may still point at a node that moved on within the same round
-    return labels
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return labels.join(checked(least), "component").select("node", F.col("least").alias("component"))
