@@ -275,10 +275,8 @@ def cell_links(keys: list, members: list[np.ndarray], own: list[int], percent: i
 def links(blocks: DataFrame, df: DataFrame, key: str, text: str, size: int, percent: int, most: int) -> DataFrame:
     """(a, b): links that connect the documents of each block (node, component)."""
     kind = df.schema[key].dataType.simpleString()
-    total = blocks.count()
-    chunk = max(64, min(most, total // 400))
     sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    dealt = blocks.join(sizes, "component").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
+    dealt = blocks.join(sizes, "component").withColumn("chunks", F.ceil(F.col("size") / most).cast("int"))
     dealt = written(dealt.select(F.col("node").alias("key"), "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("mine")), "dealt")
 
     def build(keys: list, batch: list[str]) -> dict:
