@@ -1,17 +1,18 @@
 """Connected regions of masks: 8-neighbour components over horizontal runs.
 
 A run is a maximal horizontal stretch of pixels. Its id is its first pixel in line order; the label of
-a component is the smallest id in it. Images of ordinary size are labelled in one
-pass over the runs sorted by image. Images with more runs than `max_runs` go through label propagation instead: edges between
-touching runs, labels spreading along the edges and jumping to the label of their label, each round
-one set of shuffle joins whose result is written to the shared folder.
+a component is the smallest id in it. Runs are labelled strip by strip; strips of one image are joined by the links across their seams,
+whose components are found in written rounds. `bitmaps` does the same on binary images.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,87 +38,106 @@ def to_runs(pixels: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     return runs.withColumn("run", F.col("y").cast("long") * LINE + F.col("x0"))
 
 
-def _roots(ys: list[int], lo: list[int], hi: list[int]) -> list[int]:
-    """Position of the earliest touching run for every run of one image (runs in line order)."""
-    root = list(range(len(ys)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    above = 0
-    for i in range(len(ys)):
-        while above < i and (ys[above] < ys[i] - 1 or (ys[above] == ys[i] - 1 and hi[above] < lo[i] - 1)):
-            above += 1
-        j = above
-        while j < i and ys[j] == ys[i] - 1 and lo[j] <= hi[i] + 1:
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-            j += 1
-    return [find(i) for i in range(len(ys))]
-
-
-def _label_images(keys: tuple[str, ...]):
-    """Label runs that arrive sorted by image and line; only the current image is held."""
-
-    def done(image: list[tuple], names: list[str]) -> pd.DataFrame:
-        at = {n: i for i, n in enumerate(names)}
-        column = lambda n: [row[at[n]] for row in image]
-        ids = column("run")
-        labels = [ids[i] for i in _roots(column("y"), column("x0"), column("x1"))]
-        return pd.DataFrame([(*row, label) for row, label in zip(image, labels)], columns=[*names, "label"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, image, names, ready = None, [], [], []
-        for pdf in batches:
-            names = list(pdf.columns)
-            slots = [names.index(k) for k in keys]
-            for row in pdf.itertuples(index=False, name=None):
-                k = tuple(row[s] for s in slots)
-                if k != key and image:
-                    ready.append(done(image, names))
-                    image = []
-                key = k
-                image.append(row)
-            if ready:
-                yield pd.concat(ready)
-                ready = []
-        if image:
-            yield done(image, names)
-
-    return run
-
-
-def _propagate(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Label propagation with pointer jumping, one written table per round."""
-    a = nodes.select(*keys, F.col("run").alias("u"), "x0", "x1", F.col("y").alias("_line"))
-    b = nodes.select(*keys, F.col("run").alias("v"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), (F.col("y") - 1).alias("_line"))
-    touch = a.join(b, [*keys, "_line"]).where((F.col("x0") <= F.col("bx1") + 1) & (F.col("bx0") <= F.col("x1") + 1)).select(*keys, "u", "v")
-    edges = written(touch.union(touch.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    labels = nodes.select(*keys, F.col("run").alias("u"), F.col("run").alias("label"))
-    while True:
-        near = edges.join(labels.select(*keys, F.col("u").alias("v"), "label"), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("label").alias("_near"))
-        spread = labels.join(near, [*keys, "u"], "left").select(*keys, "u", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
-        jump = spread.select(*keys, F.col("u").alias("_new"), F.col("_new").alias("_root"))
-        step = written(spread.join(jump, [*keys, "_new"]).select(*keys, "u", F.least("_new", "_root").alias("_to"), "label"), "labels")
-        labels = step.select(*keys, "u", F.col("_to").alias("label"))
-        if step.where(F.col("_to") != F.col("label")).isEmpty():
-            return nodes.join(labels.withColumnRenamed("u", "run"), [*keys, "run"]).select(*nodes.columns, "label")
-
-
-def label_runs(runs: DataFrame, keys: tuple[str, ...] = IMAGE, max_runs: int = 200_000) -> DataFrame:
-    """Add `label`, the smallest run id of the component, to every run."""
+def roots(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """Position of the earliest run of its component for every run (runs in line order; lines of unlike images are no neighbours)."""
+    n = len(y)
+    if not n:
+        return np.zeros(0, np.int64)
+    wide = int(x1.max()) + 4
+    starts, ends = y * wide + x0 + 1, y * wide + x1 + 1
+    # of the line above: from the first run that ends at x0 - 1 or later to the last that starts at x1 + 1 or before
+    low = np.searchsorted(ends, (y - 1) * wide + x0, "left")
+    high = np.maximum(np.searchsorted(starts, (y - 1) * wide + x1 + 2, "right"), low)
+    many = high - low
+    a = np.repeat(np.arange(n), many)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    root = np.arange(n)
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+    return root
+
+
+def changes(batch: pa.RecordBatch | pa.Table, parts: list[str]) -> list[int]:
+    """Rows at which a new group of equal `parts` starts; the first row is one."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in parts if n > 1 else []:
+        a, b = batch.column(c).slice(0, n - 1), batch.column(c).slice(1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= np.asarray(other.to_pylist(), bool) if isinstance(other, pa.ChunkedArray) else other.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new).tolist()
+
+
+def _label_strips(batches: Iterator[pa.RecordBatch], parts: list[str], tile: int) -> Iterator[pa.RecordBatch]:
+    """Label runs that arrive sorted by image, strip and line. Whole strips are labelled as they come; the last one waits for its rest."""
+    waiting = None
+
+    def labelled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        y, x0, x1, run = (rows.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "run"))
+        cuts = np.array(changes(rows, parts))
+        strip = np.searchsorted(cuts, np.arange(len(y)), "right")
+        label = run[roots(strip * (tile + 2) + y % tile, x0, x1)]
+        yield from rows.append_column("label", pa.array(label, pa.int64())).to_batches()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if waiting is None else pa.concat_tables([waiting, rows]).combine_chunks()
+        cut = changes(rows, parts)[-1] if rows.num_rows else 0
+        if cut:
+            yield from labelled(rows.slice(0, cut))
+        waiting = rows.slice(cut)
+    if waiting is not None and waiting.num_rows:
+        yield from labelled(waiting)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b); the root is the smallest node of the component. Each round takes a node to the one of its
+    neighbourhood with the least hash and contracts the edges, so chains shrink by a constant factor however they are numbered."""
+    edges = written(edges.where("a <> b").distinct(), "edges")
+    labels, turn = None, 0
+    while edges.take(1):
+        rank = lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)).alias("hash"), F.col(c).alias("node"))
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("a")), F.min(rank("b")))["node"].alias("to")), "step")
+        moved = step.select("node", F.col("to").alias("root")) if labels is None else labels.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        labels = written(moved, "labels")
+        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
+        edges = written(ends.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "edges")
+        turn += 1
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    least = labels.groupBy("root").agg(F.min("node").alias("_least"))
+    return labels.join(least, "root").select("node", F.col("_least").alias("root"))
+
+
+def label_runs(runs: DataFrame, keys: tuple[str, ...] = IMAGE, tile: int = 1024) -> DataFrame:
+    """Add `label`, the smallest run id of the component, to every run. Strips of `tile` lines are labelled on their own and joined at their
+    seams, so a task holds one strip."""
+    from .bitmaps import seamed
+
     nodes = written(runs, "runs")
-    k = list(keys)
-    large = nodes.groupBy(*k).count().where(F.col("count") > max_runs).select(*k)
-    schema = T.StructType([*nodes.schema.fields, T.StructField("label", T.LongType())])
-    local = lambda df: df.repartition(*k).sortWithinPartitions(*k, "y", "x0").mapInPandas(_label_images(keys), schema)
-    if large.isEmpty():
+    schema = T.StructType([*nodes.schema.fields, T.StructField("_strip", T.LongType()), T.StructField("label", T.LongType())])
+    parts = [*keys, "_strip"]
+
+    def local(df: DataFrame) -> DataFrame:
+        cut = df.withColumn("_strip", F.floor(F.col("y") / tile))
+        return cut.repartition(*parts).sortWithinPartitions(*parts, "y", "x0").mapInArrow(partial(_label_strips, parts=parts, tile=tile), schema).drop("_strip")
+
+    tall = nodes.where(F.col("y") >= tile).select(*keys).distinct()
+    if tall.isEmpty():  # there is no seam
         return local(nodes)
-    small = local(nodes.join(large, k, "left_anti"))
-    return small.unionByName(_propagate(nodes.join(large, k, "left_semi"), keys))
+    return seamed(local(nodes), local(nodes.join(tall, list(keys), "left_semi")), keys, tile)
 
 
 def largest(labelled: DataFrame, keys: tuple[str, ...] = IMAGE, min_area: int = 10) -> DataFrame:

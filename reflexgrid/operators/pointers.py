@@ -16,11 +16,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import changes, written
 from .ordered import Layout
 
 FAN = 256
@@ -136,7 +135,7 @@ def _mark(batches: Iterator[pa.RecordBatch], parts: list[str], time: str, interv
         if not batch.num_rows:
             continue
         t = batch.column(time).cast(pa.float64()).to_numpy(zero_copy_only=False)
-        cuts = _changes(batch, parts)
+        cuts = changes(batch, parts)
         keep = []
         for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
             own = tuple(batch.column(c)[a].as_py() for c in parts)
@@ -154,20 +153,6 @@ def _mark(batches: Iterator[pa.RecordBatch], parts: list[str], time: str, interv
             yield batch.take(pa.array(np.concatenate(keep)))
 
 
-def _changes(batch: pa.RecordBatch, parts: list[str]) -> list[int]:
-    """Rows at which a new series starts; the first row is one."""
-    n = batch.num_rows
-    new = np.zeros(n, bool)
-    new[0] = True
-    for c in parts:
-        col = batch.column(c)
-        if n > 1:
-            a, b = col.slice(0, n - 1), col.slice(1)
-            other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
-            new[1:] |= other.to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new).tolist()
-
-
 def thresholds(df: DataFrame, layout: Layout, time: str, interval: float, fan: int = FAN) -> DataFrame:
     """(keys, chunk, _kept): the last kept time before each chunk of a hot series; null before the first."""
     keys, parts = list(layout.keys), _columns(layout)

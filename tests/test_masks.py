@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from reflexgrid.operators import components, masks
+from reflexgrid.operators import bitmaps, components, masks
 
 
 def shapes(spark):
@@ -30,10 +30,74 @@ def test_geometry(spark):
     assert got[6]["area"] == 12 and got[6]["cx"] == pytest.approx(5.5)  # equal sizes: the first one wins
 
 
-def test_propagation_gives_the_same_labels(spark):
+def test_strips_give_the_same_labels(spark):
     runs = components.to_runs(shapes(spark))
     key = lambda df: sorted((r["sample"], r["run"], r["label"]) for r in df.collect())
-    assert key(components.label_runs(runs)) == key(components.label_runs(runs, max_runs=0)) == key(components.label_runs(runs, max_runs=15))
+    assert key(components.label_runs(runs)) == key(components.label_runs(runs, tile=3)) == key(components.label_runs(runs, tile=16))
+
+
+def flood(image):
+    """{(y, x): first pixel of its component} and {(y, x): on the rim}, pixel by pixel."""
+    left = {(y, x) for y, line in enumerate(image) for x, v in enumerate(line) if v}
+    every, label = set(left), {}
+    while left:
+        seed = min(left)
+        group, todo = {seed}, [seed]
+        left.discard(seed)
+        while todo:
+            y, x = todo.pop()
+            for p in [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]:
+                if p in left:
+                    left.discard(p)
+                    group.add(p)
+                    todo.append(p)
+        label |= dict.fromkeys(group, seed)
+    return label, {p: not all((p[0] + a, p[1] + b) in every for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))) for p in every}
+
+
+@pytest.mark.parametrize("tile", [1024, 7, 1])
+def test_bitmaps_equal_a_flood_fill(spark, tile):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    images = [(rng.random((h, w)) < p).astype(np.uint8) for h, w, p in ((30, 41, 0.4), (30, 41, 0.62), (1, 9, 0.5), (9, 1, 0.5), (64, 41, 0.5), (5, 5, 0), (5, 5, 1))]
+    rows = [("t", n, i.shape[0], i.shape[1], i.tobytes()) for n, i in enumerate(images)] + [("t", 90, 0, 0, b""), ("t", 91, -1, -1, None)]
+    df = spark.createDataFrame(rows, "split string, sample long, height int, width int, data binary")
+    got = {n: ({}, {}) for n in range(len(images))}
+    for r in bitmaps.label_images(df, tile=tile).collect():
+        label, rim = got[r["sample"]]
+        label |= {(r["y"], x): (r["label"] // components.LINE, r["label"] % components.LINE) for x in range(r["x0"], r["x1"] + 1)}
+        rim[r["y"], r["x0"], r["x1"]] = r["rim"]
+    for n, image in enumerate(images):
+        label, rim = flood(image)
+        assert got[n][0] == label
+        assert all(k == sum(rim[y, x] for x in range(a, b + 1)) for (y, a, b), k in got[n][1].items())
+
+
+def test_camera_frame_and_striped_image(spark):
+    """A 640x480 frame of blobs, and a tall image whose stripes are tied at alternating ends: one component over all its strips."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    frame = np.zeros((480, 640), np.uint8)
+    yy, xx = np.mgrid[:480, :640]
+    for _ in range(60):
+        cy, cx, r = rng.integers(0, 480), rng.integers(0, 640), rng.integers(3, 40)
+        frame[(yy - cy) ** 2 + (xx - cx) ** 2 <= r * r] = 1
+    stripes = np.zeros((3000, 200), np.uint8)
+    stripes[::2] = 1
+    stripes[1::4, 0] = stripes[3::4, 199] = 1
+    df = spark.createDataFrame([("t", 0, 480, 640, frame.tobytes()), ("t", 1, 3000, 200, stripes.tobytes())], "split string, sample long, height int, width int, data binary")
+    out = {r["sample"]: r for r in bitmaps.geometry(bitmaps.label_images(df, tile=100)).collect()}
+    label, rim = flood(frame)
+    sizes = {}
+    for seed in label.values():
+        sizes[seed] = sizes.get(seed, 0) + 1
+    best = min(sizes, key=lambda s: (-sizes[s], s))
+    pixels = [p for p, seed in label.items() if seed == best]
+    assert out[0]["area"] == len(pixels) and out[0]["perimeter"] == sum(rim[p] for p in pixels)
+    assert out[0]["cx"] == pytest.approx(sum(x for _, x in pixels) / len(pixels)) and out[0]["bh"] == max(y for y, _ in pixels) - min(y for y, _ in pixels) + 1
+    assert (out[1]["area"], out[1]["bw"], out[1]["bh"]) == (int(stripes.sum()), 200, 3000)
 
 
 def test_brute_force_components(spark):
