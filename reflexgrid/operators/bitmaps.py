@@ -1,4 +1,5 @@
-"""Regions of binary images in one pass: each image is one row (keys, height, width, data), a byte per pixel, zero outside.
+"""Regions of binary images in one pass: each image is one row (keys, height, width, data), a byte per pixel (its
+class, or zero outside).
 
 A task reads strips of at most `tile` lines, so an image of any height is read by many tasks. All strips of a batch are worked on together:
 runs come from differences along the lines, touching runs from binary search, and labels from hooking each tree to the least tree it
@@ -34,15 +35,15 @@ def strips(images: DataFrame, keys: tuple[str, ...] = IMAGE, tile: int = TILE) -
     return rows.select(*keys, F.col("y0").cast("int").alias("y0"), lines.cast("int").alias("lines"), F.col("width").cast("int").alias("width"), top.cast("int").alias("top"), part.alias("data"))
 
 
-def labelled_strips(images: DataFrame, keys: tuple[str, ...] = IMAGE, tile: int = TILE) -> DataFrame:
+def labelled_strips(images: DataFrame, keys: tuple[str, ...] = IMAGE, tile: int = TILE, cls: int | None = None) -> DataFrame:
     """(keys, y, x0, x1, run, label, rim) of every run; labels hold within a strip."""
     parts = strips(images, keys, tile)
     kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", y int, x0 int, x1 int, run bigint, label bigint, rim int"
-    return parts.mapInArrow(partial(_label, keys=keys), schema)
+    return parts.mapInArrow(partial(_label, keys=keys, cls=cls), schema)
 
 
-def _label(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _label(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], cls: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = np.array(batch.column("lines").to_pylist(), np.int64) * np.array(batch.column("width").to_pylist(), np.int64)
         widths = np.array(batch.column("width").to_pylist(), np.int64)
@@ -53,11 +54,11 @@ def _label(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
             while end < len(order) and widths[order[end]] == widths[order[start]] and (end == start or held + sizes[order[end]] <= STACK):
                 held += sizes[order[end]]
                 end += 1
-            yield _stack(batch.take(pa.array(order[start:end])), keys)
+            yield _stack(batch.take(pa.array(order[start:end])), keys, cls)
             start = end
 
 
-def _stack(batch: pa.RecordBatch, keys: tuple[str, ...]) -> pa.RecordBatch:
+def _stack(batch: pa.RecordBatch, keys: tuple[str, ...], cls: int | None) -> pa.RecordBatch:
     """The strips of a batch, all of one width, above each other with their neighbouring lines between them."""
     y0, lines, top = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("y0", "lines", "top"))
     width = batch.column("width")[0].as_py()
@@ -67,7 +68,7 @@ def _stack(batch: pa.RecordBatch, keys: tuple[str, ...]) -> pa.RecordBatch:
     for i, data in enumerate(batch.column("data").to_pylist()):
         part = np.frombuffer(data, np.uint8).reshape(-1, width)
         at = first[i] - top[i]
-        image[at : at + len(part), 1:-1] = part != 0
+        image[at : at + len(part), 1:-1] = part != 0 if cls is None else part == cls
         own[first[i] : first[i] + lines[i]] = True
     whole = image[1:-1, 1:-1]
     inner = np.zeros_like(image)
@@ -88,13 +89,13 @@ def _stack(batch: pa.RecordBatch, keys: tuple[str, ...]) -> pa.RecordBatch:
     return pa.record_batch(columns, names=[*keys, "y", "x0", "x1", "run", "label", "rim"])
 
 
-def label_images(images: DataFrame, keys: tuple[str, ...] = IMAGE, tile: int = TILE) -> DataFrame:
-    """(keys, y, x0, x1, run, label, rim); the label is the smallest run id of the component over the whole image."""
-    rows = labelled_strips(images, keys, tile)
+def label_images(images: DataFrame, keys: tuple[str, ...] = IMAGE, tile: int = TILE, cls: int | None = None) -> DataFrame:
+    """(keys, y, x0, x1, run, label, rim) of the pixels of class `cls`, or of all that are not zero; the label is the smallest run id of the component over the whole image."""
+    rows = labelled_strips(images, keys, tile, cls)
     tall = images.where(F.col("height") > tile)
     if tall.isEmpty():  # there is no seam
         return rows
-    return seamed(rows, labelled_strips(tall, keys, tile), keys, tile)
+    return seamed(rows, labelled_strips(tall, keys, tile, cls), keys, tile)
 
 
 def seamed(rows: DataFrame, parts: DataFrame, keys: tuple[str, ...], tile: int) -> DataFrame:

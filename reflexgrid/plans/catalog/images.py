@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...config import AuditSettings
 from ...functions.numeric import half_up, settle
-from ...operators import audit, components, masks, metrics, pixels
+from ...operators import audit, bitmaps, components, image_pairs, masks, metrics, pixels
 from .. import fixtures as fx
 from .registry import add
 from .sql import cte, query, r, rquery, s
@@ -75,8 +75,8 @@ COMP = REACH + """), comp AS MATERIALIZED (SELECT split, sample, y, x, min(root)
      QUALIFY row_number() OVER (PARTITION BY split, sample ORDER BY n DESC, label) = 1"""
 
 
-def _geometry(spark, sf):
-    return masks.region_geometry(_labelled(spark, sf), 8, 8)
+def _geometry(spark, sf, zoom=(1, 1)):
+    return bitmaps.geometry(bitmaps.label_images(fx.thumb_images(spark, sf, zoom).withColumnRenamed("cls", "data"), cls=2))
 
 
 add(
@@ -88,6 +88,23 @@ add(
     ),
 )
 
+# Each cell of an 8x8 image is 60 lines by 80 columns: rim pixels are those on its open sides.
+_OPEN = lambda a, b: f"CASE WHEN EXISTS (SELECT 1 FROM comp d WHERE d.split = c.split AND d.sample = c.sample AND d.y = c.y + ({a}) AND d.x = c.x + ({b})) THEN 0 ELSE 1 END"
+add(
+    "component_geometry_640",
+    lambda spark, sf: rounded(_geometry(spark, sf, (60, 80)), ("cx", "cy", "diameter", "circularity")),
+    rquery(
+        ("pup",), "reach", REACH + """), comp AS MATERIALIZED (SELECT split, sample, y, x, min(root) AS label FROM reach GROUP BY ALL),
+           best AS MATERIALIZED (SELECT split, sample, label FROM (SELECT split, sample, label, count(*) AS n FROM comp GROUP BY ALL)
+             QUALIFY row_number() OVER (PARTITION BY split, sample ORDER BY n DESC, label) = 1""",
+        f"""SELECT split, sample, area, {s('cx', 6)} AS cx, {s('cy', 6)} AS cy, bx0, by0, bw, bh, {s('2e0 * sqrt(area / pi())', 6)} AS diameter, perimeter,
+              {s('4e0 * pi() * area / (perimeter * perimeter)::DOUBLE', 6)} AS circularity
+            FROM (SELECT split, sample, CAST(count(*) * 4800 AS BIGINT) AS area, (avg(x) + 5e-1) * 80 - 5e-1 AS cx, (avg(y) + 5e-1) * 60 - 5e-1 AS cy, CAST(min(x) * 80 AS INTEGER) AS bx0, CAST(min(y) * 60 AS INTEGER) AS by0,
+                CAST((max(x) - min(x) + 1) * 80 AS INTEGER) AS bw, CAST((max(y) - min(y) + 1) * 60 AS INTEGER) AS bh, CAST(sum(4800 - (80 - l - r) * (60 - t - b)) AS BIGINT) AS perimeter
+              FROM (SELECT c.*, {_OPEN(0, -1)} AS l, {_OPEN(0, 1)} AS r, {_OPEN(-1, 0)} AS t, {_OPEN(1, 0)} AS b FROM comp c JOIN best USING (split, sample, label)) GROUP BY split, sample)""",
+    ),
+)
+
 
 def geometry_status(spark, sf):
     g = _geometry(spark, sf)
@@ -622,11 +639,9 @@ add("leak_subjects", lambda spark, sf: audit.subject_overlap(_hashed(spark, sf))
 
 def leak_review(spark, sf):
     h, near = _near_pairs(spark, sf)
-    t = fx.thumbs(spark, sf)
-    px = t.select("split", "sample", "y", "x", "lum", fx.class_of(F.col("lum")).alias("class"))
-    joined = masks.pair_pixels(near.select(F.col("val_sample").alias("pair_a"), F.col("train_sample").alias("pair_b")), px, ["lum", "class"])
+    pairs = near.select(F.col("val_sample").alias("pair_a"), F.col("train_sample").alias("pair_b"))
     who = lambda s, split: h.where(F.col("split") == split).select(F.col("sample").alias(f"pair_{s}"), F.col("subject").alias(f"subject_{s}"))
-    m = masks.pair_metrics(joined).join(who("a", "val"), "pair_a").join(who("b", "train"), "pair_b")
+    m = image_pairs.pair_metrics(pairs, fx.thumb_images(spark, sf)).join(who("a", "val"), "pair_a").join(who("b", "train"), "pair_b")
     kind, advice = masks.leak_class(F.col("subject_a") == F.col("subject_b"), F.col("mae"), F.col("dice"))
     return m.select("pair_a", "pair_b", *[settle(F.col(c), 4).alias(c) for c in ("mae", "rmse", "max_diff", "pearson", "iou", "dice")], kind.alias("classification"), advice.alias("recommendation"))
 

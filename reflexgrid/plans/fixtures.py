@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,8 +111,8 @@ def method_b(samples: DataFrame) -> DataFrame:
     )
 
 
-def thumbs(spark: SparkSession, sf: str, exact_copies: bool = True) -> DataFrame:
-    """8x8 pixel tables from the embedding vectors, with near and exact copies in the val split."""
+def thumb_vectors(spark: SparkSession, sf: str, exact_copies: bool = True) -> DataFrame:
+    """8x8 images (split, sample, subject, v) from the embedding vectors, with near and exact copies in the val split."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("subject"), F.col("embedding").alias("v"))
     own = e.select(F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"), F.col("vec_id").alias("sample"), "subject", "v")
     flipped = F.transform("v", lambda x, i: F.when(i == F.col("vec_id") % 64, -x).otherwise(x))
@@ -120,12 +122,39 @@ def thumbs(spark: SparkSession, sf: str, exact_copies: bool = True) -> DataFrame
         rows = rows.unionByName(
             e.where(F.col("vec_id") % 25 == 6).select(F.lit("val").alias("split"), (F.col("vec_id") + 2_000_000).alias("sample"), "subject", "v")
         )
+    return rows
+
+
+def thumbs(spark: SparkSession, sf: str, exact_copies: bool = True) -> DataFrame:
+    """The 8x8 images as pixel tables."""
+    rows = thumb_vectors(spark, sf, exact_copies)
     return rows.select("split", "sample", "subject", F.posexplode("v").alias("i", "val")).select(
         "split", "sample", "subject", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"),
         F.floor(F.col("val").cast("double") * F.lit(1000.0) + F.lit(0.5)).cast("double").alias("lum"),
     )
 
 
+def thumb_images(spark: SparkSession, sf: str, zoom: tuple[int, int] = (1, 1)) -> DataFrame:
+    """The 8x8 images as binary rows (split, sample, height, width, lum, cls), each pixel's class enlarged to `zoom` (lines, columns); `lum` stays 8x8."""
+    high, wide = zoom
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 8, 8)
+                lum = np.floor(v * 1000.0 + 0.5)
+                cls = np.select([lum > 20.0, lum > -50.0, lum > -120.0], [2, 3, 1], 0).astype(np.uint8)
+                big = [i.repeat(high, 0).repeat(wide, 1).tobytes() for i in cls]
+                n = part.num_rows
+                yield pa.record_batch(
+                    [part.column("split"), part.column("sample"), pa.array([8 * high] * n, pa.int32()), pa.array([8 * wide] * n, pa.int32()), pa.array([i.tobytes() for i in lum], pa.binary()), pa.array(big, pa.binary())],
+                    names=["split", "sample", "height", "width", "lum", "cls"],
+                )
+
+    return thumb_vectors(spark, sf).select("split", "sample", "v").mapInArrow(run, "split string, sample long, height int, width int, lum binary, cls binary")
+
+
 def class_of(lum: Column, shift: float = 0.0) -> Column:
     return pick(
         [(lum > 20.0 + shift, F.lit(2)), (lum > -50.0 + shift, F.lit(3)), (lum > -120.0 + shift, F.lit(1))],
