@@ -28,8 +28,28 @@ def with_stimulus(samples: DataFrame, stimuli: DataFrame) -> DataFrame:
     )
 
 
+def within(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str) -> DataFrame:
+    """Interval join: points of `points` inside intervals of the same key, borders included.
+
+    An interval belongs to the level of its length (the power of two above it) and to the one or two buckets of that width that it
+    touches. A point looks into its own bucket of each level in use, so what meets is bounded by the matches and the intervals
+    of a like length nearby, not by all intervals of the key.
+    """
+    spans = intervals.where(F.col(end) >= F.col(start))
+    length = F.col(end) - F.col(start)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0))))).cast("int")
+    level = F.when(F.pow(F.lit(2.0), level) < length, level + 1).otherwise(level)
+    spans = spans.withColumn("_level", level).withColumn("_width", F.pow(F.lit(2.0), F.col("_level")))
+    buckets = F.sequence(F.floor(F.col(start) / F.col("_width")), F.floor(F.col(end) / F.col("_width")))
+    placed = spans.withColumn("_bucket", F.explode(buckets)).drop("_width").withColumnRenamed(key, "_key")
+    used = sorted(r["_level"] for r in spans.select("_level").distinct().collect()) or [0]  # one number per power of two
+    probes = F.array(*[F.struct(F.lit(n).alias("_level"), F.floor(F.col(time) / F.lit(2.0**n)).alias("_bucket")) for n in used])
+    asked = points.withColumn("_probe", F.explode(probes))
+    same = (F.col(key) == F.col("_key")) & (F.col("_probe._level") == F.col("_level")) & (F.col("_probe._bucket") == F.col("_bucket"))
+    return asked.join(placed, same & F.col(time).between(F.col(start), F.col(end))).drop("_probe", "_key", "_level", "_bucket")
+
+
 def during_stimulus(samples: DataFrame, stimuli: DataFrame) -> DataFrame:
     """Interval join: frames inside a stimulus interval of their session."""
-    s = stimuli.withColumnRenamed("session_id", "_sid")
-    on = (F.col("session_id") == F.col("_sid")) & F.col("frame_ts_ms").between(F.col("onset_ms"), F.col("offset_ms"))
-    return samples.join(s, on).select(*samples.columns, "onset_ms", "offset_ms")
+    spans = stimuli.select("session_id", "onset_ms", "offset_ms")
+    return within(samples, spans, "session_id", "frame_ts_ms", "onset_ms", "offset_ms").select(*samples.columns, "onset_ms", "offset_ms")

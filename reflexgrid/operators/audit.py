@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import AuditSettings
 from ..functions.numeric import half_up
-from .components import IMAGE
-from .ordered import Layout
+from .components import IMAGE, written
+from .ranks import at_ranks
 
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
@@ -203,35 +204,62 @@ def exact_leaks(hashed: DataFrame, hash_col: str = "md5", name_col: str = "sampl
     )
 
 
-def _block_keys(bits: int, distance: int) -> list[tuple[int, ...]]:
-    """Combinations of blocks of which at least one agrees on two hashes within the distance."""
-    return list(combinations(range(distance + 2), 2))
+HEAVY = 1_000_000  # pairs of a bucket beyond which it is cut again
 
 
-def near_hashes(left: DataFrame, right: DataFrame, distance: int = AuditSettings.hash_distance, bits: int = AuditSettings.hash_bits) -> DataFrame:
+def _bands(positions: list[int], distance: int) -> list[int]:
+    """Masks of the pairs of blocks of these bits, of which two hashes that differ in at most `distance` of them agree on at least one."""
+    n = distance + 2
+    blocks = [positions[len(positions) * i // n : len(positions) * (i + 1) // n] for i in range(n)]
+    return [sum(1 << p for p in blocks[i] + blocks[j]) for i, j in combinations(range(n), 2)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def near_hashes(left: DataFrame, right: DataFrame, distance: int = AuditSettings.hash_distance, bits: int = AuditSettings.hash_bits, heavy: int = HEAVY) -> DataFrame:
     """All pairs of distinct hashes within a Hamming distance, without comparing all with all.
 
     The bits are cut into `distance + 2` blocks. Two hashes within the distance agree on at least two
     blocks, so every pair meets on one of the block pairs; the first agreeing one reports it, which
     makes a later distinct unnecessary. Both sides are distinct hashes, so copies do not multiply.
-    """
-    n = distance + 2
-    edges = [bits * i // n for i in range(n + 1)]
-    masks = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(n)]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    combos = [signed(masks[i] | masks[j]) for i, j in _block_keys(bits, distance)]
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        h = F.col("dhash")
-        probes = F.array(*[F.struct(F.lit(k).alias("k"), h.bitwiseAND(F.lit(m)).alias("b")) for k, m in enumerate(combos)])
-        return df.select(h.alias(name), F.explode(probes).alias("p")).select(name, "p.k", "p.b")
 
+    A bucket of more than `heavy` pairs is cut again in the same way on the bits that it has not agreed on, and so on, like a
+    trie: each level fixes half of the bits left, until buckets are small or no bit is left.
+    """
+    spark = left.sparkSession
     xor = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
-    first = F.lit(len(combos))
-    for k in range(len(combos) - 1, -1, -1):
-        first = F.when(xor.bitwiseAND(F.lit(combos[k])) == 0, F.lit(k)).otherwise(first)
-    both = keyed(left, "left_hash").join(keyed(right, "right_hash"), ["k", "b"])
-    return both.where((F.bit_count(xor) <= distance) & (first == F.col("k"))).select("left_hash", "right_hash", F.bit_count(xor).cast("int").alias("distance"))
+    agree = F.forall("earlier", lambda e: xor.bitwiseAND(e) != 0)  # none of the block pairs before: the first one reports a pair
+    found = []
+    sides = [df.select(F.col("dhash").alias(name), F.lit("").alias("path")) for df, name in ((left, "left_hash"), (right, "right_hash"))]
+    levels = {"": (list(range(bits)), 0)}  # a path lists the block pairs taken; with it the bits left and the mask of those agreed on
+    while True:
+        rows, below = [], {}
+        for path, (free, used) in levels.items():
+            bands = _bands(free, distance)
+            for k, m in enumerate(bands):
+                rows.append((path, f"{path}{k}.", _signed(used | m), [_signed(e) for e in bands[:k]]))
+                below[f"{path}{k}."] = ([p for p in free if not m >> p & 1], used | m)
+        # six rows a path, and paths are few
+        table = F.broadcast(spark.createDataFrame(rows, "path string, next string, mask long, earlier array<long>"))
+        keyed = [df.join(table, "path").select(name, F.col("next").alias("path"), F.col(name).bitwiseAND(F.col("mask")).alias("b"), "earlier") for df, name in zip(sides, ("left_hash", "right_hash"), strict=True)]
+        keyed[1] = keyed[1].drop("earlier")
+        hot = None
+        if any(len(free) > distance + 2 for free, _ in below.values()):  # else a bucket of distinct hashes is small
+            count = [df.groupBy("path", "b").agg(F.count(F.lit(1)).alias(f"_n{i}")) for i, df in enumerate(keyed)]
+            hot = written(count[0].join(count[1], ["path", "b"]).where(F.col("_n0") * F.col("_n1") > heavy).select("path", "b"), "heavy")
+            if hot.isEmpty():
+                hot = None
+        calm = keyed if hot is None else [df.join(hot, ["path", "b"], "left_anti") for df in keyed]
+        both = calm[0].join(calm[1], ["path", "b"])
+        found.append(both.where((F.bit_count(xor) <= distance) & agree).select("left_hash", "right_hash", F.bit_count(xor).cast("int").alias("distance")))
+        if hot is None:
+            break
+        sides = [df.join(hot, ["path", "b"], "left_semi").select(name, "path") for df, name in zip(keyed, ("left_hash", "right_hash"), strict=True)]
+        levels = {r["path"]: below[r["path"]] for r in hot.select("path").distinct().collect()}  # at most as many as there are paths
+    # below the first level a pair can come by several paths
+    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_leaks(hashed: DataFrame, distance: int = AuditSettings.hash_distance, bits: int = AuditSettings.hash_bits) -> DataFrame:
@@ -284,8 +312,7 @@ def representatives(areas: DataFrame, bands: dict[str, tuple[int, int]], min_are
     """Typical samples: first of the small band, middle of the medium band, last of the large band, one at the
     border and the one with the highest pupil/iris ratio. Without a match the overall first, middle or last is used.
 
-    `areas` has sample, area, iris_area, touches. Only the middle needs a rank; it is taken from counts
-    per (area, id range), so no task sorts all samples.
+    `areas` has sample, area, iris_area, touches. Only the middle needs a rank; only the range that holds it is sorted.
     """
     a = areas.where(F.col("area") >= min_area)
     by_area = F.struct("area", "sample")
@@ -297,24 +324,13 @@ def representatives(areas: DataFrame, bands: dict[str, tuple[int, int]], min_are
         F.coalesce(F.min_by(by_area, F.when(F.col("touches") & (F.col("area") > boundary_area), F.col("sample"))), F.min(by_area)).alias("boundary"),
         F.min_by(by_area, F.struct(-ratio, F.col("sample"))).alias("unusual"),
     )
-    layout = Layout((), ("area", "sample"), "_chunk")
-    ranked = layout.prefix(
-        a.withColumn("_chunk", F.struct("area", F.floor(F.col("sample") / 100_000))), {"_pos": ("sum", F.lit(1).cast("long")), "_band": ("sum", inside("medium").cast("long"))}
-    )
-    in_band, total = a.agg(F.count_if(inside("medium"))).scalar(), a.agg(F.count(F.lit(1))).scalar()
-    middle = ranked.where(
-        F.when(in_band > 0, inside("medium") & (F.col("_band") == F.floor(in_band / 2) + 1)).otherwise(F.col("_pos") == F.floor(total / 2) + 1)
-    )
+    band = a.where(inside("medium"))
+    middle = at_ranks((a if band.isEmpty() else band).select("area", "sample"), ["area", "sample"], lambda n: [n // 2])
     rows = ends.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in ("small", "large", "boundary", "unusual")]), F.array("small", "large", "boundary", "unusual"))).alias("kind", "s"))
     return rows.select("kind", "s.sample", "s.area").unionByName(middle.select(F.lit("medium").alias("kind"), "sample", "area"))
 
 
-def evenly_spaced(df: DataFrame, id_col: str, picks: int, width: int = 100_000) -> DataFrame:
+def evenly_spaced(df: DataFrame, id_col: str, picks: int) -> DataFrame:
     """Rows at `picks` evenly spaced positions of the id order, first and last included."""
-    layout = Layout((), (id_col,), "_chunk")
-    ranked = layout.number(df.withColumn("_chunk", F.floor(F.col(id_col) / width)), "pos")
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    wanted = n.select(F.explode(F.sequence(F.lit(0), F.lit(picks - 1))).alias("k"), "n").select(
-        "k", (F.floor(F.col("k") * (F.col("n") - 1) / F.lit(float(max(1, picks - 1)))) + 1).alias("pos")
-    )
-    return ranked.join(F.broadcast(wanted), "pos").drop("_chunk")  # `wanted` has `picks` rows
+    places = lambda n: [k * (n - 1) // max(1, picks - 1) for k in range(picks)] if n else []
+    return at_ranks(df, [id_col], places)

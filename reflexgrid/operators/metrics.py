@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .components import IMAGE
 from .masks import class_geometry
-from .ordered import Layout
+from .ranks import running_total
 
 CLASSES = 4
 # Smoothing and guard terms of the losses, boost of the pupil class.
@@ -99,11 +99,10 @@ def confusion(scored: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(scored: DataFrame, chunk: Column) -> DataFrame:
-    """Area under the ROC curve from (label, score): counts per score first, then running sums by score range."""
+def roc_auc(scored: DataFrame) -> DataFrame:
+    """Area under the ROC curve from (label, score): counts per score first, then running sums over ranges of the score."""
     by_score = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    layout = Layout((), ("score",), "_chunk")
-    run = layout.prefix(by_score.withColumn("_chunk", chunk), {"_below": ("sum", F.col("neg"))})
+    run = running_total(by_score, ["score"], "neg", "_below")
     wins = F.col("pos") * (F.col("_below") - F.col("neg") + F.col("neg") / 2)
     return run.agg(F.sum(wins).alias("w"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")).select(
         "positives", "negatives", (F.col("w") / F.nullif(F.col("positives") * F.col("negatives"), F.lit(0))).alias("auc")

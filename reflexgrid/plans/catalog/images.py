@@ -822,7 +822,7 @@ add(
 )
 add(
     "roc_auc",
-    lambda spark, sf: metrics.roc_auc(_scored(spark, sf), F.floor(F.col("score") / 1000)).select("positives", "negatives", half_up(F.col("auc"), 6).alias("auc")),
+    lambda spark, sf: metrics.roc_auc(_scored(spark, sf)).select("positives", "negatives", half_up(F.col("auc"), 6).alias("auc")),
     query(
         ("scored_docs",),
         f"""SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives,

@@ -63,6 +63,29 @@ add(
 )
 
 
+def stimulus_trains(spark, sf):
+    """All frames as one session against intervals of very unlike lengths: from half an hour to 17 hours, one from every 25th event."""
+    t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("double")
+    e = fx.table(spark, sf, "events").select(F.lit(1).alias("session_id"), F.col("event_id").alias("sample_id"), t.alias("frame_ts_ms"))
+    onset = e.where(F.col("sample_id") % 25 == 0)
+    length = F.pow(F.lit(2.0), F.col("sample_id") / 25 % 6) * F.lit(1_800_000.0) + F.col("sample_id") % 7
+    trains = onset.select("session_id", F.col("sample_id").alias("train"), F.col("frame_ts_ms").alias("onset_ms"), (F.col("frame_ts_ms") + length).alias("offset_ms"))
+    met = alignment.within(e, trains, "session_id", "frame_ts_ms", "onset_ms", "offset_ms")
+    return met.groupBy("train").agg(F.count(F.lit(1)).alias("frames"), F.min("sample_id").alias("first"), F.max("sample_id").alias("last"))
+
+
+cte("clock", (), "SELECT event_id AS sample_id, CAST(epoch_us(ts) // 1000 AS DOUBLE) AS t FROM events")
+add(
+    "stimulus_trains",
+    stimulus_trains,
+    query(
+        ("clock",),
+        """SELECT i.sample_id AS train, count(*) AS frames, min(c.sample_id) AS first, max(c.sample_id) AS last FROM clock i JOIN clock c
+             ON c.t BETWEEN i.t AND i.t + (pow(2e0, i.sample_id / 25 % 6) * 1800000e0 + i.sample_id % 7) WHERE i.sample_id % 25 = 0 GROUP BY 1""",
+    ),
+)
+
+
 def _methods(spark, sf):
     rec = fx.recording(spark, sf)
     e = F.col("sample_id")
