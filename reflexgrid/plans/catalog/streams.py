@@ -257,6 +257,31 @@ add(
 )
 
 
+_PARTS = 12
+
+
+def stream_late(spark, sf):
+    """The events in twelve files, one a batch; some rows come two files late, some have values out of range. Every row with what became of it."""
+    e = fx.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    last = e.agg(F.max("event_id")).first()[0]
+    place = F.floor(F.col("event_id") * _PARTS / F.lit(last + 1)) + F.when(F.col("event_id") % 41 == 3, 2).otherwise(0)
+    folder = scratch(spark, "parts")
+    for k in range(_PARTS):  # a file stream goes by the files' times
+        e.where(F.least(place, F.lit(_PARTS - 1)) == k).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    table, _, _ = pipelines.split_rejects(source, "late", 3_600_000, F.col("value") > 99)
+    return table.select("event_id", "batch", "reason")
+
+
+add(
+    "stream_late",
+    stream_late,
+    f"""WITH p AS (SELECT event_id, ts, value, CAST(least({_PARTS - 1}, event_id * {_PARTS} // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 41 = 3 THEN 2 ELSE 0 END) AS BIGINT) AS batch FROM events),
+          b AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM p GROUP BY batch)
+        SELECT event_id, batch, CASE WHEN ts IS NULL THEN 'untimed' WHEN value > 99 THEN 'bad' WHEN epoch_ms(ts) < epoch_ms(newest) - 3600000 THEN 'late' ELSE 'accepted' END AS reason FROM p JOIN b USING (batch)""",
+)
+
+
 def stream_alerts(spark, sf):
     """Reports written as files, read as a stream and triaged on arrival."""
     path = scratch(spark, "reports")

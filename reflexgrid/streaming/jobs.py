@@ -58,10 +58,14 @@ def drain(stream: DataFrame, name: str, mode: str = "append", ending: Ending | N
     return spark.read.schema(stream.schema).parquet(out), query
 
 
-def each_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None], ending: Ending | None = None):
-    """Process everything available through `fn(batch, batch_id)`; `fn` must be safe to repeat."""
+def each_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None], ending: Ending | None = None, every: str | None = None, mode: str = "append"):
+    """Process everything available through `fn(batch, batch_id)`, which must be safe to repeat; with `every`, go on at that interval until stopped."""
     log = scratch(stream.sparkSession, f"{name}-log")
-    return _run(stream.writeStream.foreachBatch(fn).option("checkpointLocation", log), stream.sparkSession, ending)
+    writer = stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", log)
+    if every is not None:
+        with _state_store(stream.sparkSession):
+            return writer.trigger(processingTime=every).start()
+    return _run(writer, stream.sparkSession, ending)
 
 
 def _run(writer, spark: SparkSession, ending: Ending | None):

@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import LiveSettings
 from ..operators.live import ema_step
-from .ordered import in_order, timed
+from .ordered import in_order, recent_rows, timed
 
 DELAY = "10 seconds"
 FOREVER_MS = 1e13  # longer than any recording; state then ends with the stream
@@ -136,28 +135,3 @@ def finished_recordings(frames: DataFrame, length_ms: float, delay: str = DELAY)
     return rows.groupBy("session_id").applyInPandasWithState(
         fold, "session_id long, first_ms double, last_ms double, frames long", "first double, last double, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
-
-
-def recent_rows(rows: DataFrame, order: list[str], keep: int, also: list[str]) -> DataFrame:
-    """After each batch, the newest `keep` rows of the sessions it touched.
-
-    For each column in `also` the newest `keep` rows with a value are kept too. The state is that
-    short table itself.
-    """
-    names = rows.columns
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
-        known = pd.concat([*parts, *batches]).sort_values(order, ignore_index=True)
-        wanted = known.index.isin(known.index[-keep:])
-        for c in also:
-            wanted |= known.index.isin(known.index[known[c].notna()][-keep:])
-        known = known[wanted].reset_index(drop=True)
-        table = pa.Table.from_pandas(known, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        state.update((sink.getvalue().to_pybytes(),))
-        yield known[names]
-
-    return rows.groupBy("session_id").applyInPandasWithState(fold, rows.schema, "rows binary", "append", GroupStateTimeout.NoTimeout)

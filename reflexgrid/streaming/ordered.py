@@ -97,6 +97,45 @@ def in_order(frames: DataFrame, columns: dict[str, str], state: str, out: str, o
     return rows.groupBy("session_id").transformWithState(fold, f"session_id long, {out}", "append", "eventtime")
 
 
+class Recent(StatefulProcessor):
+    """The newest `keep` rows of a session, and for each column in `also` the newest `keep` rows with a value; all of them are given out
+    whenever rows arrive."""
+
+    def __init__(self, columns: list[str], schema: str, order: list[str], keep: int, also: list[str]):
+        self.columns, self.schema, self.keep = columns, schema, keep
+        self.places = [columns.index(c) for c in order]
+        self.also = [columns.index(c) for c in also]
+        self.result = Row(*columns)
+
+    def init(self, handle) -> None:
+        self.known = handle.getListState("known", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = [tuple(r) for r in self.known.get()] if self.known.exists() else []
+        known += [tuple(r[c] for c in self.columns) for r in rows]
+        known.sort(key=lambda r: tuple((r[p] is not None, r[p]) for p in self.places))
+        wanted = set(range(len(known))[-self.keep :])
+        for c in self.also:
+            wanted.update([i for i, r in enumerate(known) if r[c] is not None][-self.keep :])
+        known = [known[i] for i in sorted(wanted)]
+        self.known.put(known)
+        return iter([self.result(*r) for r in known])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def recent_rows(rows: DataFrame, order: list[str], keep: int, also: list[str]) -> DataFrame:
+    """After each batch, the newest `keep` rows of the sessions it touched, and for each column in `also` the newest `keep` rows with a value. The
+    state is that short list itself."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    ring = Recent(rows.columns, schema, order, keep, also)
+    return rows.groupBy("session_id").transformWithState(ring, rows.schema, "append", "none")
+
+
 # ---- the recording protocol
 
 

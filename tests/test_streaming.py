@@ -12,7 +12,7 @@ from reflexgrid.plans import fixtures as fx
 from reflexgrid.plans.catalog import QUERIES
 from reflexgrid.plans.catalog.streams import frames
 from reflexgrid.session import scratch
-from reflexgrid.streaming import jobs, operators
+from reflexgrid.streaming import jobs, operators, pipelines
 from reflexgrid.streaming.ordered import recording_phases
 
 
@@ -140,3 +140,28 @@ def test_recent_rows_keep_the_newest(spark, split_files):
         newest.setdefault(r["session_id"], []).append(r["sample_id"])
     seen = {(r["session_id"], r["sample_id"]) for r in got.collect()}
     assert all((s, i) in seen for s, v in newest.items() for i in sorted(v)[-5:])
+
+
+def test_upserted_table_does_not_grow(spark):
+    import os
+
+    path = scratch(spark, "upsert")
+    for number in [*range(8), 7]:
+        rows = spark.createDataFrame([(k, number) for k in range(number % 3, 10, 3)], "session_id long, v int")
+        pipelines.upsert(rows, path, number)
+    got = {r["session_id"]: r["v"] for r in pipelines.latest_statistics(spark, path).collect()}
+    assert got == {k: 6 if k % 3 == 0 else 7 if k % 3 == 1 else 5 for k in range(10)}
+    assert len([d for d in os.listdir(path.removeprefix("file:")) if d.startswith("v")]) <= 3
+
+
+def test_rejects_are_split_and_counted(spark):
+    out = scratch(spark, "in")
+    schema = "ts timestamp, v int"
+    files = [[(100, 1), (200, 99), (None, 1)], [(300, 1), (150, 1)], [(90, 1), (400, 1), (120, 99)]]
+    for rows in files:
+        spark.createDataFrame([(None if t is None else datetime.fromtimestamp(t, timezone.utc), v) for t, v in rows], schema).coalesce(1).write.mode("append").parquet(out)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(out)
+    table, counts, _ = pipelines.split_rejects(stream, "rejects", 60_000, F.col("v") > 50)
+    got = sorted((r["batch"], r["reason"], r["n"]) for r in table.groupBy("batch", "reason").agg(F.count("*").alias("n")).collect())
+    assert got == [(0, "accepted", 1), (0, "bad", 1), (0, "untimed", 1), (1, "accepted", 2), (2, "accepted", 1), (2, "bad", 1), (2, "late", 1)]
+    assert [tuple(r) for r in counts.orderBy("batch").select("batch", "rows", "late", "bad", "untimed").collect()] == [(0, 3, 0, 1, 1), (1, 2, 0, 0, 0), (2, 3, 1, 1, 0)]
