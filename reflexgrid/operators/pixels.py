@@ -275,4 +275,5 @@ def judge_region(moments: DataFrame, iris: DataFrame, thresholds: DataFrame, key
         *keys, F.when(back | odd | weak, "UNCERTAIN").otherwise("DETECTED").alias("status"), F.when(back, F.col("icx")).otherwise(F.col("cx")).alias("px_x"),
         F.when(back, F.col("icy")).otherwise(F.col("cy")).alias("px_y"), (radius * F.lit(2.0)).alias("diameter_px"),
         half_up(radius / ir * F.lit(IRIS_MM), 2).alias("diameter_mm"), F.coalesce(roundness, F.lit(0.85)).alias("circularity"),
+        *[F.when(back, radius * F.lit(2.0)).otherwise(F.col(f"{a}_axis")).alias(f"{a}_axis") for a in ("major", "minor")], F.coalesce("angle", F.lit(0.0)).alias("angle"), "contrast",
     )

@@ -329,7 +329,9 @@ add(
 
 def pupil_detect(spark, sf):
     iris, cuts, region = _region(spark, sf)
-    return rounded(pixels.judge_region(pixels.region_moments(region), iris, cuts), ("px_x", "px_y", "diameter_px", "circularity"), 4)
+    found = pixels.judge_region(pixels.region_moments(region), iris, cuts)
+    found = rounded(found, ("px_x", "px_y", "diameter_px", "circularity", "major_axis", "minor_axis", "contrast"), 4)
+    return found.withColumn("angle", half_up(F.abs(F.sin(F.col("angle") * 2)), 4))
 
 
 add(
@@ -338,7 +340,9 @@ add(
     rquery(
         ("candidates",), "grown", GROWN,
         f"""SELECT split, sample, CASE WHEN back OR odd OR weak THEN 'UNCERTAIN' ELSE 'DETECTED' END AS status, {s('CASE WHEN back THEN 35e-1 ELSE cx END', 4)} AS px_x,
-              {s('CASE WHEN back THEN 35e-1 ELSE cy END', 4)} AS px_y, {s('rad * 2e0', 4)} AS diameter_px, {r('rad / 34e-1 * 117e-1', 2)} AS diameter_mm, {s('coalesce(rnd, 85e-2)', 4)} AS circularity
+              {s('CASE WHEN back THEN 35e-1 ELSE cy END', 4)} AS px_y, {s('rad * 2e0', 4)} AS diameter_px, {r('rad / 34e-1 * 117e-1', 2)} AS diameter_mm, {s('coalesce(rnd, 85e-2)', 4)} AS circularity,
+              {s('CASE WHEN back THEN rad * 2e0 ELSE major_axis END', 4)} AS major_axis, {s('CASE WHEN back THEN rad * 2e0 ELSE minor_axis END', 4)} AS minor_axis, {s('contrast', 4)} AS contrast,
+              {r('abs(sin(coalesce(angle, 0e0) * 2))', 4)} AS angle
             FROM (SELECT *, CASE WHEN back THEN greatest(2e0, 34e-1 * 35e-2) ELSE radius END AS rad FROM (
               SELECT *, n IS NULL OR (odd AND (off > 34e-1 * 85e-2 OR ratio < 8e-2 OR ratio > 92e-2)) AS back FROM (
                 SELECT *, coalesce(off > 34e-1 * 55e-2 OR ratio NOT BETWEEN 12e-2 AND 8e-1, false) AS odd, coalesce(contrast < 2e-2 OR rnd < 25e-2, false) AS weak FROM (

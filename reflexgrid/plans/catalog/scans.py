@@ -20,8 +20,9 @@ def _binary(spark, sf):
     t = fx.thumbs(spark, sf).select("split", F.col("sample").alias("name"), "y", "x", F.floor(F.greatest(F.lit(0), F.least(F.lit(255), F.col("lum") / 2 + 128))).cast("int").alias("image"), fx.class_of(F.col("lum")).alias("segmentation"))
     hexed = lambda c: F.unhex(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("y", "x", c))), lambda p: F.lpad(F.hex(p[c]), 2, "0"))))
     both = t.groupBy(*K).agg(hexed("image").alias("image"), hexed("segmentation").alias("segmentation"))
-    rows = both.select(*K, F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.expr("stack(2, 'image', image, 'segmentation', segmentation) AS (kind, data)"))
-    extra = lambda k: rows.where(F.col("name") % 7 == k).withColumn("name", F.col("name") + (k + 1) * 10_000_000)
+    # the last octal digit of a name tells given samples (0) from added faults (1 to 6)
+    rows = both.select("split", (F.col("name") * 8).alias("name"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.expr("stack(2, 'image', image, 'segmentation', segmentation) AS (kind, data)"))
+    extra = lambda k: rows.where(F.col("name") / 8 % 7 == k).withColumn("name", F.col("name") + k + 1)
     seg = F.col("kind") == "segmentation"
     broken = extra(0).withColumn("height", F.when(~seg, -1).otherwise(F.col("height"))).withColumn("data", F.when(seg, F.col("data")))
     short = extra(1).withColumn("data", F.when(seg, F.substring("data", 1, 60)).otherwise(F.col("data")))
@@ -42,12 +43,13 @@ def _summaries(spark, sf):
     return found.where("kind = 'image'").drop("kind"), found.where("kind = 'segmentation'").drop("kind")
 
 
-GIVEN = "name < 10000000"
+GIVEN = "name % 8 = 0"
+_given = lambda df: df.where(GIVEN).withColumn("name", F.expr("name div 8"))
 cte("bytes", ("thumbs",), "SELECT split, sample AS name, y, x, CAST(floor(greatest(0, least(255, lum / 2 + 128))) AS INTEGER) AS b FROM thumbs")
 
 
 def image_hashes64(spark, sf):
-    return _summaries(spark, sf)[0].where(GIVEN).select(*K, "width", "height", "md5", "dhash")
+    return _given(_summaries(spark, sf)[0]).select(*K, "width", "height", "md5", "dhash")
 
 
 # weights of the windowed sinc for 8 -> 9 columns; sinc(0) is 1
@@ -74,7 +76,7 @@ add(
 
 def image_summaries(spark, sf):
     images, masks = _summaries(spark, sf)
-    both = images.where(GIVEN).drop("classes").join(masks.where(GIVEN).select(*K, F.array_join("classes", ",").alias("classes"), *[F.col(c).alias(f"pupil_{c}") for c in ("area", "x0", "y0", "x1", "y1")], F.col("iris_px").alias("iris_area")), K)
+    both = _given(images).drop("classes").join(_given(masks).select(*K, F.array_join("classes", ",").alias("classes"), *[F.col(c).alias(f"pupil_{c}") for c in ("area", "x0", "y0", "x1", "y1")], F.col("iris_px").alias("iris_area")), K)
     return both.select(*K, "min_lum", "max_lum", settle(F.col("mean_lum"), 6).alias("mean_lum"), settle(F.col("std_lum"), 6).alias("std_lum"), F.col("classes"), "pupil_area", "iris_area", "pupil_x0", "pupil_y0", "pupil_x1", "pupil_y1")
 
 
@@ -121,6 +123,6 @@ add(
     corrupt_files,
     query(
         ("marked",),
-        """SELECT split, kind, name + 10000000 * (name % 7 + 1) AS name FROM (SELECT DISTINCT split, name FROM marked WHERE name % 7 < 2), (VALUES ('image'), ('segmentation')) k(kind) WHERE kind = 'segmentation' AND name % 7 = 1 OR kind = 'image' AND name % 7 = 0""",
+        """SELECT split, kind, name * 8 + name % 7 + 1 AS name FROM (SELECT DISTINCT split, name FROM marked WHERE name % 7 < 2), (VALUES ('image'), ('segmentation')) k(kind) WHERE kind = 'segmentation' AND name % 7 = 1 OR kind = 'image' AND name % 7 = 0""",
     ),
 )
