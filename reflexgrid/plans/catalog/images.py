@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ...config import AuditSettings
 from ...functions.numeric import half_up, settle
-from ...operators import audit, bitmaps, components, image_pairs, masks, metrics, pixels
+from ...operators import audit, bitmaps, components, image_pairs, masks, metrics, pixels, sketches
+from ...operators.components import written
 from .. import fixtures as fx
 from .registry import add
 from .sql import cte, query, r, rquery, s
@@ -667,6 +668,30 @@ add(
 )
 
 
+_MARKS = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+
+
+def length_sketches(spark, sf):
+    """Sketches per split and day, kept as a table and merged by split: whether the estimates lie within their stated bounds of the exact figures."""
+    split = F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train")
+    docs = fx.table(spark, sf, "documents").select(split.alias("split"), (F.col("doc_id") % 30).alias("day"), F.col("doc_id").cast("string").alias("name"), "n_chars")
+    kept = written(sketches.sketched(docs, ["split", "day"], "name", "n_chars"), "sketches")
+    found = sketches.figures(sketches.merged(kept, ["split"]), ["split"], _MARKS)
+    share = lambda c: F.count_if(c) / F.count("n_chars")
+    ranks = [f(F.col("n_chars"), F.col(f"_{m}")) for m in _MARKS for f in (lambda a, b: share(a < b), lambda a, b: share(a <= b))]
+    named = [c.alias(f"{side}_{m}") for c, (m, side) in zip(ranks, [(m, side) for m in _MARKS for side in ("low", "high")], strict=True)]
+    exact = docs.join(found.select("split", *[F.col(m).alias(f"_{m}") for m in _MARKS]), "split").groupBy("split").agg(F.count_distinct("name").alias("names"), *named)
+    near = [((F.col(f"low_{m}") <= q + 0.0266) & (F.col(f"high_{m}") >= q - 0.0266)).alias(f"{m}_near") for m, q in _MARKS.items()]
+    return found.join(exact, "split").select("split", "n", (F.abs(F.col("distinct") - F.col("names")) <= F.col("names") * 0.05).alias("distinct_near"), *near)
+
+
+add(
+    "length_sketches",
+    length_sketches,
+    "SELECT CASE WHEN doc_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n, true AS distinct_near, true AS p05_near, true AS p50_near, true AS p95_near FROM documents GROUP BY 1",
+)
+
+
 def representatives(spark, sf):
     m = _masks(spark, sf).where("split = 'train'")
     touch = masks.boundary_contact(m, 2, 8, 8, min_contact=3).select(*K, "touches")
