@@ -66,8 +66,14 @@ add(
 
 
 def tracking_quality(spark, sf):
+    """All faces, and some of them again without a face, without eyes, without the left one and without the right one (last octal digit 1 to 4)."""
+    given = _parts(spark, sf)
+    every = given.withColumn("sample", F.col("sample") * 8)
+    for k, gone in enumerate((("lm", "le", "re", "li", "ri"), ("le", "re"), ("le",), ("re",)), start=1):
+        part = given.where(F.col("sample") % 5 == k).withColumn("sample", F.col("sample") * 8 + k)
+        every = every.unionByName(part.withColumns({c: F.lit(None).cast(given.schema[c].dataType) for c in gone}))
     status, text = lmk.tracking(F.col("lm"), F.col("le"), F.col("re"), F.col("li"), F.col("ri"))
-    return _parts(spark, sf).select("sample", status.alias("status"), text.alias("guidance"))
+    return every.select("sample", status.alias("status"), text.alias("guidance"))
 
 
 _g = lmk.GUIDANCE
@@ -76,8 +82,9 @@ add(
     tracking_quality,
     query(
         ("faces",),
-        f"""SELECT sample, CASE WHEN rule = 'good' THEN 'GOOD' ELSE 'DEGRADED' END AS status, CASE rule {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _g.items())} END AS guidance
-            FROM (SELECT sample, CASE WHEN li_x IS NULL OR ri_x IS NULL THEN 'iris' WHEN fx0 < 5e-2 OR fx1 > 95e-2 OR fy0 < 5e-2 OR fy1 > 95e-2 THEN 'edge' WHEN fx1 - fx0 < 18e-2 THEN 'far'
+        f"""SELECT sample, CASE rule WHEN 'good' THEN 'GOOD' WHEN 'none' THEN 'LOST' ELSE 'DEGRADED' END AS status, CASE rule {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _g.items())} END AS guidance
+            FROM (SELECT sample * 8 + k AS sample, rule FROM (SELECT sample FROM faces), (VALUES (1, 'none'), (2, 'eyes'), (3, 'left'), (4, 'right')) v(k, rule) WHERE sample % 5 = k
+                  UNION ALL SELECT sample * 8, CASE WHEN li_x IS NULL OR ri_x IS NULL THEN 'iris' WHEN fx0 < 5e-2 OR fx1 > 95e-2 OR fy0 < 5e-2 OR fy1 > 95e-2 THEN 'edge' WHEN fx1 - fx0 < 18e-2 THEN 'far'
                   WHEN fx1 - fx0 > 85e-2 THEN 'close' ELSE 'good' END AS rule FROM faces)""",
     ),
 )
