@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, texts
+from .graph import checked
 
 GAP = re.compile(r"[\W_]+")
 
@@ -173,14 +174,14 @@ def _merged(starts: list[int], k: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def groups(items: DataFrame, key: str, text: str, group_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in groups of about `group_chars` characters, one group at a time."""
-    rows = items.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+def groups(items: DataFrame, text: str, group_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct item texts with their digests in groups of about `group_chars` characters, one group at a time."""
+    rows = items.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct().withColumn("digest", F.md5("text"))
     total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // group_chars))
-    part = F.pmod(F.xxhash64("key", "text"), F.lit(parts))
+    part = F.pmod(F.xxhash64("digest"), F.lit(parts))
     for i in range(parts):
-        yield [(r["key"], r["text"]) for r in rows.where(part == i).orderBy("key", "text").collect()]
+        yield [(r["digest"], r["text"]) for r in rows.where(part == i).orderBy("digest").collect()]
 
 
 class Shared:
@@ -196,14 +197,16 @@ class Shared:
 def matches(df: DataFrame, items: DataFrame, share: float = 0.08, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", group_chars: int = 2_000_000) -> DataFrame:
     """Per document and item found in it: key, item key, start, end, distance (of the best occurrence; offsets in the given text)."""
     rows = texts(df, key, text)
-    kind, item_kind = rows.schema["key"].dataType, items.schema[item_key].dataType
-    schema = f"key {kind.simpleString()}, item {item_kind.simpleString()}, start bigint, end bigint, distance int"
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, digest string, start bigint, end bigint, distance int"
     out = None
-    for group in groups(items, item_key, item_text, group_chars):
+    for group in groups(items, item_text, group_chars):
         shared = Shared(df.sparkSession, group, share)
         part = rows.mapInArrow(functools.partial(_find, shared), schema)
         out = part if out is None else out.union(part)
-    return out.withColumnsRenamed({"key": key, "item": item_key})
+    # each text is searched once; here the items that have it come back
+    names = items.select(F.col(item_key).alias("item"), F.md5(F.col(item_text)).alias("of")).where(F.col("of").isNotNull())
+    found = out.join(checked(names), F.col("digest") == F.col("of"))
+    return found.select(F.col("key").alias(key), F.col("item").alias(item_key), "start", "end", "distance")
 
 
 def _find(shared: Shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +217,9 @@ def _find(shared: Shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             for hit in finder.find(t.as_py()):
                 keys.append(i)
                 found.append(hit)
-        items = [h[0] for h in found]
-        kind = pa.string() if any(isinstance(i, str) for i in items) else pa.int64()
         yield pa.record_batch(
-            [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(items, kind), *(pa.array([h[j] for h in found], pa.int64()) for j in (1, 2)), pa.array([h[3] for h in found], pa.int32())],
-            names=["key", "item", "start", "end", "distance"],
+            [batch.column(0).take(pa.array(keys, pa.int64())), pa.array([h[0] for h in found], pa.string()), *(pa.array([h[j] for h in found], pa.int64()) for j in (1, 2)), pa.array([h[3] for h in found], pa.int32())],
+            names=["key", "digest", "start", "end", "distance"],
         )
 
 
@@ -227,7 +228,7 @@ def clean(df: DataFrame, items: DataFrame, share: float = 0.08, text: str = "tex
     if not df.columns:
         return df
     at = df.columns.index(text)
-    for group in groups(items.withColumn("__one", F.lit(0)), "__one", item_text, group_chars):
+    for group in groups(items, item_text, group_chars):
         shared = Shared(df.sparkSession, group, share)
         df = df.mapInArrow(functools.partial(_keep, shared, at), df.schema)
     return df

@@ -159,18 +159,33 @@ def parse(page: str) -> list[Node]:
             anchors += name == "a"
             stack.append((name, stack[-1][1]))
     flush()
-    for node in nodes[1:]:  # what holds for a node holds below it
-        above = nodes[node.parent]
-        node.bad = above.bad or above.tag in BAD_TAGS or bool(above.words & BAD_WORDS) or above.hidden
-        node.main = above.main or above.tag in MAIN
     for node in reversed(nodes[1:]):
         above = nodes[node.parent]
         above.size += node.size
         above.linked += node.linked
         above.marks += node.marks
+    for i in _wrappers(nodes):
+        nodes[i].words -= BAD_WORDS
+    for node in nodes[1:]:  # what holds for a node holds below it
+        above = nodes[node.parent]
+        node.bad = above.bad or above.tag in BAD_TAGS or bool(above.words & BAD_WORDS) or above.hidden
+        node.main = above.main or above.tag in MAIN
     return nodes
 
 
+def _wrappers(nodes: list[Node]) -> set[int]:
+    """Nodes whose names say nothing of what they hold: those around the page's first main element, or, on a page without any, around
+    half of its text or more."""
+    at = next((i for i, n in enumerate(nodes) if n.tag in MAIN), None)
+    if at is None:
+        return {i for i, n in enumerate(nodes) if 2 * n.size >= nodes[0].size}
+    out = {0}
+    while at:
+        at = nodes[at].parent
+        out.add(at)
+    return out
+
+
 def _open(stack: list, names: tuple, fence: frozenset) -> int:
     """Depth of an open element of these names, up to the next fence; 0 if there is none."""
     for i in range(len(stack) - 1, 0, -1):

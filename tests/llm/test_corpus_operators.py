@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import date
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -164,6 +166,19 @@ def test_edit_matches_against_dynamic_programming():
             assert least_distance(plain(items[i][1]), f" {span} ") <= d <= least_distance(plain(items[i][1]), span)
 
 
+def test_decontamination_by_any_item_id(spark):
+    """Ids of other types, equal texts under several ids, and small groups: each text is searched once, all its ids are reported."""
+    from reflexgrid.llm.decontaminate import clean, matches
+
+    texts = ["what is the capital of the large island in the north", "name three rivers that cross the old border", None, ""]
+    docs = spark.createDataFrame([(1, "It asks: what is the capital of the large island in the north? Yes."), (2, "Nothing of it."), (3, f"a {texts[1]} b {texts[0]} c"), (4, None)], "doc_id bigint, text string")
+    for kind, ids in (("int", [1, 2, 3, 4, 5]), ("decimal(20,0)", [Decimal(i) for i in range(1, 6)]), ("date", [date(2020, 1, i) for i in range(1, 6)]), ("string", list("abcde"))):
+        items = spark.createDataFrame(list(zip(ids, [*texts, texts[0]], strict=True)), f"item_id {kind}, text string")
+        got = sorted((r["doc_id"], r["item_id"]) for r in matches(docs, items, group_chars=40).collect())
+        assert got == [(1, ids[0]), (1, ids[4]), (3, ids[0]), (3, ids[1]), (3, ids[4])]
+        assert sorted(r["doc_id"] for r in clean(docs, items, group_chars=40).collect()) == [2, 4]
+
+
 def test_decontamination_on_tables(spark):
     from reflexgrid.llm.decontaminate import clean, matches
 

@@ -69,3 +69,18 @@ def test_pages_table(spark):
     out = main_text(df, train(df)).collect()
     assert sorted((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in out) == [(0, "u", "", 0), (1, "u", "One text, long enough to be read. Yes.", 38), (1, "u", "One text, long enough to be read. Yes.", 38), (2, "", "", 0)]
     assert main_text(df.where("false"), train(df.where("false"))).count() == 0
+
+
+def test_wrapper_names_say_nothing_of_the_article():
+    from reflexgrid.llm.pages import fit
+
+    model = fit(pages()[:100])
+    body = "".join(f"<p>Paragraph {i} tells a good deal about the matter, and it goes on with several sentences. It is long enough to be read. So it goes on for a while, with commas, and ends here.</p>" for i in range(5))
+    text = " ".join(re.findall(r"<p>(.*?)</p>", body))
+    nav = '<div class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></div>'
+    remarks = '<div class="comments"><article class="comment"><p>I do not agree with this at all, says a reader.</p></article><article><p>Nor do I.</p></article></div>'
+    for name in ("has-sidebar", "comments-open", "page-header", "layout with-sidebar", ""):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+            assert model.extract(f'<html><body class="{name}">{nav}{inner}</body></html>') == text
+            assert model.extract(f'<html><body><div class="{name}"><div>{nav}{inner}</div></div></body></html>') == text
+        assert model.extract(f'<html><body class="{name}">{nav}<article>{body}</article>{remarks}</body></html>') == text
