@@ -1,22 +1,25 @@
 """Removal of repeated passages by hashing lines and parts of lines.
 
-Units. A text is cut at line breaks, and a line after each sentence end once the part has `part_words` words, so a passage gives the
-same units wherever it stands in a line. Units are normalised (case folded, one space between words) and digested to 128 bits; units
-of under `min_words` words are left alone.
+Units. A text is cut at line breaks. The units of a line are its sentences of `min_words` words or more; each shorter sentence together with as many short ones
+behind it as make `min_words` words; of sentences of more than `long_words` words the pieces between words whose hash (with the word
+before) meets a fixed condition; and the whole line, if it has several sentences. Each unit depends on its own words alone, so a passage gives the
+same units wherever it stands, but for pieces at its ends. Units overlap. They are normalised (case folded, one space between words) and digested
+to 128 bits; what has under `min_words` words is left alone.
 
 Occurrences are ranked by key, then by place. The earliest one of each digest stays in the corpus, all others are removed.
 
 All units are written once (digest, key, place, offsets, no texts). Digests are counted with partial aggregation. Digests that make up
 more than 1/2000 of all units, so at most 2,000, are joined by broadcast; the rest, of which none is large, by a shuffle.
 
-Defined results: null and empty texts have no units; repeated rows are ranked by place alone, so their units are removed but once,
-and null keys rank first. Offsets are code points of the text as given, end exclusive.
+Defined results: null and empty texts have no units; rows of equal key are one document, so a repeated row keeps what the first one keeps;
+null keys rank first. A column `kept` of the input is replaced. Offsets are code points of the text as given, end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,35 +29,55 @@ from pyspark.sql import types as T
 
 from .common import map_rows, texts, written
 
-END = re.compile(r"[.!?](?=[ \t])")
-
-
-def units(text: str, part_words: int = 8, min_words: int = 6) -> Iterator[tuple[int, int, bytes]]:
+WORD = re.compile(r"\S+")
+ENDS = ".!?"
+LONG_CUT = 8  # one of so many words of a long sentence is followed by a cut
+
+
+def parts(words: list[str], min_words: int, long_words: int) -> list[tuple[int, int]]:
+    """First and last word (exclusive) of the units of a line, from its normalised words."""
+    n = len(words)
+    ends = [i + 1 for i, w in enumerate(words) if w[-1] in ENDS or i + 1 == n]
+    sentences = list(zip([0, *ends], ends, strict=False))
+    out = []
+    for k, (a, b) in enumerate(sentences):
+        if b - a > long_words:
+            marks = [i + 1 for i in range(a + 1, b - 1) if zlib.crc32(f"{words[i - 1]} {words[i]}".encode("utf-8", "surrogatepass")) % LONG_CUT == 0]
+            out += zip([a, *marks], [*marks, b], strict=True)
+        elif b - a >= min_words:
+            out.append((a, b))
+        else:
+            for _, end in sentences[k + 1 :]:
+                if end - b >= min_words:  # a sentence that is a unit by itself
+                    break
+                b = end
+                if b - a >= min_words:
+                    out.append((a, b))
+                    break
+    return list(dict.fromkeys(out + [(0, n)] * (len(sentences) > 1)))
+
+
+def units(text: str, min_words: int = 6, long_words: int = 24) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of the units with enough words."""
     at = 0
     for line in text.split("\n"):
-        cuts, begin = [], 0
-        for m in END.finditer(line):
-            if line.count(" ", begin, m.end()) + 1 >= part_words:
-                cuts.append((begin, m.end()))
-                begin = m.end()
-        cuts.append((begin, len(line)))
-        for a, b in cuts:
-            words = line[a:b].casefold().split()
-            if len(words) >= min_words:
-                while line[a].isspace():
-                    a += 1
-                yield at + a, at + b, hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        spans = [m.span() for m in WORD.finditer(line)]
+        if len(spans) >= min_words:
+            words = [line[a:b].casefold() for a, b in spans]
+            for i, j in parts(words, min_words, long_words):
+                if j - i >= min_words:
+                    body = " ".join(words[i:j]).encode("utf-8", "surrogatepass")
+                    yield at + spans[i][0], at + spans[j - 1][1], hashlib.blake2b(body, digest_size=16).digest()
         at += len(line) + 1
 
 
-def removals(df: DataFrame, key: str = "doc_id", text: str = "text", part_words: int = 8, min_words: int = 6) -> DataFrame:
+def removals(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 6, long_words: int = 24) -> DataFrame:
     """One row per removed unit: key, unit, start, end, first_key, first_start (of the occurrence that stays)."""
 
     def each(keys: list, batch: list[str]) -> dict:
         out: dict = {"high": [], "low": [], "key": [], "unit": [], "start": [], "end": []}
         for k, t in zip(keys, batch, strict=True):
-            for n, (a, b, digest) in enumerate(units(t, part_words, min_words)):
+            for n, (a, b, digest) in enumerate(units(t, min_words, long_words)):
                 out["high"].append(int.from_bytes(digest[:8], "big", signed=True))
                 out["low"].append(int.from_bytes(digest[8:], "big", signed=True))
                 out["key"].append(k)
@@ -82,6 +105,7 @@ def removals(df: DataFrame, key: str = "doc_id", text: str = "text", part_words:
 def cleaned(df: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of `df` with the removed units cut out of the text, and `kept`, the spans (start, end) of the text as it was
     that remain, in order. The removed spans of one key meet in one row; they are bounded by its own text."""
+    df = df.drop("kept")
     spans = removed.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cut"))
     both = df.join(spans, df[key].eqNullSafe(spans["__key"]), "left").drop("__key")
     n, k, names = both.columns.index(text), both.columns.index("__cut"), [*df.columns, "kept"]

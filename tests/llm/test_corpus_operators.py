@@ -117,7 +117,29 @@ def test_repeats_against_a_loop(spark):
     for r in cleaned(df, got).collect():
         text = docs[r["doc_id"]][1]
         assert r["text"] == "".join(text[s["start"] : s["end"]] for s in r["kept"])
-        assert len(text) - len(r["text"]) == sum(e - s for k, s, e, *_ in want if k == r["doc_id"])
+        assert len(text) - len(r["text"]) == len({i for k, s, e, *_ in want if k == r["doc_id"] for i in range(s, e)})  # lines and their parts overlap
+
+
+@pytest.mark.parametrize("sentence", [5, 9, 60, 30])
+def test_passages_are_found_under_other_lead_ins(spark, sentence):
+    """60 words in sentences of any length, alone and inside lines that start and end otherwise."""
+    from reflexgrid.llm.repeats import removals
+
+    rng = random.Random(sentence)
+    docs, spans = [], {}
+    for n in range(30):
+        body = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        passage = " ".join(w + "." * ((i + 1) % sentence == 0) for i, w in enumerate(body))
+        for k, (lead, rest) in enumerate((("", ""), ("Lead in of four. ", " and so on"), (words(rng, 9) + " ", " " + words(rng, 14)), (words(rng, 3) + ". ", ""))):
+            spans[len(docs)] = (len(lead), len(lead) + len(passage)) if k else None
+            docs.append((len(docs), lead + passage + rest))
+    gone = defaultdict(set)
+    for r in removals(spark.createDataFrame(docs, "doc_id bigint, text string")).collect():
+        gone[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    shares = [len(gone[d] & set(range(*s))) / (s[1] - s[0]) for d, s in spans.items() if s]
+    assert min(shares) > 0.2 and sum(shares) / len(shares) > 0.6 and not any(gone[d] for d, s in spans.items() if not s)
+    # what surrounds the passages is not theirs: at most the unit at each end reaches over
+    assert all(len(gone[d] - set(range(*s))) == 0 for d, s in spans.items() if s)
 
 
 def test_repeats_on_awkward_rows(spark):
@@ -130,6 +152,8 @@ def test_repeats_on_awkward_rows(spark):
     assert out.columns == [*df.columns, "kept"] and out.count() == len(ROWS)
     assert out.where("doc_id = 3").first()["text"] is None and out.where("doc_id = 1").first()["text"] == ROWS[0][1]
     assert removals(nothing(spark)).count() == 0 and cleaned(nothing(spark), removals(nothing(spark))).count() == 0
+    clash = df.selectExpr("*", "'x' as kept")
+    assert cleaned(clash, removals(clash)).columns == [*df.columns, "kept"]
 
 
 # ---- decontamination
