@@ -4,8 +4,9 @@
    vectors of a label are one node with a weight.
 2. The nodes of a label are dealt into shards of about `shard` nodes by a hash. A task builds the graph of one shard.
 3. Every shard's nodes query every shard of their label (each pair of shards once). A query walks down the layers, widens to a beam, and goes
-   on from every node found within reach. An audit compares the links of some nodes with brute force over the shard; while its
-   recall is under `recall`, the beam doubles and the queries run again (a beam as wide as the shard finds everything).
+   on from every node found within reach. An audit measures two recalls by brute force: of the nearest neighbours of some of the graph's nodes, which
+   always exist, and of the links of as many queries as hold `audit` links, if need be all. While one is under `recall`, the beam
+   doubles (a beam as wide as the shard finds everything).
 4. What is found is verified by cosine in double precision. A cell of two shards keeps its links as a bit matrix and gives, for each node,
    the number of links and the smallest node it is connected with; the components of these are joined over all cells.
 
@@ -146,21 +147,49 @@ class Graph:
 SLACK = 1e-5  # single precision finds candidates, double precision decides
 
 
-def matrix(graph: Graph, base: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int) -> tuple[np.ndarray, float, int]:
-    """Links of each query to the graph's nodes as rows of bits; the audited recall and the beam that reached it."""
-    beam, n = 16, len(base)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    truth = queries[sample] @ base.T >= least
+def true_links(base: np.ndarray, queries: np.ndarray, rows: np.ndarray, least: float, same: bool) -> list[tuple[int, np.ndarray]]:
+    """(query, its links by brute force) of these queries; a node is no link of its own."""
+    out = []
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        for i, near in zip(part, queries[part] @ base.T >= least, strict=True):
+            if same:
+                near[i] = False
+            if near.any():
+                out.append((int(i), np.flatnonzero(near)))
+    return out
+
+
+def audited(graph: Graph, base: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int, same: bool) -> tuple[float, int, int]:
+    """(recall reached, beam, links it was measured on). The beam doubles until two recalls hold: that of the nearest neighbours of some
+    of the graph's own nodes, which always exist, and that of the links of some queries; as many queries are taken as hold `audit` links, if need be all."""
+    n, beam = len(base), 16
+    own = np.unique(np.linspace(0, n - 1, min(audit, n)).astype(int)) if n > 1 else np.zeros(0, int)
+    close = base[own] @ base.T
+    close[np.arange(len(own)), own] = -2.0
+    nearest = close.argmax(axis=1) if len(own) else own
+    level = close[np.arange(len(own)), nearest]
+    size = audit
     while True:
-        hit = 0
-        for s, want in zip(sample, truth, strict=True):
-            got = graph.within(queries[s], least - SLACK, beam)
-            hit += int(want[got].sum())
-        reached = hit / truth.sum() if truth.any() else 1.0
-        if reached >= recall or beam >= n:
+        rows = np.unique(np.linspace(0, len(queries) - 1, min(size, len(queries))).astype(int))
+        truth = true_links(base, queries, rows, least, same)
+        total = sum(len(t) for _, t in truth)
+        if total >= audit or size >= len(queries):
             break
+        size *= 4
+    while True:
+        found = sum(int(j in graph.within(base[i], float(v) - SLACK, beam)) for i, j, v in zip(own, nearest, level, strict=True))
+        hit = sum(int(np.isin(t, graph.within(queries[i], least - SLACK, beam)).sum()) for i, t in truth)
+        reached = min(found / len(own) if len(own) else 1.0, hit / total if total else 1.0)
+        if reached >= recall or beam >= n:
+            return reached, beam, total
         beam *= 2
-    bits = np.zeros((len(queries), n), bool)
+
+
+def matrix(graph: Graph, base: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int, same: bool = False) -> tuple[np.ndarray, float, int]:
+    """Links of each query to the graph's nodes as rows of bits; the audited recall and the beam that reached it."""
+    reached, beam, _ = audited(graph, base, queries, least, recall, audit, same)
+    bits = np.zeros((len(queries), len(base)), bool)
     for i, q in enumerate(queries):
         got = graph.within(q, least - SLACK, beam)
         bits[i, got[base[got] @ q >= least]] = True
@@ -169,18 +198,33 @@ def matrix(graph: Graph, base: np.ndarray, queries: np.ndarray, least: float, re
 
 def cell(ids: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np.ndarray], weights: tuple[np.ndarray, np.ndarray], same: bool, least: float, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, links, smallest id connected within the cell) of the nodes of a pair of shards, or of one shard with itself."""
-    bits, _, _ = matrix(Graph(vectors[0]), vectors[0], vectors[1], least, recall, audit)
+    bits, _, _ = matrix(Graph(vectors[0]), vectors[0], vectors[1], least, recall, audit, same)
     if same:
         bits |= bits.T
         np.fill_diagonal(bits, False)
         links = bits.astype(np.float32) @ weights[0].astype(np.float32) if weights[0].max() == 1 else np.array([weights[0][b].sum() for b in bits])
         return ids[0], links.astype(np.int64), _labels(bits, ids[0])
-    n = len(ids[0])
     links = np.r_[np.array([weights[1][c].sum() for c in bits.T]), np.array([weights[0][b].sum() for b in bits])]
-    both = np.zeros((n + len(ids[1]), n + len(ids[1])), bool)
-    both[n:, :n], both[:n, n:] = bits, bits.T
-    every = np.r_[ids[0], ids[1]]
-    return every, links.astype(np.int64), _labels(both, every)
+    return np.r_[ids[0], ids[1]], links.astype(np.int64), _labels_of_two(bits, ids[0], ids[1])
+
+
+def _labels_of_two(bits: np.ndarray, base: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The smallest id of each node's component, base nodes first, from the links (queries x base) between two shards."""
+    n = len(base)
+    every = np.r_[base, queries]
+    out = np.full(len(every), -1, np.int64)
+    for i in np.argsort(every, kind="stable"):
+        if out[i] >= 0:
+            continue
+        out[i] = i
+        front, on_base = np.array([i if i < n else i - n]), i < n
+        while len(front):
+            near = np.flatnonzero(bits[:, front].any(axis=1) if on_base else bits[front].any(axis=0))
+            at = near + n if on_base else near
+            fresh = out[at] < 0
+            out[at[fresh]] = i
+            front, on_base = near[fresh], not on_base
+    return every[out]
 
 
 def _labels(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
