@@ -625,9 +625,14 @@ add(
 )
 
 
-def _near_pairs(spark, sf):
+def _hashed_leaks(spark, sf):
     h = _hashed(spark, sf)
-    return h, audit.expand_pairs(audit.near_leaks(h, bits=SMALL.hash_bits), h)
+    return h, audit.near_leaks(h, bits=SMALL.hash_bits)
+
+
+def _near_pairs(spark, sf):
+    h, leaks = _hashed_leaks(spark, sf)
+    return h, audit.expand_pairs(leaks, h)
 
 
 cte(

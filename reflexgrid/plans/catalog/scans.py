@@ -95,9 +95,13 @@ add(
 )
 
 
+def split_counts(spark, sf):
+    return scanned.split_summary(scanned.validity(*_summaries(spark, sf), SMALL))
+
+
 def audit_from_images(spark, sf):
     """Pairs, valid ones and failures per split; one seventh of the samples occurs again with each kind of fault."""
-    return scanned.split_summary(scanned.validity(*_summaries(spark, sf), SMALL))
+    return split_counts(spark, sf)
 
 
 add(

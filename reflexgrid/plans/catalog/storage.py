@@ -10,8 +10,9 @@ from ...session import scratch
 from ...streaming import jobs
 from ...sources import exports, stores
 from .. import fixtures as fx
-from .images import SMALL, _areas, _masks, _raw_masks
-from .registry import add
+from . import scans
+from .images import SMALL, _areas, _hashed_leaks, _masks, _near_pairs, _raw_masks
+from .registry import ORACLES, add
 from .sql import cte, query, r, s
 from .triage import assessed
 
@@ -254,6 +255,61 @@ def audit_json(spark, sf):
 add("audit_json", audit_json, query(("masks",), f"SELECT split, class, pixels, {r('pixels / t * 100e0', 4)} AS percent FROM (SELECT split, class, count(*) AS pixels FROM masks GROUP BY ALL) JOIN (SELECT split, count(*) AS t FROM masks GROUP BY ALL) USING (split)"))
 
 
+def audit_report(spark, sf):
+    """The whole audit written as JSON and read back."""
+    path = scratch(spark, "audit-report")
+    _, leaks = _hashed_leaks(spark, sf)
+    exports.audit_report(scans.split_counts(spark, sf), audit.class_counts(_masks(spark, sf), ("split",)), _areas(spark, sf), leaks, path)
+    doc = spark.read.schema(exports.REPORT).json(path)
+    cell = F.explode("class_distribution").alias("c")
+    size = [settle(F.col(f"pupil_area.{c}"), 4).alias(c) for c in ("min_px", "max_px", "mean_px", "median_px", "p5", "p95")]
+    return doc.select("split", "pairs.*", cell, F.col("pupil_area.samples").alias("samples"), *size, "leakage_pairs", "status").select("*", "c.class", "c.pixels", "c.percent").drop("c")
+
+
+add(
+    "audit_report",
+    audit_report,
+    query(
+        ("masks", "areas", "hashed", "marked"),
+        f"""SELECT split, original, clean, corrupted, invalid_masks, samples, min_px, max_px, mean_px, median_px, p5, p95, leakage_pairs, CASE WHEN clean > 0 AND corrupted = 0 THEN 'READY FOR PREPROCESSING' ELSE 'NOT READY' END AS status, class, pixels, percent
+            FROM (SELECT split, class, pixels, {r('pixels / t * 100e0', 4)} AS percent FROM (SELECT split, class, count(*) AS pixels FROM masks GROUP BY ALL) JOIN (SELECT split, count(*) AS t FROM masks GROUP BY ALL) USING (split))
+            JOIN (SELECT split, count(*) AS samples, {s('min(area)::DOUBLE', 4)} AS min_px, {s('max(area)::DOUBLE', 4)} AS max_px, {s('avg(area)', 4)} AS mean_px, {s('median(area)', 4)} AS median_px, {s('quantile_cont(area, 5e-2)', 4)} AS p5,
+                    {s('quantile_cont(area, 95e-2)', 4)} AS p95 FROM areas GROUP BY split) USING (split)
+            JOIN (SELECT split, count(*) + sum((name % 7 < 6)::INT)::BIGINT AS original, count(*) AS clean, count(*) FILTER (name % 7 IN (0, 1)) AS corrupted, count(*) FILTER (name % 7 IN (2, 3)) + count(*) FILTER (name % 7 = 3) + count(*) FILTER (name % 7 = 5) AS invalid_masks
+                    FROM (SELECT DISTINCT split, name FROM marked) GROUP BY split) USING (split),
+              (SELECT count(*) AS leakage_pairs FROM hashed v, hashed t WHERE v.split = 'val' AND t.split = 'train' AND v.md5 <> t.md5 AND bit_count(xor(v.dhash, t.dhash)) <= 2)""",
+    ),
+)
+add(
+    "leak_rows",
+    lambda spark, sf: exports.leak_rows(_near_pairs(spark, sf)[1]),
+    query(
+        ("near_pairs",),
+        """SELECT val_sample, train_sample, printf('| `%s` | `%s` | `%s` | %.1f%% (Hamming=%d) |', val_sample::VARCHAR, train_sample::VARCHAR, CASE distance WHEN 0 THEN 'PERCEPTUAL_EXACT' ELSE 'PERCEPTUAL_NEAR' END, similarity * 100, distance) AS line FROM near_pairs""",
+    ),
+)
+add(
+    "percentile_rows",
+    lambda spark, sf: exports.percentile_rows(audit.area_percentiles(_areas(spark, sf), ["split"]), ["p5", "p50", "p95"]),
+    query(
+        ("areas",),
+        """SELECT split, 'P' || p AS name, printf('| **%s** | %s | %.2f px |', 'P' || p, split, v) AS line FROM (
+             SELECT split, unnest([5, 50, 95]) AS p, unnest([quantile_cont(area, 5e-2), quantile_cont(area, 5e-1), quantile_cont(area, 95e-2)]) AS v FROM areas GROUP BY split)""",
+    ),
+)
+
+
+def feature_csv(spark, sf):
+    """The feature vectors written as CSV and read back."""
+    path = scratch(spark, "features")
+    rows = feature_vector(spark, sf)
+    exports.write_csv(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True)
+
+
+add("feature_csv", feature_csv, ORACLES["feature_vector"])
+
+
 def csv_round_trip(spark, sf):
     """Session rows written as CSV and read back with the fixed schema."""
     path = scratch(spark, "csv")

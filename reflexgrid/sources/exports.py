@@ -59,6 +59,44 @@ def audit_json(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
 
+# Verdicts and match types of the audit report.
+READY, NOT_READY = "READY FOR PREPROCESSING", "NOT READY"
+EXACT, NEAR = "PERCEPTUAL_EXACT", "PERCEPTUAL_NEAR"
+REPORT = "split string, pairs struct<original:long,clean:long,corrupted:long,invalid_masks:long>, class_distribution array<struct<class:int,pixels:long,percent:double>>, pupil_area struct<samples:long,min_px:double,max_px:double,mean_px:double,median_px:double,p5:double,p95:double>, leakage_pairs long, status string"
+
+
+def audit_report(summary: DataFrame, classes: DataFrame, areas: DataFrame, leaks: DataFrame, path: str) -> None:
+    """The audit as JSON, one document per split: counts of pairs, class distribution, pupil areas, leakage and the verdict. Lists that grow with the
+    data (leaking pairs, flagged samples) are tables of their own, see `leak_rows`."""
+    counts = F.struct(F.col("pairs").alias("original"), F.col("valid").alias("clean"), "corrupted", (F.col("bad_mask_size") + F.col("bad_channels") + F.col("bad_values")).alias("invalid_masks"))
+    shares = classes.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("class", "pixels", "percent"))).alias("class_distribution"))  # a few classes
+    sizes = areas.groupBy("split").agg(
+        F.struct(
+            F.count(F.lit(1)).alias("samples"), F.min("area").cast("double").alias("min_px"), F.max("area").cast("double").alias("max_px"), F.avg("area").alias("mean_px"),
+            F.percentile("area", 0.5).alias("median_px"), F.percentile("area", 0.05).alias("p5"), F.percentile("area", 0.95).alias("p95"),
+        ).alias("pupil_area")
+    )
+    total = leaks.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("leakage_pairs"))
+    # one line per split, and one number
+    rows = summary.select("split", counts.alias("pairs")).join(shares, "split", "left").join(sizes, "split", "left").crossJoin(F.broadcast(total))
+    ready = (F.col("pairs.clean") > 0) & (F.col("pairs.corrupted") == 0)
+    rows.withColumn("status", F.when(ready, READY).otherwise(NOT_READY)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def leak_rows(pairs: DataFrame) -> DataFrame:
+    """A markdown row per leaking pair (val_sample, train_sample, distance, similarity)."""
+    kind = F.when(F.col("distance") == 0, EXACT).otherwise(NEAR)
+    line = F.format_string("| `%s` | `%s` | `%s` | %.1f%% (Hamming=%d) |", F.col("val_sample").cast("string"), F.col("train_sample").cast("string"), kind, F.col("similarity") * 100, "distance")
+    return pairs.select("val_sample", "train_sample", line.alias("line"))
+
+
+def percentile_rows(percentiles: DataFrame, columns: list[str]) -> DataFrame:
+    """A markdown row per split and percentile."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c.upper()).alias("name"), F.col(c).alias("value")) for c in columns])).alias("p")
+    rows = percentiles.select("split", pairs)
+    return rows.select("split", F.col("p.name").alias("name"), F.format_string("| **%s** | %s | %.2f px |", "p.name", "split", "p.value").alias("line"))
+
+
 def read_session_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SESSION_CSV).csv(path, header=True)
 
