@@ -12,9 +12,9 @@ sys.path.insert(0, ROOT)
 
 HEADLINE = [
     "plr_kinetics", "velocity", "session_summary", "report_notes", "triage_urgency", "triage_cube", "waveform_align", "asof_latest_b",
-    "agreement_stats", "stability_window", "rolling_stats60", "throttle100", "ema_stabilised", "component_geometry", "region_grow",
+    "agreement_stats", "stability_window", "rolling_stats60", "throttle100", "throttle_hot", "ema_stabilised", "component_geometry", "component_geometry_640", "region_grow",
     "resize_bilinear", "blur3x3", "dhash", "leak_perceptual", "leak_review", "area_percentiles", "softmax_ce_dice", "exact_duplicates",
-    "landmark_eyes", "stream_fps", "stream_ema", "image_hashes64", "audit_from_images", "delete_then_reinsert",
+    "landmark_eyes", "stimulus_trains", "stream_fps", "stream_ema", "stream_phases", "image_hashes64", "audit_from_images", "delete_then_reinsert",
 ]
 
 
