@@ -149,6 +149,18 @@ def mask_flags(geometry: DataFrame, iris: DataFrame, pixels: DataFrame, cfg: Aud
     return rows.withColumn("flags", F.array_compact(flags))
 
 
+def pair_counts(images: DataFrame, masks: DataFrame, by: str = "split") -> DataFrame:
+    """Numbers of images and masks per split, and whether they are equal."""
+    each = images.select(by, F.lit(1).alias("i"), F.lit(0).alias("m")).unionByName(masks.select(by, F.lit(0).alias("i"), F.lit(1).alias("m")))
+    return each.groupBy(by).agg(F.sum("i").alias("images"), F.sum("m").alias("masks")).withColumn("equal", F.col("images") == F.col("masks"))
+
+
+def require_pairs(images: DataFrame, masks: DataFrame, by: str = "split") -> DataFrame:
+    """The counts; the job fails at a split whose images and masks differ in number."""
+    text = F.concat(F.lit("unequal pairs in "), F.col(by).cast("string"), F.lit(": "), F.col("images").cast("string"), F.lit(" and "), F.col("masks").cast("string"))
+    return pair_counts(images, masks, by).where(F.assert_true("equal", text).isNull())
+
+
 def review_list(image_flags: DataFrame, mask_flags_: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Flagged images and masks as one list."""
     part = lambda df, t: df.where(F.size("flags") > 0).select(*keys, F.lit(t).alias("type"), F.array_join("flags", "; ").alias("flags"))

@@ -368,6 +368,14 @@ _file = "CASE WHEN doc_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, lpad(CAS
 cte("image_files", (), f"SELECT {_file}, n_chars FROM documents")
 cte("mask_files", (), f"SELECT {_file}, quality FROM labels UNION ALL SELECT split, 'x' || name, quality FROM (SELECT {_file}, quality, doc_id FROM labels) WHERE doc_id % 11 = 0")
 add("pairing", lambda spark, sf: audit.pair_files(*_files(spark, sf)), query(("image_files", "mask_files"), "SELECT split, name, n_chars, quality FROM image_files JOIN mask_files USING (split, name)"))
+add(
+    "pair_counts",
+    lambda spark, sf: audit.pair_counts(*_files(spark, sf)),
+    query(
+        ("image_files", "mask_files"),
+        """SELECT split, images, masks, images = masks AS equal FROM (SELECT split, count(*) AS images FROM image_files GROUP BY 1) JOIN (SELECT split, count(*) AS masks FROM mask_files GROUP BY 1) USING (split)""",
+    ),
+)
 add("missing_masks", lambda spark, sf: audit.missing_masks(*_files(spark, sf)).select("split", "name"), query(("image_files", "mask_files"), "SELECT split, name FROM image_files EXCEPT SELECT split, name FROM mask_files"))
 add("orphan_masks", lambda spark, sf: audit.orphan_masks(*_files(spark, sf)).select("split", "name"), query(("image_files", "mask_files"), "SELECT split, name FROM mask_files EXCEPT SELECT split, name FROM image_files"))
 add(

@@ -81,3 +81,10 @@ def test_auc_over_ranges(spark):
     wins = sum((a > b) + (a == b) / 2 for x, a in rows if x for y, b in rows if not y)
     pos = sum(x for x, _ in rows)
     assert metrics.roc_auc(spark.createDataFrame(rows, "label int, score double")).first()["auc"] == pytest.approx(wins / (pos * (len(rows) - pos)))
+
+
+def test_unequal_pairs_end_the_job(spark):
+    rows = lambda n: spark.createDataFrame([("train", i) for i in range(n)] + [("val", 0)], "split string, name int")
+    assert {r["split"]: r["images"] for r in audit.require_pairs(rows(3), rows(3)).collect()} == {"train": 3, "val": 1}
+    with pytest.raises(Exception, match="unequal pairs in train: 3 and 4"):
+        audit.require_pairs(rows(3), rows(4)).collect()
