@@ -4,8 +4,8 @@
    vectors of a label are one node with a weight.
 2. The nodes of a label are dealt into shards of about `shard` nodes by a hash. A task builds the graph of one shard.
 3. Every shard's nodes query every shard of their label (each pair of shards once). A query walks down the layers, widens to a beam, and goes
-   on from every node found within reach. An audit measures two recalls by brute force: of the nearest neighbours of some of the graph's nodes, which
-   always exist, and of the links of as many queries as hold `audit` links, if need be all. While one is under `recall`, the beam
+   on from every node found within reach. An audit measures two recalls: of planted links to some of the graph's nodes, which
+   always exist, and, by brute force, of the links of as many queries as hold `audit` links, if need be all. While one is under `recall`, the beam
    doubles (a beam as wide as the shard finds everything).
 4. What is found is verified by cosine in double precision. A cell of two shards keeps its links as a bit matrix and gives, for each node,
    the number of links and the smallest node it is connected with; the components of these are joined over all cells.
@@ -161,14 +161,15 @@ def true_links(base: np.ndarray, queries: np.ndarray, rows: np.ndarray, least: f
 
 
 def audited(graph: Graph, base: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int, same: bool) -> tuple[float, int, int]:
-    """(recall reached, beam, links it was measured on). The beam doubles until two recalls hold: that of the nearest neighbours of some
-    of the graph's own nodes, which always exist, and that of the links of some queries; as many queries are taken as hold `audit` links, if need be all."""
+    """(recall reached, beam, links it was measured on). The beam doubles until two recalls hold: that of planted links (queries at exactly `least`
+    from some of the graph's own nodes), which always exist, and that of the links of some queries; as many queries are taken as hold `audit`
+    links, if need be all."""
     n, beam = len(base), 16
-    own = np.unique(np.linspace(0, n - 1, min(audit, n)).astype(int)) if n > 1 else np.zeros(0, int)
-    close = base[own] @ base.T
-    close[np.arange(len(own)), own] = -2.0
-    nearest = close.argmax(axis=1) if len(own) else own
-    level = close[np.arange(len(own)), nearest]
+    own = np.unique(np.linspace(0, n - 1, min(audit, n)).astype(int))
+    aside = np.random.default_rng(23).normal(size=(len(own), base.shape[1]))
+    aside -= (aside * base[own]).sum(axis=1, keepdims=True) * base[own]
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    planted = least * base[own] + np.sqrt(1 - least * least) * aside / np.where(length > 1e-9, length, 1.0)
     size = audit
     while True:
         rows = np.unique(np.linspace(0, len(queries) - 1, min(size, len(queries))).astype(int))
@@ -178,9 +179,9 @@ def audited(graph: Graph, base: np.ndarray, queries: np.ndarray, least: float, r
             break
         size *= 4
     while True:
-        found = sum(int(j in graph.within(base[i], float(v) - SLACK, beam)) for i, j, v in zip(own, nearest, level, strict=True))
+        found = sum(int(i in graph.within(q, least - SLACK, beam)) for i, q in zip(own, planted, strict=True))
         hit = sum(int(np.isin(t, graph.within(queries[i], least - SLACK, beam)).sum()) for i, t in truth)
-        reached = min(found / len(own) if len(own) else 1.0, hit / total if total else 1.0)
+        reached = min(found / len(own), hit / total if total else 1.0)
         if reached >= recall or beam >= n:
             return reached, beam, total
         beam *= 2

@@ -472,7 +472,7 @@ def test_stages_on_awkward_rows(spark, sf):
 
 
 def test_links_between_shards_are_measured():
-    """Two shards with 40 planted links among 3,000 nodes each: the audit rests on them, and all are found; without links it rests on neighbours."""
+    """Two shards with 40 planted links among 3,000 nodes each: the audit rests on them, and all are found; without links it rests on planted ones."""
     from reflexgrid.llm.near_vectors import Graph, audited, cell
 
     rng = np.random.default_rng(9)
