@@ -240,7 +240,6 @@ def near_hashes(left: DataFrame, right: DataFrame, distance: int = AuditSettings
     A bucket of more than `heavy` pairs is cut again in the same way on the bits that it has not agreed on, and so on, like a
     trie: each level fixes half of the bits left, until buckets are small or no bit is left.
     """
-    spark = left.sparkSession
     xor = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
     agree = F.forall("earlier", lambda e: xor.bitwiseAND(e) != 0)  # none of the block pairs before: the first one reports a pair
     found = []
@@ -253,9 +252,18 @@ def near_hashes(left: DataFrame, right: DataFrame, distance: int = AuditSettings
             for k, m in enumerate(bands):
                 rows.append((path, f"{path}{k}.", _signed(used | m), [_signed(e) for e in bands[:k]]))
                 below[f"{path}{k}."] = ([p for p in free if not m >> p & 1], used | m)
-        # six rows a path, and paths are few
-        table = F.broadcast(spark.createDataFrame(rows, "path string, next string, mask long, earlier array<long>"))
-        keyed = [df.join(table, "path").select(name, F.col("next").alias("path"), F.col(name).bitwiseAND(F.col("mask")).alias("b"), "earlier") for df, name in zip(sides, ("left_hash", "right_hash"), strict=True)]
+        # six probes a path, and paths are few
+        by_path: dict[str, list] = {}
+        for path, further, mask, earlier in rows:
+            probe = F.struct(F.lit(further).alias("next"), F.lit(mask).alias("mask"), F.array(*[F.lit(e) for e in earlier]).cast("array<long>").alias("earlier"))
+            by_path.setdefault(path, []).append(probe)
+        choice = F.create_map(*[c for path, probes in by_path.items() for c in (F.lit(path), F.array(*probes))])
+
+        def probed(df: DataFrame, name: str, choice=choice) -> DataFrame:
+            each = df.select(name, F.explode(F.element_at(choice, F.col("path"))).alias("_p"))
+            return each.select(name, F.col("_p.next").alias("path"), F.col(name).bitwiseAND(F.col("_p.mask")).alias("b"), F.col("_p.earlier").alias("earlier"))
+
+        keyed = [probed(df, name) for df, name in zip(sides, ("left_hash", "right_hash"), strict=True)]
         keyed[1] = keyed[1].drop("earlier")
         hot = None
         if any(len(free) > distance + 2 for free, _ in below.values()):  # else a bucket of distinct hashes is small
