@@ -469,27 +469,3 @@ def test_stages_on_awkward_rows(spark, sf):
             out.count()
             if stage is not corpus_pipeline.STAGES[-1][1]:
                 assert out.columns == docs.columns and {r[0] for r in out.select("doc_id").collect()} <= {r[0] for r in ROWS}
-
-
-def test_links_between_shards_are_measured():
-    """Two shards with 40 planted links among 3,000 nodes each: the audit rests on them, and all are found; without links it rests on planted ones."""
-    from reflexgrid.llm.near_vectors import Graph, audited, cell
-
-    rng = np.random.default_rng(9)
-    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
-    a, b = unit(rng.normal(size=(3000, 16))), unit(rng.normal(size=(3000, 16)))
-    at = rng.choice(3000, 40, replace=False)
-    b[at] = unit(a[at] + rng.normal(size=(40, 16)) * 0.01)
-    graph = Graph(a)
-    reached, beam, total = audited(graph, a, b, 0.98, 0.998, 128, False)
-    assert total == (a @ b.T >= 0.98).sum() >= 40 and reached >= 0.998
-    far = unit(rng.normal(size=(50, 16)))
-    assert (a @ far.T < 0.98).all()
-    reached, beam, total = audited(graph, a, far, 0.98, 0.998, 128, False)
-    assert total == 0 and reached >= 0.998
-    ids = (np.arange(3000), np.arange(3000) + 5000)
-    every, links, to = cell(ids, (a, b), (np.ones(3000, int), np.ones(3000, int)), False, 0.98, 0.998, 128)
-    want = a @ b.T >= 0.98
-    assert links.tolist() == [*want.sum(axis=1).tolist(), *want.sum(axis=0).tolist()]
-    label = dict(zip(every.tolist(), to.tolist(), strict=True))
-    assert all(label[i] == label[j + 5000] for i, j in zip(*np.nonzero(want), strict=True)) and label[int(at[0])] <= int(at[0])
