@@ -68,10 +68,11 @@ def last_of(after: np.ndarray) -> np.ndarray:
 
 class Steps:
     """The step function of a chunk or of a run of chunks: thresholds up to `at[i]` leave as the kept time `out[i]` (a threshold is given by the
-    kept time it follows from); later ones pass unchanged."""
+    kept time it follows from); later ones pass unchanged. Both rise; of the entries with one `out` only the last is held, so few are left
+    once chains have met, and a lookup is a binary search."""
 
-    def __init__(self, first: float, at: list[float], out: list[float]):
-        self.first, self.at, self.out = first, at, out
+    def __init__(self, first: float, at: np.ndarray, out: np.ndarray):
+        self.first, self.at, self.out = first, np.asarray(at, np.float64), np.asarray(out, np.float64)
 
     @staticmethod
     def of(t: np.ndarray, interval: float) -> Steps:
@@ -79,32 +80,37 @@ class Steps:
         # of the entries up to the first time plus the interval, and the next one
         many = int(np.sum(times - times[0] < interval)) + 1
         last = last_of(followers(t, interval))
-        return Steps(float(times[0]), times[:many].tolist(), t[last[rows[:many]]].tolist())
+        return Steps(float(times[0]), times[:many], t[last[rows[:many]]]).short()
+
+    def short(self) -> Steps:
+        ends = np.append(self.out[1:] != self.out[:-1], True)
+        return Steps(self.first, self.at[ends], self.out[ends])
+
+    def all(self, kept: np.ndarray, interval: float) -> np.ndarray:
+        """What each of the kept times leaves as."""
+        n = len(self.at)
+        place = np.searchsorted(self.at, kept + interval)
+        while True:  # kept + interval is rounded; the rule is on the difference
+            early = (place > 0) & (self.at[np.maximum(place - 1, 0)] - kept >= interval)
+            late = (place < n) & (self.at[np.minimum(place, n - 1)] - kept < interval)
+            if not (early.any() or late.any()):
+                break
+            place = place - early + late
+        return np.where(place < n, self.out[np.minimum(place, n - 1)], kept)
 
     def __call__(self, kept: float, interval: float) -> float:
-        for at, out in zip(self.at, self.out, strict=True):
-            if at - kept >= interval:
-                return out
-        return kept
+        return float(self.all(np.array([kept]), interval)[0])
 
     @staticmethod
     def joined(run: list[Steps], interval: float) -> Steps:
-        entries: list[float] = []
+        at, out = np.zeros(0), np.zeros(0)
+        entered = False  # whether no threshold passes the chunks so far
         for f in run:
-            entries += f.at
-            if f.at[-1] - run[0].first >= interval:
-                break
-        outs = []
-        for at in entries:
-            kept = None
-            for f in run:
-                if kept is None:
-                    if at in f.at:
-                        kept = f.out[f.at.index(at)]
-                else:
-                    kept = f(kept, interval)
-            outs.append(kept)
-        return Steps(run[0].first, entries, outs)
+            out = f.all(out, interval)
+            if not entered:
+                at, out = np.concatenate([at, f.at]), np.concatenate([out, f.out])
+                entered = bool(f.at[-1] - run[0].first >= interval)
+        return Steps(run[0].first, at, out).short()
 
 
 # ---- on Spark
@@ -198,7 +204,7 @@ def thresholds(df: DataFrame, layout: Layout, time: str, interval: float, fan: i
 def _row(table: pa.Table, names: list[str], steps: Steps) -> pa.Table:
     first = table.slice(0, 1).select(names)
     doubles = pa.list_(pa.float64())
-    out = {"_first": pa.array([steps.first]), "_at": pa.array([steps.at], doubles), "_out": pa.array([steps.out], doubles)}
+    out = {"_first": pa.array([steps.first]), "_at": pa.array([steps.at.tolist()], doubles), "_out": pa.array([steps.out.tolist()], doubles)}
     for name, values in out.items():
         first = first.append_column(name, values)
     return first

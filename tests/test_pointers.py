@@ -1,6 +1,7 @@
 """Chains of kept rows: plain loops, step functions, and one very hot session."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -77,3 +78,14 @@ def test_a_million_frames_of_one_session(spark):
         spark.sparkContext.setJobGroup("rest", "rest")
     i = np.arange(1_000_000)
     assert (got == np.array(loop((i * 40.0 + i % 7).tolist(), 100.0))).all()
+
+
+def test_crowded_chunks_compose_without_a_product():
+    """Half a million distinct times, 80,000 of them before the first interval has passed: composing takes a moment, not entries times entries."""
+    t = np.unique(np.random.default_rng(4).integers(0, 6_000_000, 500_000).astype(float))
+    began = time.monotonic()
+    run = [Steps.of(p, 500_000.0) for p in np.split(t, np.searchsorted(t, [1e6, 2e6, 3e6, 4e6, 5e6]))]
+    whole = Steps.joined(run, 500_000.0)
+    assert time.monotonic() - began < 10
+    assert whole(float("-inf"), 500_000.0) == t[loop(t.tolist(), 500_000.0)[-1]]
+    assert len(whole.at) < 10_000
