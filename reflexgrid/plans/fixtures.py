@@ -14,6 +14,7 @@ from .recording import Recording
 
 ONSET_MS = 1500.0
 OFFSET_MS = 1700.0
+TASK_BYTES = 64 << 20  # of enlarged images
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -135,7 +136,9 @@ def thumbs(spark: SparkSession, sf: str, exact_copies: bool = True) -> DataFrame
 
 
 def thumb_images(spark: SparkSession, sf: str, zoom: tuple[int, int] = (1, 1)) -> DataFrame:
-    """The 8x8 images as binary rows (split, sample, height, width, lum, cls), each pixel's class enlarged to `zoom` (lines, columns); `lum` stays 8x8."""
+    """The 8x8 images as binary rows (split, sample, height, width, lum, cls), each pixel's class enlarged to `zoom` (lines, columns); `lum` stays 8x8.
+
+    Vectors are dealt to as many tasks as image files of that size would be read by, since Arrow hands on thousands of rows at a time."""
     high, wide = zoom
 
     def run(batches):
@@ -152,7 +155,11 @@ def thumb_images(spark: SparkSession, sf: str, zoom: tuple[int, int] = (1, 1)) -
                     names=["split", "sample", "height", "width", "lum", "cls"],
                 )
 
-    return thumb_vectors(spark, sf).select("split", "sample", "v").mapInArrow(run, "split string, sample long, height int, width int, lum binary, cls binary")
+    vectors = thumb_vectors(spark, sf).select("split", "sample", "v")
+    tasks = -(-vectors.count() * 64 * high * wide // TASK_BYTES) if high * wide > 1 else 1
+    if tasks > 1:
+        vectors = vectors.repartition(tasks, "split", "sample")
+    return vectors.mapInArrow(run, "split string, sample long, height int, width int, lum binary, cls binary")
 
 
 def class_of(lum: Column, shift: float = 0.0) -> Column:
