@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.numeric import settle
 from ...operators import audit, features, live
+from ...operators.components import written
 from ...session import scratch
 from ...streaming import jobs
 from ...sources import exports, stores
@@ -27,6 +28,11 @@ def _finals(spark, sf):
     return stores.final_records(rec.report(), fx.stimuli(rec.samples), done, stores.px_at_onset(rec.samples))
 
 
+def _stored(spark, sf):
+    """The final records, computed once for several writes."""
+    return written(_finals(spark, sf), "finals")
+
+
 cte(
     "raws",
     ("samples",),
@@ -58,7 +64,7 @@ add("final_records", lambda spark, sf: _finals(spark, sf).select(*FINAL), query(
 
 def dedup_insert(spark, sf):
     """Insert even sessions, then all of them twice: every session is stored once."""
-    path, rows = scratch(spark, "final"), _finals(spark, sf)
+    path, rows = scratch(spark, "final"), _stored(spark, sf)
     stores.insert_finals(rows.where("session_id % 2 = 0"), path)
     stores.insert_finals(rows.unionByName(rows), path)
     return stores.read_finals(spark, path).select(*FINAL)
@@ -77,7 +83,7 @@ def delete_by_key(spark, sf):
 def delete_then_reinsert(spark, sf):
     """Sessions deleted and inserted again, twice, are there once."""
     path = scratch(spark, "final")
-    rows = _finals(spark, sf)
+    rows = _stored(spark, sf)
     stores.insert_finals(rows, path)
     for _ in range(2):
         stores.delete_ids(stores.read_finals(spark, path).where("session_id % 4 = 0"), path)
@@ -91,7 +97,7 @@ add("delete_then_reinsert", delete_then_reinsert, query(("finals",), f"SELECT {'
 def clear_store(spark, sf):
     """A cleared store starts anew; another keeps its rows."""
     one, two = scratch(spark, "final"), scratch(spark, "final")
-    rows = _finals(spark, sf)
+    rows = _stored(spark, sf)
     stores.insert_finals(rows, one)
     stores.insert_finals(rows, two)
     stores.clear(spark, one, stores.FINAL_RECORD)
@@ -106,7 +112,7 @@ add("clear_store", clear_store, query(("finals",), "SELECT 'cleared' AS store, s
 def publish_rows(spark, sf):
     """What a subscriber sees of inserts between which rows are deleted: every insert once."""
     path = scratch(spark, "final")
-    rows = _finals(spark, sf)
+    rows = _stored(spark, sf)
     stores.insert_finals(rows.where("session_id % 2 = 0"), path)
     stores.delete_ids(stores.read_finals(spark, path).where("session_id % 4 = 0"), path)
     stores.insert_finals(rows, path)

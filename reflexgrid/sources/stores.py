@@ -78,7 +78,9 @@ def _version(versions: dict[int, int]) -> Column:
 
 
 def _write(rows: DataFrame, store: str, origin: str) -> None:
-    rows.withColumn("origin", F.lit(origin)).write.mode("append").partitionBy("bucket", "version", "origin").parquet(f"{store}/records")
+    # a task per bucket (more for a large one), so that a write makes no file for every task and bucket
+    placed = rows.withColumn("origin", F.lit(origin)).hint("rebalance", "bucket")
+    placed.write.mode("append").partitionBy("bucket", "version", "origin").parquet(f"{store}/records")
 
 
 def _switch(spark: SparkSession, store: str, buckets: list[int], version: int) -> None:

@@ -163,3 +163,26 @@ def test_light_and_geometry_are_repeatable(spark):
         assert sorted(map(tuple, out.collect())) == sorted(("t", s, y, x, float(20 * (y - 1) + x - 1) if y and x else 0.0) for s in range(3) for y in range(8) for x in range(8))
     turned = {(r["y"], r["x"]): r["lum"] for r in pixels.remap(px.where("sample = 0"), "lum", (8, 8), F.lit(False), F.lit(90.0), F.lit(0), F.lit(0)).collect()}
     assert turned[0, 0] == 7.0 and turned[7, 0] == 0.0 and turned[0, 7] == 147.0
+
+
+@pytest.mark.parametrize("name", ["delete_then_reinsert", "clear_store", "dedup_insert", "publish_rows"])
+def test_several_writes_compute_the_records_once(spark, sf, monkeypatch, name):
+    from reflexgrid.plans.catalog import QUERIES
+
+    read = []
+    insert = stores.insert_finals
+
+    def watched(new, store):
+        read.extend(new.inputFiles())
+        insert(new, store)
+
+    monkeypatch.setattr(stores, "insert_finals", watched)
+    QUERIES[name](spark, sf)
+    assert read and not [f for f in read if "events" in f]
+
+
+def test_a_write_makes_no_file_per_task_and_bucket(spark, tmp_path):
+    rows = spark.range(4000).repartition(8).select("id", F.col("id").alias("session_id"))
+    stores.append(rows, str(tmp_path))
+    assert len(list(tmp_path.glob("records/*/*/*/*.parquet"))) <= stores.BUCKETS
+    assert spark.read.parquet(f"{tmp_path}/records").count() == 4000
