@@ -70,8 +70,8 @@ def stimulus_trains(spark, sf):
     onset = e.where(F.col("sample_id") % 25 == 0)
     length = F.pow(F.lit(2.0), F.col("sample_id") / 25 % 6) * F.lit(1_800_000.0) + F.col("sample_id") % 7
     trains = onset.select("session_id", F.col("sample_id").alias("train"), F.col("frame_ts_ms").alias("onset_ms"), (F.col("frame_ts_ms") + length).alias("offset_ms"))
-    met = alignment.within(e, trains, "session_id", "frame_ts_ms", "onset_ms", "offset_ms")
-    return met.groupBy("train").agg(F.count(F.lit(1)).alias("frames"), F.min("sample_id").alias("first"), F.max("sample_id").alias("last"))
+    met = alignment.totals_within(e, trains, "session_id", "frame_ts_ms", "onset_ms", "offset_ms", "sample_id", "train")
+    return met.select("train", F.col("n").alias("frames"), F.col("least").alias("first"), F.col("most").alias("last"))
 
 
 cte("clock", (), "SELECT event_id AS sample_id, CAST(epoch_us(ts) // 1000 AS DOUBLE) AS t FROM events")

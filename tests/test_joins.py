@@ -20,6 +20,27 @@ def test_intervals_of_all_lengths(spark):
     assert alignment.within(p, spark.createDataFrame([], "s int, a double, b double"), "s", "t", "a", "b").count() == 0
 
 
+def test_totals_of_intervals_equal_the_join(spark):
+    rng = random.Random(7)
+    points = [(s, i, rng.uniform(-50, 2000) if i % 3 else float(rng.randrange(2000))) for s in (1, 2) for i in range(400)] + [(1, 998, 7.0), (1, 999, 7.0), (3, 0, None), (None, 5, 7.0)]
+    spans = [(s, j, a, a + rng.choice([0.0, 0.5, 3.0, 64.0, 500.0, 3000.0])) for s in (1, 2) for j, a in enumerate(float(rng.randrange(-60, 1900)) for _ in range(80))] + [(1, 90, 9.0, 3.0), (4, 91, 0.0, 9.0), (2, 92, None, 1.0), (1, 93, 7.0, 7.0)]
+    p, i = spark.createDataFrame(points, "s int, i int, t double"), spark.createDataFrame(spans, "s int, j int, a double, b double")
+    got = sorted(tuple(r) for r in alignment.totals_within(p, i, "s", "t", "a", "b", "i", "j").collect())
+    met = alignment.within(p, i.withColumnRenamed("i", "_"), "s", "t", "a", "b").groupBy("j").agg(F.count("*"), F.min("i"), F.max("i"))
+    assert got == sorted(tuple(r) for r in met.collect())
+    assert alignment.totals_within(p, i.where("false"), "s", "t", "a", "b", "i", "j").count() == 0
+
+
+def test_totals_of_crowded_intervals_pair_no_points(spark):
+    """100,000 frames, 10,000 intervals of half of them each: 500 million pairs are never made."""
+    p = spark.range(100_000).select(F.lit(1).alias("s"), F.col("id").alias("i"), F.col("id").cast("double").alias("t"))
+    i = spark.range(10_000).select(F.lit(1).alias("s"), F.col("id").alias("j"), F.col("id").cast("double").alias("a"), (F.col("id") + 49_999.0).alias("b"))
+    began = time.monotonic()
+    rows = alignment.totals_within(p, i, "s", "t", "a", "b", "i", "j").collect()
+    assert sorted(tuple(r) for r in rows) == [(j, 50_000, j, j + 49_999) for j in range(10_000)]
+    assert time.monotonic() - began < 45
+
+
 def test_a_thousand_intervals_of_a_session_make_no_product(spark):
     """20,000 frames, 1,000 stimuli of one session: the join itself hands on a few candidates a frame."""
     p = spark.range(20_000).select(F.lit(1).alias("s"), (F.col("id") * 40.0).alias("t"))
