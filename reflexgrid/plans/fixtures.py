@@ -15,6 +15,7 @@ from .recording import Recording
 ONSET_MS = 1500.0
 OFFSET_MS = 1700.0
 TASK_BYTES = 64 << 20  # of enlarged images
+TASK_ROWS = 200_000  # frames
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -56,6 +57,9 @@ def recording(spark: SparkSession, sf: str, settings: HeatSettings = HeatSetting
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     heat = Heat.measure(events, "user_id", "session_id", settings)
     rows = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("sample_id"), "ts", "event_type")
+    tasks = -(-events.count() // TASK_ROWS)
+    if tasks > 1:  # the windows of a session follow this one exchange, whose parts would else be merged or grow with the table
+        rows = rows.repartition(tasks, "session_id")
     hour = F.date_format("ts", "yyyyMMddHH")
     numbered = heat.apply(rows, ("session_id",), ("ts", "sample_id"), lambda df, lay: lay.number(df, "rn"), hour)
     return Recording(sample_columns(numbered), heat)

@@ -44,3 +44,10 @@ def test_duplicate_groups_combine_before_the_shuffle(spark, sf):
     df = fx.table(spark, sf, "documents").select(F.md5("text").alias("md5"), "doc_id", F.lit("a").alias("split"))
     p = plan(audit.duplicate_groups(df, "md5", "doc_id", ["split"]))
     assert "partial_count" in p and "collect" not in p
+
+
+def test_tasks_of_a_recording_grow_with_its_frames(spark, sf, monkeypatch):
+    monkeypatch.setattr(fx, "TASK_ROWS", 50)
+    rows = fx.recording(spark, sf).clean()
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert rows.rdd.getNumPartitions() == -(-n // 50)
