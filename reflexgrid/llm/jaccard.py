@@ -8,11 +8,16 @@
    n - ceil(t n) + 1 hashes as well, of which linked sets share one. Documents that share a digest are tied to the smallest of
    them (a star, never all pairs), and the components of the ties are blocks that no link leaves. A passage that many documents
    share makes no tie in a part, which must agree as a whole; few sets send first hashes.
-3. Search. Inside a block every document queries an inverted index for those with at least T = ceil(t n) common shingles: the long
+3. Sieve. Ties chain families of loosely similar documents (a shared licence line is enough), so blocks are cut once more before whole sets are
+   sent anywhere. A set's parity signature has a bit for each of B buckets, B two to four times the set's size: whether it holds an odd number of
+   elements there. Signatures of two sets differ in at most as many bits as the sets in elements, so pairs that differ in more bits than a
+   link allows in elements are no links; the components of all other pairs are the blocks that are searched. Only documents of equal or
+   neighbouring size levels are compared, in cells of two chunks.
+4. Search. Inside a block every document queries an inverted index for those with at least T = ceil(t n) common shingles: the long
    lists are set aside, the short ones are merged by a heap, and documents that occur often enough are probed for in the long lists by
    binary search. The count is then the size of the intersection, and the link is decided exactly. Documents already connected are
    passed over. A block of many documents is dealt into chunks, and every pair of chunks is a cell of bounded size.
-4. Components of the links found.
+5. Components of the links found.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts of fewer words than a shingle have the whole
 sequence as one; null keys link with nothing and have a null component; rows with equal keys belong together.
@@ -211,6 +216,100 @@ def ties(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFra
     return tied.where("a <> b").distinct()
 
 
+def signature(s: np.ndarray, bits: int) -> bytes:
+    """Parity of the number of elements in each of `bits` buckets (a power of two, 64 at least)."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def width(level: int, levels: Levels) -> int:
+    """Bits of a signature: two to four times the largest set of the level, within bounds of memory (any width is right)."""
+    return max(256, min(65_536, 1 << (2 * levels.top(level) - 1).bit_length()))
+
+
+def cell_candidates(sizes: np.ndarray, signs: np.ndarray, base: np.ndarray, queries: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs (query, base), by place, that connect what the signatures (64-bit words, a row for each set) do not keep apart."""
+    base = base[np.argsort(sizes[base], kind="stable")]
+    near, known = signs[base], sizes[base]
+    group = np.arange(len(sizes))
+    for q in queries.tolist():
+        n = sizes[q]
+        # from t n to n / t elements
+        low, high = np.searchsorted(known, -(-percent * n // 100)), np.searchsorted(known, n * 100 // percent, "right")
+        at = np.arange(low, high)[group[base[low:high]] != group[q]]
+        if not len(at):
+            continue
+        both = n + known[at]
+        most = both - 2 * -(-percent * both // (100 + percent))
+        apart = np.bitwise_count(near[at] ^ signs[q]).sum(1, dtype=np.int64)
+        for other in base[at[apart <= most]].tolist():
+            if group[other] != group[q]:
+                group[group == group[other]] = group[q]
+                yield q, other
+
+
+def candidates(blocks: DataFrame, df: DataFrame, key: str, text: str, size: int, percent: int, most: int) -> DataFrame:
+    """(a, b): pairs inside the blocks (node, component) that connect all documents which may be linked, judged by their signatures."""
+    kind = df.schema[key].dataType.simpleString()
+    levels = Levels(percent)
+
+    def build(keys: list, batch: list[str]) -> dict:
+        out: dict = {"key": [], "n": [], "level": [], "home": [], "sign": []}
+        for k, t in zip(keys, batch, strict=True):
+            s = shingles(t, size)
+            own = levels.of(len(s))
+            for level in (own, own - 1)[: 2 if own else 1]:  # at the level below a set meets the smaller ones
+                for name, value in zip(out, (k, len(s), level, level == own, signature(s, width(level, levels))), strict=True):
+                    out[name].append(value)
+        return out
+
+    place = checked(blocks.select(F.col("node").alias("key"), "component"))
+    wanted = texts(df, key, text).join(place.select("key"), "key", "left_semi")
+    signs = map_rows(wanted, f"key {kind}, n bigint, level int, home boolean, sign binary", build, 128)
+    stored = written(signs.join(place, "key"), "signs")
+    # a chunk holds some `most` sets, of the level or of the one above
+    counts = stored.groupBy("component", "level").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
+    chunks = lambda c: F.ceil(F.col(c) / most).cast("int")
+    counts = counts.where("homes > 0 and homes + guests > 1").select("component", "level", chunks("homes").alias("own"), chunks("guests").alias("above"))
+    dealt = stored.join(checked(counts), ["component", "level"])
+    nth = lambda c: F.pmod(F.xxhash64("key"), F.greatest(F.col(c), F.lit(1))).cast("int")
+    dealt = dealt.withColumn("mine", F.when(F.col("home"), nth("own")).otherwise(F.col("own") + nth("above")))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("own") + F.col("above")).otherwise(F.col("own")) - 1)).alias("other")
+    cells = dealt.select("key", "n", "sign", "component", "level", "mine", other)
+    cells = cells.select("key", "n", "sign", "component", "level", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    cell = ["component", "level", "x", "y"]
+    placed = cells.repartition(*cell).sortWithinPartitions(*cell, "mine")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("nothing")
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    yield from zip(*(c.to_pylist() for c in b.slice(at, 1024).columns), strict=True)
+
+        found: list[tuple] = []
+        for (_, _, x, y), group in groupby(rows(), key=lambda r: (r[3], r[4], r[6], r[7])):
+            members = list(group)
+            first = np.array([r[5] for r in members]) == x
+            if len(members) < 2 or (x != y and (first.all() or not first.any())):
+                continue
+            signs = np.frombuffer(b"".join(r[2] for r in members), np.uint64).reshape(len(members), -1)
+            pairs = cell_candidates(np.array([r[1] for r in members]), signs, np.flatnonzero(first), np.flatnonzero(first if x == y else ~first), percent)
+            found += [(members[q][0], members[b][0]) for q, b in pairs]
+            if len(found) > 10_000:
+                yield batch_of(found)
+                found = []
+        if found:
+            yield batch_of(found)
+
+    type_ = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    batch_of = lambda pairs: pa.record_batch([pa.array([p[i] for p in pairs], type_) for i in (0, 1)], names=["a", "b"])
+    found = written(placed.mapInArrow(run, f"a {kind}, b {kind}"), "candidates")
+    drop(stored)
+    return found
+
+
 class Index:
     """Inverted lists over some documents, for T-occurrence search."""
 
@@ -328,8 +427,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     for side in ("a", "b"):  # ties between classes of equal sets
         tied = tied.join(known.select(F.col("key").alias(side), F.col("rep").alias(f"{side}_rep")), side, "left")
         tied = tied.withColumn(side, F.coalesce(f"{side}_rep", side)).drop(f"{side}_rep")
-    blocks = components(tied.select("a", "b"))
+    chained = components(tied.select("a", "b"))
     drop(raw, equal)
+    near = candidates(chained, df, key, text, size, percent, most)
+    blocks = components(near)
+    drop(near)
     found = links(blocks, df, key, text, size, percent, most)
     # keys of equal rows, and copies of a class, hang on its smallest key
     joined = components(found.select("a", "b").union(reps.select(F.col("key").alias("a"), F.col("rep").alias("b"))))

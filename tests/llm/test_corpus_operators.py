@@ -340,6 +340,45 @@ def test_linked_sets_of_all_small_sizes_share_a_digest():
             assert set(digests(np.sort(x[1:]), levels).tolist()) & set(digests(np.sort(x[:-1]), levels).tolist())
 
 
+def test_signatures_keep_no_link_apart():
+    from reflexgrid.llm.jaccard import Levels, cell_candidates, signature, width
+
+    rng = np.random.default_rng(4)
+    levels, kept_apart = Levels(80), 0
+    for n in [*range(1, 40), 300, 2000]:
+        bits = width(levels.of(n), levels)
+        x = rng.integers(0, 2**64, 3 * n, dtype=np.uint64)
+        sets = [np.unique(x[at : at + n]) for at in range(0, n + 1, max(1, n // 12))]
+        signs = np.frombuffer(b"".join(signature(s, bits) for s in sets), np.uint64).reshape(len(sets), -1)
+        for j in range(1, len(sets)):
+            both = len(np.intersect1d(sets[0], sets[j]))
+            got = list(cell_candidates(np.array([len(s) for s in sets]), signs, np.array([j]), np.array([0]), 80))
+            if 100 * both >= 80 * (len(sets[0]) + len(sets[j]) - both):
+                assert got == [(0, j)], (n, j)
+            kept_apart += not got
+    assert kept_apart > 300
+
+
+def test_sets_of_loosely_similar_documents_are_not_searched(spark, monkeypatch):
+    """A shared line ties all of these documents, and ten of them have a near copy: only those are searched."""
+    from reflexgrid.llm import jaccard
+
+    rng = random.Random(3)
+    line = words(rng, 30, 5000)
+    texts = [words(rng, 34, 100_000) for _ in range(300)]
+    rows = [(i, f"{t} {line}") for i, t in enumerate(texts)] + [(1000 + i, f"{texts[i]} {line} {i}") for i in range(10)]
+    searched, links = [], jaccard.links
+
+    def watched(blocks, *args):
+        searched.append(blocks.count())
+        return links(blocks, *args)
+
+    monkeypatch.setattr(jaccard, "links", watched)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), most=40).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k % 1000 for k, _ in rows}
+    assert searched == [20]
+
+
 def test_short_near_copies_are_linked(spark):
     """Documents of 13 words whose last word differs: 8 of 10 shingles in common."""
     from reflexgrid.llm.jaccard import classes
