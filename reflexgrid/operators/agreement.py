@@ -71,33 +71,36 @@ def signed_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
 def statistics(frames: DataFrame, history: int = LiveSettings.history) -> DataFrame:
     """Per session over the last `history` comparisons; medians take the upper middle element."""
     newest = Window.partitionBy("session_id").orderBy(F.col("ts_ms").desc(), F.col("sample_id").desc())
-    kept = frames.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= history)
-    two = lambda f: F.array_compact(F.array(f"left_{f}", f"right_{f}"))
-    count = lambda c: F.count(F.when(c, 1))
-    stats = kept.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("n"), count(F.col("comparable")).alias("valid_comparisons"),
+    so_far = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    finite = {s: is_finite(F.col(f"{s}_px_b")) for s in SIDES}
+    # one sort serves all three ranks: of all frames, and of each side's frames with a value
+    seen = {f"_{s}_rank": F.count(F.when(finite[s], 1)).over(so_far) for s in SIDES}
+    ranked = frames.select("*", F.row_number().over(newest).alias("_rank"), *[c.alias(n) for n, c in seen.items()])
+    kept = F.col("_rank") <= history
+    side = lambda s: F.when(finite[s] & (F.col(f"_{s}_rank") <= history), F.col(f"{s}_px_b"))
+    two = lambda f: F.when(kept, F.array_compact(F.array(f"left_{f}", f"right_{f}")))
+    count = lambda c: F.count(F.when(kept & c, 1))
+    stats = ranked.groupBy("session_id").agg(
+        count(F.lit(True)).alias("n"), count(F.col("comparable")).alias("valid_comparisons"),
         F.sort_array(F.flatten(F.collect_list(two("diff_px")))).alias("_d"), F.sort_array(F.flatten(F.collect_list(two("distance_px")))).alias("_c"),
         count(F.col("left_valid_b") | F.col("right_valid_b")).alias("_b"), count(F.col("left_valid_a") | F.col("right_valid_a")).alias("_a"),
-        count(F.col("agrees")).alias("_g"),
+        count(F.col("agrees")).alias("_g"), *[f(side(s)).alias(f"_{s}_{n}") for s in SIDES for n, f in (("m", F.avg), ("d", F.stddev_pop))],
     )
     # the arrays hold at most 2 * history numbers
     mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(F.lit(0.0))
     upper = lambda a: F.when(F.size(a) > 0, F.get(a, F.floor(F.size(a) / 2).cast("int"))).otherwise(F.lit(0.0))
     pct = lambda c: F.col(c) / F.col("n") * F.lit(100.0)
-    out = stats.select(
+    zero = F.lit(0.0)
+    m, d = (lambda s: F.col(f"_{s}_m")), (lambda s: F.col(f"_{s}_d"))
+    return stats.select(
         "session_id", "n", "valid_comparisons", mean("_d").alias("mean_diff_px"), upper("_d").alias("median_diff_px"),
         mean("_c").alias("mean_distance_px"), upper("_c").alias("median_distance_px"),
         pct("_b").alias("validity_b_pct"), pct("_a").alias("validity_a_pct"), pct("_g").alias("agreement_pct"),
+        *[c for s in SIDES for c in (
+            F.coalesce(m(s), zero).alias(f"{s}_mean_px"), F.coalesce(d(s), zero).alias(f"{s}_std_px"),
+            F.when(m(s) > 0, d(s) / m(s) * F.lit(100.0)).otherwise(zero).alias(f"{s}_cv_pct"),
+        )],
     )
-    for s in SIDES:
-        seen = frames.where(is_finite(F.col(f"{s}_px_b"))).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= history)
-        side = seen.groupBy("session_id").agg(F.avg(f"{s}_px_b").alias("m"), F.stddev_pop(f"{s}_px_b").alias("d"))
-        zero = F.lit(0.0)
-        out = out.join(side, "session_id", "left").select(
-            *out.columns, F.coalesce("m", zero).alias(f"{s}_mean_px"), F.coalesce("d", zero).alias(f"{s}_std_px"),
-            F.when(F.col("m") > 0, F.col("d") / F.col("m") * F.lit(100.0)).otherwise(zero).alias(f"{s}_cv_pct"),
-        )
-    return out
 
 
 def latest_before(a: DataFrame, b: DataFrame, heat: Heat, values: list[str]) -> DataFrame:

@@ -63,7 +63,10 @@ def running_agreement(compared: DataFrame, history: int = LiveSettings.history,
     recent = operators.recent_rows(compared, ["ts_ms", "sample_id"], history, ["left_px_b", "right_px_b"])
 
     def batch(rows: DataFrame, number: int) -> None:
-        upsert(agreement.statistics(rows, history), stats, number)
+        # whatever reads the batch again would run the join and the states again, so its result is written once
+        path = f"{stats}-batch"
+        agreement.statistics(rows, history).write.mode("overwrite").parquet(path)
+        upsert(rows.sparkSession.read.parquet(path), stats, number)
 
     return stats, each_batch(recent, "agreement", batch, every=every)
 

@@ -1,3 +1,6 @@
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +54,23 @@ def test_signed_deltas(spark):
     b = spark.createDataFrame([(1, 0, 0.0, 38.5, 41.0, 3.0, 4.0)], B)
     r = agreement.signed_deltas(a, b).first()
     assert r["left_delta_px"] == -1.5 and r["right_delta_px"] is None and r["centroid_distance_px"] == 5
+
+
+def test_statistics_sort_the_frames_once(spark):
+    """No join and one exchange: the frames, which may come from a stateful stream, are read once."""
+    rows = [(i, float(i), 40.0, 40.0, 0.0, 0.0) for i in range(9)]
+    made = frames(spark, rows, rows)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        agreement.statistics(spark.createDataFrame(made.collect(), made.schema), history=2).explain()
+    text = out.getvalue()
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_sides_with_gaps_keep_their_own_history(spark):
+    """The newest two values of a side count, also where they are older than the newest two frames."""
+    a = [(i, float(i), 40.0, 40.0, 0.0, 0.0) for i in range(6)]
+    b = [(i, float(i), 10.0 * (i + 1) if i < 3 else None, float("inf") if i == 5 else 40.0 + i, 0.0, 0.0) for i in range(6)]
+    got = agreement.statistics(frames(spark, a, b), history=2).first()
+    assert got["n"] == 2 and got["left_mean_px"] == 25.0 and got["left_std_px"] == 5.0 and got["left_cv_pct"] == 20.0
+    assert got["right_mean_px"] == 43.5
