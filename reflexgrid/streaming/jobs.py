@@ -12,7 +12,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..schemas import EVENT
 from ..session import scratch
-from .ordered import CLOSE, STORE
+from .ordered import CLOSE, STORE, UNCOUNTED
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_per_batch: int = 8) -> DataFrame:
@@ -37,15 +37,18 @@ class Ending:
 
 
 @contextmanager
-def _state_store(spark: SparkSession):
-    """Timers and list states need the RocksDB store; a query takes the setting over when it starts."""
-    name, provider = STORE
-    given = spark.conf.get(name, None)
-    spark.conf.set(name, provider)
+def _state_store(spark: SparkSession, counted: bool):
+    """Timers and list states need the RocksDB store; a query takes the settings over when it starts. Streams that are closed count the entries
+    left (`counted`), as their end is to leave none."""
+    settings = STORE if counted else STORE | UNCOUNTED
+    given = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+        for name, value in given.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", ending: Ending | None = None):
@@ -63,13 +66,13 @@ def each_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None
     log = scratch(stream.sparkSession, f"{name}-log")
     writer = stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", log)
     if every is not None:
-        with _state_store(stream.sparkSession):
+        with _state_store(stream.sparkSession, ending is not None):
             return writer.trigger(processingTime=every).start()
     return _run(writer, stream.sparkSession, ending)
 
 
 def _run(writer, spark: SparkSession, ending: Ending | None):
-    with _state_store(spark):
+    with _state_store(spark, ending is not None):
         query = writer.trigger(availableNow=True).start()
         query.awaitTermination()
         if ending is not None:

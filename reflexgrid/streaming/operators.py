@@ -61,7 +61,7 @@ def throttled(frames: DataFrame, interval_ms: float = LiveSettings.sampling_ms,
             return state, None
         return (t,), (sample, t, px)
 
-    columns = {"frame_ts_ms": "double", "sample_id": "long", "px": "double"}
+    columns = ["frame_ts_ms", "sample_id", "px"]
     return in_order(frames, columns, "last double", "sample_id long, frame_ts_ms double, px double", ["frame_ts_ms", "sample_id"], step, interval_ms, delay)
 
 
@@ -78,7 +78,7 @@ def stabilised(frames: DataFrame, cfg: LiveSettings = LiveSettings(), idle_ms: f
         point, (a, b, c, d, _) = ema_step(None if radius is None else (radius, x, y, mm), px, cx, cy, m, cfg)
         return (*point, 0), (sample, t, "DETECTED", a, b, c, d)
 
-    columns = {"frame_ts_ms": "double", "sample_id": "long", "px": "double", "x": "double", "y": "double", "mm": "double"}
+    columns = ["frame_ts_ms", "sample_id", "px", "x", "y", "mm"]
     out = "sample_id long, frame_ts_ms double, track_status string, smooth_px double, smooth_x double, smooth_y double, smooth_mm double"
     return in_order(frames, columns, "radius double, x double, y double, mm double, lost long", out, ["frame_ts_ms", "sample_id"], step, idle_ms, delay)
 
@@ -110,7 +110,7 @@ def baseline_states(frames: DataFrame, cfg: LiveSettings = LiveSettings(), idle_
 
     if "active" not in frames.columns:
         frames = frames.withColumn("active", F.lit(True))
-    columns = {"frame_ts_ms": "double", "sample_id": "long", "left_px": "double", "right_px": "double", "active": "boolean"}
+    columns = ["frame_ts_ms", "sample_id", "left_px", "right_px", "active"]
     out = "sample_id long, window_count int, state string"
     return in_order(frames, columns, "left array<double>, right array<double>, drops long", out, ["frame_ts_ms", "sample_id"], step, idle_ms, delay)
 

@@ -2,12 +2,14 @@
 
 Rows wait in a list state until the watermark has passed them; an event-time timer then releases all that are due, in order, through the fold. A
 last timer, `idle_ms` after the newest row, ends the state of the session, so nothing is kept for sessions that are over. What waits is
-bounded by the rows of the delay; the fold keeps a few numbers.
+bounded by the rows of the delay; the fold keeps a few numbers. The rows that a session gets at once are one entry of its state, as each entry
+costs a conversion and a write of its own.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -15,8 +17,15 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+PACKED = "rows binary"
 CLOSE = datetime(9999, 1, 1)  # the time of the row that ends a stream (see jobs.drain)
-STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a batch commits what it changed instead of a snapshot
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+# without the number of entries, which costs a look-up for each write
+UNCOUNTED = {"spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 
 
 def timed(frames: DataFrame, delay: str) -> DataFrame:
@@ -24,6 +33,15 @@ def timed(frames: DataFrame, delay: str) -> DataFrame:
     return frames.withWatermark("ts", delay).where(F.col("ts") < F.lit(CLOSE).cast("timestamp"))
 
 
+def packed(rows: list[tuple]) -> tuple:
+    return (pickle.dumps(rows, pickle.HIGHEST_PROTOCOL),)
+
+
+def unpacked(state) -> list[tuple]:
+    """The rows of all entries of a list state."""
+    return [r for entry in (state.get() if state.exists() else ()) for r in pickle.loads(entry[0])]
+
+
 def names_of(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
@@ -33,13 +51,13 @@ class InOrder(StatefulProcessor):
 
     `state` is a tuple or None (at first, and after the session was idle)."""
 
-    def __init__(self, columns: list[str], schema: str, state: str, out: str, order: list[str], step: Callable, idle_ms: int):
+    def __init__(self, columns: list[str], state: str, out: str, order: list[str], step: Callable, idle_ms: int):
         self.result = Row("session_id", *names_of(out))
-        self.columns, self.schema, self.kept, self.order, self.step, self.idle_ms = columns, schema, state, order, step, idle_ms
+        self.columns, self.kept, self.order, self.step, self.idle_ms = columns, state, order, step, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getListState("waiting", PACKED)
         self.state = handle.getValueState("state", f"{self.kept}, newest_ms long")
         self.places = [self.columns.index(c) for c in self.order]
         self.at = self.columns.index("at_ms")
@@ -47,13 +65,13 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new = [tuple(r[c] for c in self.columns) for r in rows]
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendValue(packed(new))
             self.handle.registerTimer(min(r[self.at] for r in new) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = unpacked(self.waiting)
         due = [r for r in rows if r[self.at] < now]
         rest = [r for r in rows if r[self.at] >= now]
         state = tuple(self.state.get()) if self.state.exists() else None
@@ -68,7 +86,7 @@ class InOrder(StatefulProcessor):
             if values is not None:
                 out.append(self.result(*key, *values))
         if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.waiting.put([packed(rest)]) if rest else self.waiting.clear()
             self.state.update((*(fold if fold is not None else self._blank()), newest))
         if rest:
             self.handle.registerTimer(min(r[self.at] for r in rest) + 1)
@@ -87,13 +105,12 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def in_order(frames: DataFrame, columns: dict[str, str], state: str, out: str, order: list[str], step: Callable, idle_ms: float, delay: str) -> DataFrame:
-    """Fold the sessions of `frames` (session_id, ts, ...); `columns` are those that `step` sees, by name, with their types. Their order is
+def in_order(frames: DataFrame, columns: list[str], state: str, out: str, order: list[str], step: Callable, idle_ms: float, delay: str) -> DataFrame:
+    """Fold the sessions of `frames` (session_id, ts, ...); `columns` are those that `step` sees. Their order is
     that of the rows handed to `step`, with the event time in milliseconds (`at_ms`) at the end."""
     names = [*columns, "at_ms"]
     rows = timed(frames, delay).select("session_id", "ts", *columns, F.unix_millis("ts").alias("at_ms"))
-    schema = ", ".join(f"{c} {t}" for c, t in {**columns, "at_ms": "long"}.items())
-    fold = InOrder(names, schema, state, out, order, step, int(min(idle_ms, 1e14)))
+    fold = InOrder(names, state, out, order, step, int(min(idle_ms, 1e14)))
     return rows.groupBy("session_id").transformWithState(fold, f"session_id long, {out}", "append", "eventtime")
 
 
@@ -101,24 +118,24 @@ class Recent(StatefulProcessor):
     """The newest `keep` rows of a session, and for each column in `also` the newest `keep` rows with a value; all of them are given out
     whenever rows arrive."""
 
-    def __init__(self, columns: list[str], schema: str, order: list[str], keep: int, also: list[str]):
-        self.columns, self.schema, self.keep = columns, schema, keep
+    def __init__(self, columns: list[str], order: list[str], keep: int, also: list[str]):
+        self.columns, self.keep = columns, keep
         self.places = [columns.index(c) for c in order]
         self.also = [columns.index(c) for c in also]
         self.result = Row(*columns)
 
     def init(self, handle) -> None:
-        self.known = handle.getListState("known", self.schema)
+        self.known = handle.getListState("known", PACKED)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = [tuple(r) for r in self.known.get()] if self.known.exists() else []
+        known = unpacked(self.known)
         known += [tuple(r[c] for c in self.columns) for r in rows]
         known.sort(key=lambda r: tuple((r[p] is not None, r[p]) for p in self.places))
         wanted = set(range(len(known))[-self.keep :])
         for c in self.also:
             wanted.update([i for i, r in enumerate(known) if r[c] is not None][-self.keep :])
         known = [known[i] for i in sorted(wanted)]
-        self.known.put(known)
+        self.known.put([packed(known)])
         return iter([self.result(*r) for r in known])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -131,8 +148,7 @@ class Recent(StatefulProcessor):
 def recent_rows(rows: DataFrame, order: list[str], keep: int, also: list[str]) -> DataFrame:
     """After each batch, the newest `keep` rows of the sessions it touched, and for each column in `also` the newest `keep` rows with a value. The
     state is that short list itself."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    ring = Recent(rows.columns, schema, order, keep, also)
+    ring = Recent(rows.columns, order, keep, also)
     return rows.groupBy("session_id").transformWithState(ring, rows.schema, "append", "none")
 
 

@@ -142,6 +142,16 @@ def test_recent_rows_keep_the_newest(spark, split_files):
     assert all((s, i) in seen for s, v in newest.items() for i in sorted(v)[-5:])
 
 
+def test_state_settings_hold_for_the_start_only(spark):
+    counts, log = ("spark.sql.streaming.stateStore.rocksdb." + n for n in ("trackTotalNumberOfRows", "changelogCheckpointing.enabled"))
+    before = [spark.conf.get(n, None) for n in (counts, log)]
+    with jobs._state_store(spark, False):
+        assert (spark.conf.get(counts), spark.conf.get(log)) == ("false", "true")
+    with jobs._state_store(spark, True):
+        assert (spark.conf.get(counts, None), spark.conf.get(log)) == (before[0], "true")
+    assert [spark.conf.get(n, None) for n in (counts, log)] == before
+
+
 def test_upserted_table_does_not_grow(spark):
     import os
 
