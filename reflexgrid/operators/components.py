@@ -7,7 +7,7 @@ whose components are found in written rounds. `bitmaps` does the same on binary
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -21,6 +21,7 @@ from ..session import scratch
 
 IMAGE = ("split", "sample")
 LINE = 1 << 32
+TASK_ROWS = 250_000  # pixels or runs
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,10 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows dealt to tasks of about TASK_ROWS by their keys. An exchange without a number has its parts merged by their compressed size,
+    and a pixel takes some bytes there but some hundred in a sort. Counts the rows, so they are best a given or written table."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, *keys)
+
+
 def to_runs(pixels: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Pixels (keys, y, x) to runs (keys, y, x0, x1, run); a line is one group, so groups stay small."""
     line = Window.partitionBy(*keys, "y").orderBy("x")
-    marked = pixels.select(*keys, "y", "x", (F.col("x") - F.row_number().over(line)).alias("_g"))
+    marked = dealt(pixels.select(*keys, "y", "x"), [*keys, "y"]).select(*keys, "y", "x", (F.col("x") - F.row_number().over(line)).alias("_g"))
     runs = marked.groupBy(*keys, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
     return runs.withColumn("run", F.col("y").cast("long") * LINE + F.col("x0"))
 
@@ -132,7 +140,7 @@ def label_runs(runs: DataFrame, keys: tuple[str, ...] = IMAGE, tile: int = 1024)
 
     def local(df: DataFrame) -> DataFrame:
         cut = df.withColumn("_strip", F.floor(F.col("y") / tile))
-        return cut.repartition(*parts).sortWithinPartitions(*parts, "y", "x0").mapInArrow(partial(_label_strips, parts=parts, tile=tile), schema).drop("_strip")
+        return dealt(cut, parts).sortWithinPartitions(*parts, "y", "x0").mapInArrow(partial(_label_strips, parts=parts, tile=tile), schema).drop("_strip")
 
     tall = nodes.where(F.col("y") >= tile).select(*keys).distinct()
     if tall.isEmpty():  # there is no seam
@@ -156,9 +164,11 @@ def to_pixels(runs: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     return runs.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
-def component_pixels_of(pixels: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
-    """Pixels of the component that holds the image's seed pixel (keys, y, x)."""
-    runs = label_runs(to_runs(pixels, keys), keys)
-    at = seeds.select(*keys, "y", F.col("x").alias("_sx"))
-    hit = runs.join(at, [*keys, "y"]).where(F.col("_sx").between(F.col("x0"), F.col("x1"))).select(*keys, "label")
-    return to_pixels(runs.join(hit, [*keys, "label"]), keys)
+def component_runs_of(pixels: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
+    """Runs (keys, y, x0, x1, n) of the component that holds the image's seed pixel (keys, y, x); n is its number of pixels."""
+    at = seeds.select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"))
+    runs = dealt(written(label_runs(to_runs(pixels, keys), keys), "labelled"), keys).join(at.hint("merge"), list(keys))
+    image = Window.partitionBy(*keys)
+    hit = F.max(F.when((F.col("y") == F.col("_sy")) & F.col("_sx").between(F.col("x0"), F.col("x1")), F.col("label"))).over(image)
+    own = runs.withColumn("_hit", hit).where(F.col("label") == F.col("_hit"))
+    return own.select(*keys, "y", "x0", "x1", F.sum(F.col("x1") - F.col("x0") + 1).over(image).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import IRIS_MM, AuditSettings
 from ..functions.numeric import clamp, half_up, pick
-from .components import IMAGE, component_pixels_of, written
+from .components import IMAGE, component_runs_of, dealt, to_pixels, written
 
 # Luminance weights.
 RGB = (0.299, 0.587, 0.114)
@@ -42,7 +42,7 @@ def image_flags(stats: DataFrame, cfg: AuditSettings = AuditSettings()) -> DataF
 
 def blur(pixels: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """3x3 weights 1-2-1 / 2-4-2 / 1-2-1 over 16, interior pixels only: two 1-2-1 passes on one exchange."""
-    rows = pixels.repartition(*keys)
+    rows = dealt(pixels, keys)
     across, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
     three = lambda c, w: F.lag(c).over(w) + F.col(c) * F.lit(2.0) + F.lead(c).over(w)
     out = rows.withColumn("_h", three("lum", across)).withColumn("_v", three("_h", down))
@@ -181,16 +181,16 @@ def content_hash(pixels: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
 
 
 def around_iris(pixels: DataFrame, iris: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
-    """Pixels within the iris disc, with their squared distance; `iris` is (keys, icx, icy, ir)."""
+    """Pixels within the iris disc, with their squared distance; `iris` is (keys, icx, icy, ir), as many rows as images, so it is not broadcast."""
     d = (F.col("x") - F.col("icx")) * (F.col("x") - F.col("icx")) + (F.col("y") - F.col("icy")) * (F.col("y") - F.col("icy"))
-    return pixels.join(iris, list(keys)).withColumn("d2", d).where(F.col("d2") <= F.col("ir") * F.col("ir"))
+    return dealt(pixels, keys).join(iris.hint("merge"), list(keys)).withColumn("d2", d).where(F.col("d2") <= F.col("ir") * F.col("ir"))
 
 
 def dark_seed(disc: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Darkest pixel of the central 45 %, first in line order; the iris centre when there is none below 255."""
     core = (F.col("d2") <= (F.col("ir") * 0.45) * (F.col("ir") * 0.45)) & (F.col("lum") < 255)
     best = F.min(F.when(core, F.struct("lum", "y", "x")))
-    return disc.groupBy(*keys).agg(best.alias("b"), F.first("icx").alias("icx"), F.first("icy").alias("icy")).select(
+    return dealt(disc, keys).groupBy(*keys).agg(best.alias("b"), F.first("icx").alias("icx"), F.first("icy").alias("icy")).select(
         *keys, F.coalesce("b.x", half_up(F.col("icx")).cast("int")).alias("seed_x"), F.coalesce("b.y", half_up(F.col("icy")).cast("int")).alias("seed_y"),
         F.coalesce("b.lum", F.lit(255.0)).alias("seed_lum"),
     )
@@ -201,7 +201,7 @@ def adaptive_threshold(disc: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFr
     ring = F.col("d2").between((F.col("ir") * 0.50) * (F.col("ir") * 0.50), (F.col("ir") * 0.95) * (F.col("ir") * 0.95))
     w = Window.partitionBy(*keys)
     by = w.orderBy("lum", "y", "x")
-    rows = disc.withColumn("_ring", ring).select(
+    rows = dealt(disc, keys).withColumn("_ring", ring).select(
         *keys, "lum", "_ring", F.row_number().over(by).alias("_rk"), F.count(F.lit(1)).over(w).alias("_n"),
         F.count(F.when(F.col("_ring"), 1)).over(by).alias("_rrk"), F.count(F.when(F.col("_ring"), 1)).over(w).alias("_rn"),
     )
@@ -222,19 +222,20 @@ def grow_region(disc: DataFrame, seeds: DataFrame, thresholds: DataFrame, keys:
     pixels it is replaced by the dark pixels of a disc around the seed.
     """
     k = list(keys)
-    rows = written(disc.join(seeds, k).join(thresholds, k), "disc")  # read four times below
+    joined = dealt(disc, k).join(seeds.hint("merge"), k).join(thresholds.hint("merge"), k)
+    rows = written(joined, "disc")  # read four times below
     dark = F.col("lum") <= F.col("threshold")
     glint = ~dark & (F.col("d2") <= (F.col("ir") * 0.38) * (F.col("ir") * 0.38)) & (F.col("lum") > 75)
     near = F.col("d2") <= (F.col("ir") * 0.78) * (F.col("ir") * 0.78)
     is_seed = (F.col("x") == F.col("seed_x")) & (F.col("y") == F.col("seed_y"))
     candidates = rows.where((near & (dark | glint)) | is_seed)
-    member = component_pixels_of(candidates.select(*keys, "y", "x"), rows.where(is_seed).select(*keys, "y", "x"), keys)
-    size = member.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    grown = rows.join(member, [*keys, "y", "x"], "left_semi").join(size.where("_size >= 5").select(*keys), k, "left_semi")
+    member = written(component_runs_of(candidates, rows.where(is_seed), keys), "member")
+    big, few = to_pixels(member.where("n >= 5"), keys), member.where("n < 5").select(*keys)
+    grown = dealt(rows, [*keys, "y", "x"]).join(big.hint("merge"), [*keys, "y", "x"], "left_semi")
     sx, sy = F.col("x") - F.col("seed_x"), F.col("y") - F.col("seed_y")
     close = (sx * sx + sy * sy <= (F.col("ir") * 0.35) * (F.col("ir") * 0.35)) & (F.col("lum") <= F.col("threshold") + 4)
-    small = rows.where(close).join(size.where("_size < 5").select(*keys), k, "left_semi")
-    return grown.unionByName(small)
+    small = dealt(rows.where(close), k).join(few.hint("merge"), k, "left_semi")
+    return written(grown.unionByName(small), "region")
 
 
 def region_moments(region: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:

@@ -256,9 +256,10 @@ add(
 
 
 def _disc(spark, sf):
-    b = pixels.blur(fx.thumbs(spark, sf))
-    iris = b.select(*K).distinct().select(*K, F.lit(3.5).alias("icx"), F.lit(3.5).alias("icy"), F.lit(3.4).alias("ir"))
-    return iris, pixels.around_iris(b, iris)
+    """Each step is written once, as the steps below read it several times; planned as one they would sort and blur again for every read, all in one task."""
+    b = written(pixels.blur(fx.thumbs(spark, sf)), "blurred")
+    iris = written(components.dealt(b.select(*K), K).distinct().select(*K, F.lit(3.5).alias("icx"), F.lit(3.5).alias("icy"), F.lit(3.4).alias("ir")), "iris")
+    return iris, written(pixels.around_iris(b, iris), "disc")
 
 
 cte("disc", ("blurred",), "SELECT *, (x - 35e-1) * (x - 35e-1) + (y - 35e-1) * (y - 35e-1) AS d2 FROM blurred WHERE (x - 35e-1) * (x - 35e-1) + (y - 35e-1) * (y - 35e-1) <= 34e-1 * 34e-1")
@@ -291,8 +292,8 @@ add(
 
 def _region(spark, sf):
     iris, disc = _disc(spark, sf)
-    cuts = pixels.adaptive_threshold(disc)
-    return iris, cuts, pixels.grow_region(disc, pixels.dark_seed(disc), cuts)
+    cuts = written(pixels.adaptive_threshold(disc), "cuts")
+    return iris, cuts, pixels.grow_region(disc, written(pixels.dark_seed(disc), "seeds"), cuts)
 
 
 cte(
