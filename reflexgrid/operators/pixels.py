@@ -239,13 +239,13 @@ def grow_region(disc: DataFrame, seeds: DataFrame, thresholds: DataFrame, keys:
 
 
 def region_moments(region: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
-    """Weighted centre and plain second moments of the region, as a fitted ellipse (two aggregates per image)."""
+    """Weighted centre and plain second moments of the region, as a fitted ellipse (a window and an aggregate per image, in line order)."""
     weight = F.greatest(F.lit(1.0), F.col("threshold") - F.col("lum") + F.lit(10.0))
-    centre = region.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(F.col("x") * weight) / F.sum(weight)).alias("cx"), (F.sum(F.col("y") * weight) / F.sum(weight)).alias("cy")
-    )
+    image = Window.partitionBy(*keys)
+    centre = lambda c: (F.sum(F.col(c) * weight).over(image) / F.sum(weight).over(image)).alias(f"c{c}")
+    rows = dealt(region, keys).sortWithinPartitions(*keys, "y", "x").select(*keys, "y", "x", F.count(F.lit(1)).over(image).alias("n"), centre("x"), centre("y"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    m = region.join(centre, list(keys)).groupBy(*keys).agg(
+    m = rows.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.avg(dx * dx).alias("u20"), F.avg(dy * dy).alias("u02"), F.avg(dx * dy).alias("u11")
     )
     u20, u02, u11 = F.col("u20"), F.col("u02"), F.col("u11")

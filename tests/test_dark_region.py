@@ -24,10 +24,11 @@ def test_tasks_do_not_grow_with_the_table(spark, sf, monkeypatch):
     disc = images._disc(spark, sf)[1]
     for per_image in (pixels.dark_seed(disc), pixels.adaptive_threshold(disc)):
         assert most_in_a_task(per_image) < many / 5
+    assert most_in_a_task(pixels.region_moments(region)) < many / 5
 
 
 def test_task_size_does_not_change_the_result(spark, sf, monkeypatch):
-    want = {n: spark_rows(QUERIES[n](spark, sf)) for n in ("region_grow",)}
+    want = {n: spark_rows(QUERIES[n](spark, sf)) for n in ("pupil_detect", "region_grow", "region_moments")}
     monkeypatch.setattr(components, "TASK_ROWS", 700, raising=False)
     for name, rows in want.items():
         assert spark_rows(QUERIES[name](spark, sf)) == rows
