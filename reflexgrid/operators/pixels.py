@@ -261,7 +261,7 @@ def region_moments(region: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFram
 def judge_region(moments: DataFrame, iris: DataFrame, thresholds: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Plausibility of the fitted region; far-off results fall back to 0.35 of the iris, as do images without one."""
     k = list(keys)
-    rows = iris.join(moments, k, "left").join(thresholds, k, "left")
+    rows = dealt(iris, k).join(moments.hint("merge"), k, "left").join(thresholds.hint("merge"), k, "left")
     ir = F.col("ir")
     off = F.sqrt((F.col("cx") - F.col("icx")) * (F.col("cx") - F.col("icx")) + (F.col("cy") - F.col("icy")) * (F.col("cy") - F.col("icy")))
     ratio = F.col("radius") / ir

@@ -331,7 +331,7 @@ add(
 
 def pupil_detect(spark, sf):
     iris, cuts, region = _region(spark, sf)
-    found = pixels.judge_region(pixels.region_moments(region), iris, cuts)
+    found = pixels.judge_region(written(pixels.region_moments(region), "moments"), iris, cuts)
     found = rounded(found, ("px_x", "px_y", "diameter_px", "circularity", "major_axis", "minor_axis", "contrast"), 4)
     return found.withColumn("angle", half_up(F.abs(F.sin(F.col("angle") * 2)), 4))
 

@@ -24,7 +24,7 @@ def test_tasks_do_not_grow_with_the_table(spark, sf, monkeypatch):
     disc = images._disc(spark, sf)[1]
     for per_image in (pixels.dark_seed(disc), pixels.adaptive_threshold(disc)):
         assert most_in_a_task(per_image) < many / 5
-    assert most_in_a_task(pixels.region_moments(region)) < many / 5
+    assert most_in_a_task(pixels.judge_region(pixels.region_moments(region), iris, cuts)) < many / 5
 
 
 def test_task_size_does_not_change_the_result(spark, sf, monkeypatch):
