@@ -31,10 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows dealt to tasks of about TASK_ROWS by their keys. An exchange without a number has its parts merged by their compressed size,
-    and a pixel takes some bytes there but some hundred in a sort. Counts the rows, so they are best a given or written table."""
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+def dealt(rows: DataFrame, keys: Sequence[str], beside: DataFrame | None = None) -> DataFrame:
+    """The rows dealt to tasks of about TASK_ROWS by their keys, or of as many rows of `beside`, a larger table they are joined with. An exchange
+    without a number has its parts merged by their compressed size, and a pixel takes some bytes there but some hundred in a sort. Counts the
+    rows, so they are best a given or written table. For a semi join deal its right side: the join is planned before an exchange on its left."""
+    most = rows if beside is None else beside
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-most.count() // TASK_ROWS))
     return rows.repartition(tasks, *keys)
 
 

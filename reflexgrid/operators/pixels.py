@@ -231,10 +231,11 @@ def grow_region(disc: DataFrame, seeds: DataFrame, thresholds: DataFrame, keys:
     candidates = rows.where((near & (dark | glint)) | is_seed)
     member = written(component_runs_of(candidates, rows.where(is_seed), keys), "member")
     big, few = to_pixels(member.where("n >= 5"), keys), member.where("n < 5").select(*keys)
-    grown = dealt(rows, [*keys, "y", "x"]).join(big.hint("merge"), [*keys, "y", "x"], "left_semi")
+    pixel = [*keys, "y", "x"]
+    grown = rows.join(dealt(big, pixel, rows).hint("merge"), pixel, "left_semi")
     sx, sy = F.col("x") - F.col("seed_x"), F.col("y") - F.col("seed_y")
     close = (sx * sx + sy * sy <= (F.col("ir") * 0.35) * (F.col("ir") * 0.35)) & (F.col("lum") <= F.col("threshold") + 4)
-    small = dealt(rows.where(close), k).join(few.hint("merge"), k, "left_semi")
+    small = rows.where(close).join(dealt(few, k, rows).hint("merge"), k, "left_semi")
     return written(grown.unionByName(small), "region")
 
 

@@ -27,6 +27,20 @@ def test_tasks_do_not_grow_with_the_table(spark, sf, monkeypatch):
     assert most_in_a_task(pixels.judge_region(pixels.region_moments(region), iris, cuts)) < many / 5
 
 
+def test_semi_joins_follow_the_numbered_exchange(spark, sf, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return components.written(df, name)
+
+    monkeypatch.setattr(pixels, "written", kept)
+    images._region(spark, sf)
+    for side in plans["region"].split("SortMergeJoin")[1:]:
+        assert "LeftSemi" in side and "REPARTITION_BY_NUM" in side
+    assert "Exchange" not in plans["region"].split("SortMergeJoin")[0]
+
+
 def test_task_size_does_not_change_the_result(spark, sf, monkeypatch):
     want = {n: spark_rows(QUERIES[n](spark, sf)) for n in ("pupil_detect", "region_grow", "region_moments")}
     monkeypatch.setattr(components, "TASK_ROWS", 700, raising=False)
