@@ -48,6 +48,19 @@ def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """`mapInArrow` in batches of about 4 MB. A batch is held several times (Spark's vectors and its message, the worker's copy and the
+    strings made of it), and Spark's own bound is 64 MB. The bound is one of the session; one that is set already stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, schema: T.StructType | str, each: Callable[[list, list], dict], step: int = 512) -> DataFrame:
     """Run `each(keys, texts) -> columns` over the batches of a (key, text) table, `step` rows at a time, so that a batch of very
     long texts takes little memory beyond its own."""
@@ -61,7 +74,7 @@ def map_rows(df: DataFrame, schema: T.StructType | str, each: Callable[[list, li
                 out = each(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.record_batch([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return in_arrow(df, run, kind)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

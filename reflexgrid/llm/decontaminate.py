@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, texts
+from .common import held, in_arrow, texts
 from .graph import checked
 
 GAP = re.compile(r"[\W_]+")
@@ -201,7 +201,7 @@ def matches(df: DataFrame, items: DataFrame, share: float = 0.08, key: str = "do
     out = None
     for group in groups(items, item_text, group_chars):
         shared = Shared(df.sparkSession, group, share)
-        part = rows.mapInArrow(functools.partial(_find, shared), schema)
+        part = in_arrow(rows, functools.partial(_find, shared), schema)
         out = part if out is None else out.union(part)
     # each text is searched once; here the items that have it come back
     names = items.select(F.col(item_key).alias("item"), F.md5(F.col(item_text)).alias("of")).where(F.col("of").isNotNull())
@@ -230,7 +230,7 @@ def clean(df: DataFrame, items: DataFrame, share: float = 0.08, text: str = "tex
     at = df.columns.index(text)
     for group in groups(items, item_text, group_chars):
         shared = Shared(df.sparkSession, group, share)
-        df = df.mapInArrow(functools.partial(_keep, shared, at), df.schema)
+        df = in_arrow(df, functools.partial(_keep, shared, at), df.schema)
     return df
 
 

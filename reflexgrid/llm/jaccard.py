@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, held, map_rows, texts, written
+from .common import drop, held, in_arrow, map_rows, texts, written
 from .graph import checked, components
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -138,6 +138,7 @@ def sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     import xxhash
 
     def each(keys: list, batch: list[str]) -> dict:
+        held("nothing")
         out: dict = {"key": keys, "n": [], "high": [], "low": []}
         for t in batch:
             s = shingles(t, size)
@@ -205,10 +206,10 @@ def ties(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFra
     schema = f"digest bigint, key {kind}, anchor {kind}"
     rows = texts(df.where(F.col(key).isNotNull()), key, text)
     sampled = rows.where(F.pmod(F.xxhash64("key"), F.lit(64)) == 0)
-    seen = sampled.mapInArrow(sender(None), schema).groupBy("digest").count()
+    seen = in_arrow(sampled, sender(None), schema).groupBy("digest").count()
     common = sorted(r["digest"] for r in seen.where("count >= 8").orderBy(F.desc("count"), "digest").limit(20_000).collect())
     shared = df.sparkSession.sparkContext.broadcast(np.array(common, np.int64))
-    sent = rows.mapInArrow(sender(shared), schema)
+    sent = in_arrow(rows, sender(shared), schema)
     # rows that are tied already go by their own key, so they meet in no group
     group = F.when(F.col("anchor").isNull(), F.col("digest")).otherwise(F.xxhash64("key", "anchor"))
     least = F.min(F.when(F.col("anchor").isNull(), F.col("key"))).over(Window.partitionBy("group"))
@@ -305,7 +306,7 @@ def candidates(blocks: DataFrame, df: DataFrame, key: str, text: str, size: int,
 
     type_ = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     batch_of = lambda pairs: pa.record_batch([pa.array([p[i] for p in pairs], type_) for i in (0, 1)], names=["a", "b"])
-    found = written(placed.mapInArrow(run, f"a {kind}, b {kind}"), "candidates")
+    found = written(in_arrow(placed, run, f"a {kind}, b {kind}"), "candidates")
     drop(stored)
     return found
 
@@ -409,7 +410,7 @@ def links(blocks: DataFrame, df: DataFrame, key: str, text: str, size: int, perc
                 yield pa.record_batch([pa.array([f[i] for f in found], type_) for i in (0, 1)], names=["a", "b"])
 
     type_ = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    found = written(placed.mapInArrow(run, f"a {kind}, b {kind}"), "found")
+    found = written(in_arrow(placed, run, f"a {kind}, b {kind}"), "found")
     drop(dealt, stored)
     return found
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts, written
+from .common import held, in_arrow, map_rows, texts, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "key")
@@ -241,6 +241,7 @@ def counted(found: DataFrame) -> dict[str, int]:
 
 def _found(df: DataFrame, key: str, text: str) -> DataFrame:
     def each(keys: list, batch: list[str]) -> dict:
+        held("nothing")
         out: dict = {"key": keys, "spans": [], "base": [], "patterns": []}
         for t in batch:
             c = candidates(t)
@@ -279,7 +280,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.record_batch(fields, names=["key", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_more"])
 
     kind = found.schema["key"].dataType.simpleString()
-    result = found.mapInArrow(each, f"key {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_more bigint")
+    result = in_arrow(found, each, f"key {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_more bigint")
     return result.withColumnRenamed("key", key)
 
 
@@ -289,18 +290,17 @@ def mask(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars") ->
     The counts of patterns are taken from the same table first. `n_chars`, if there is such a column, is set to the new length."""
     model = fit(counted(_found(df.select(F.lit(0).alias("key"), F.col(text).alias("text")), "key", "text")))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    hidden = "masked" if "masked" not in df.columns else "masked_" + "_".join(df.columns)
+    at = df.columns.index(text) if text in df.columns else [c.lower() for c in df.columns].index(text.lower())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("nothing")
         for batch in batches:
-            at = batch.schema.get_field_index(hidden)
-            new = [None if t is None else _masked(t, shared.value) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-
-    # the text travels under a name of its own, so a clash of names cannot hit it
-    out = df.withColumn(hidden, F.col(text))
-    out = out.mapInArrow(each, out.schema)
-    out = out.withColumn(text, F.col(hidden)).drop(hidden)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                new = [None if t is None else _masked(t, shared.value) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+
+    out = in_arrow(df, each, df.schema)
     if n_chars and n_chars in df.columns:
         out = out.withColumn(n_chars, F.when(F.col(text).isNotNull(), F.length(text).cast(df.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
     return out.select(*df.columns)

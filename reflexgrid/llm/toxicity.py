@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import held, map_rows, texts
+from .common import held, in_arrow, map_rows, texts
 
 ORDER, DECAY = 4, 0.6
 WINDOW = 40
@@ -452,4 +452,4 @@ def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float
                 said = s.model.probability(np.array(s.distances([t or "" for t in part.column(at).to_pylist()]), float))
                 yield part.filter(pc.or_(pa.array(said < threshold), pc.is_null(part.column(at))))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)

@@ -172,6 +172,28 @@ def test_personal_data_on_awkward_rows(spark):
     assert out.where("doc_id = 3").first()["text"] is None and mask(nothing(spark)).count() == 0
 
 
+def test_masking_takes_texts_once_and_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from reflexgrid.llm.pii import _found, _masked, counted, fit, mask
+
+    long = spark.range(0, 8000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mail a@b.com. "), F.repeat(F.lit("word "), 500)).alias("text"))
+    out = mask(long)
+    assert out.count() == out.where("text like 'Mail [EMAIL]. word %' and length(text) = 2514").count() == 8000
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"MapInArrow \w+\(([^)]*)\)", plan)[1].count("#") == len(long.columns)
+    sizes = long.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint")
+    assert max(r["n"] for r in sizes.collect()) < 5_000_000
+
+    df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    model = fit(counted(_found(df, "doc_id", "text")))
+    want = {(r["doc_id"], _masked(r["text"], model), r["lang"], r["source"]) for r in df.collect()}
+    got = mask(df).collect()
+    assert len(got) == df.count() and {(r["doc_id"], r["text"], r["lang"], r["source"]) for r in got} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_weak_labelers_learn_whom_to_trust():
     from reflexgrid.llm.pii import fit
 
