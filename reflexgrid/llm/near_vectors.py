@@ -306,7 +306,7 @@ def _nodes(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, shard: int = 131072, recall: float = 0.998, audit: int = 512) -> DataFrame:
     """Per row: key, n_links (other rows linked directly), component_id (smallest key reachable), kept (key = component_id)."""
     rows = written(_nodes(df, key, vector, label), "vectors")
-    nodes = rows.where("digest is not null").groupBy("label", "digest").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
+    nodes = rows.where("digest is not null").groupBy("label", "digest").agg(F.min(F.col("key").cast("bigint")).alias("node"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
     nodes = written(nodes.withColumn("size", F.length("vector")), "nodes")
     # shards of longer vectors hold fewer nodes
     room = F.count(F.lit(1)) * F.greatest(F.col("size") / 512, F.lit(1.0))

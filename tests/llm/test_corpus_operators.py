@@ -536,6 +536,16 @@ def test_one_id_in_two_labels(spark):
     assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
 
 
+@pytest.mark.parametrize("shard", [131072, 2])
+def test_vectors_of_other_types(spark, shard):
+    from reflexgrid.llm.near_vectors import near_vectors
+
+    rows = [(1, [3, 4], "a"), (2, [6, 8], "a"), (3, [31, 40], "a"), (4, [4, -3], "a"), (5, [3, 4], "b"), (6, [0, 0], "b"), (7, [3, None], "b"), (8, [30, 41], "a")]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<int>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df, shard=shard).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 8: (3, 1)} | {i: (0, i) for i in (4, 5, 6, 7)}
+
+
 # ---- pipeline
 
 
